@@ -45,6 +45,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def deal_blocks(rows: DataFrame, keys: list[str], spread: str, block: int) -> DataFrame:
+    """``rows`` with ``own`` and ``pair``: groups of ``keys`` whose rows are to be compared all with all.
+
+    A group of up to ``block`` rows is one pair. A larger one is dealt to blocks by a hash of
+    ``spread``; every two blocks (and each with itself) make a pair, to which their rows go, so a
+    task holds two blocks at a time whatever the group's size.
+    """
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    rows = rows.join(large, keys, "left")
+    blocks = F.when(F.col("_n").isNull(), F.lit(1)).otherwise(F.ceil(F.col("_n") * 2 / block)).cast("int")
+    rows = rows.withColumn("_blocks", blocks).drop("_n")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pair = F.least("own", "_other").cast("long") * F.lit(1 << 31) + F.greatest("own", "_other")
+    return rows.withColumn("pair", pair).drop("_blocks", "_other")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``: the smallest node reachable.
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, secrets, simhash
+from . import chat, decontaminate, embeddings, language, packing, secrets, simhash, urls
+from . import html as pages_html
 from . import toxicity as tox
 from .common import fold, table
 
@@ -35,12 +36,42 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.by_document(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# Fixed values of op7: (action, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.classify(docs, language.train(docs, fold("doc_id", 5) != 0))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages_html.extract(pages, pages_html.train(pages))
+
+
+# Fixed value of op10: a text made of control strings, said by both sides of conversation -1.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)]
+    more = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    more = more.select(*(F.col(c).cast(t).alias(c) for c, t in turns.dtypes))
+    return chat.read_back(chat.windows(turns.unionByName(more)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, deal_blocks
 
 BITS = 64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,15 +237,7 @@ def links(fps: DataFrame, tau: int = 3, block: int = BLOCK) -> DataFrame:
     """``(a, b)`` of representatives: every pair within tau bits is joined by a path of links."""
     parts, ts = plan(*bit_counts(fps), tau)
     rows = _signatures(fps, parts, ts)
-    large = rows.groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    rows = rows.join(large, ["part", "sig"], "left")
-    blocks = F.when(F.col("n").isNull(), F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / block)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # a group of more than a block: every two blocks meet, each row goes to as many pairs as there are blocks
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
-    rows = rows.select("part", "sig", pair.alias("pair"), "fp", "rep")
+    rows = deal_blocks(rows, ["part", "sig"], "rep", block).select("part", "sig", "pair", "fp", "rep")
     shuffled = rows.repartition("part", "sig", "pair").sortWithinPartitions("part", "sig", "pair")
     return shuffled.mapInArrow(lambda it: _compare(it, tau), "a long, b long")
 
