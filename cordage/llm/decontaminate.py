@@ -43,8 +43,9 @@ def words(text: str | None) -> list[str]:
 def word_hashes(found: list[str], known: dict[str, int]) -> np.ndarray:
     if len(known) > 500_000:
         known.clear()
-    for w in set(found) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 1)
+    for w in set(found):
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 1)
     return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
