@@ -23,21 +23,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest id; null ids all stay.
 
-    The ids that go are far fewer than those that stay, so they are what is joined. Where rows
-    repeat an id that stays, one of them (the smallest by content) is kept.
+    The texts are shuffled once, at every size of input. Where rows repeat an id that stays, one of
+    them (the smallest by content) is kept.
     """
     found = cut(simhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    rest = docs.join(found.where("doc_id <> component_id or n > 1").select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(found.where("doc_id = component_id and n > 1").select("doc_id"), "doc_id", "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("_row")).select("doc_id", "_row.*")
-    return rest.select(*docs.columns).unionByName(one.select(*docs.columns))
+    gone = found.where("doc_id <> component_id or n > 1").select("doc_id")
+    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id = component_id and n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rest
+    rows = docs.join(repeated, "doc_id", "left_semi")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("_row")).select("doc_id", "_row.*")
+    return rest.unionByName(one.select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that contain a benchmark item go."""
     leaked = cut(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("text_key").distinct())
     key = F.sha2(F.col("text").cast("string"), 256)
-    return docs.withColumn("text_key", key).join(leaked, "text_key", "left_anti").select(*docs.columns)
+    return docs.withColumn("text_key", key).join(leaked.hint("merge"), "text_key", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
