@@ -1,0 +1,309 @@
+"""The driver's queries over the given tables, and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import probability as P
+from ..functions import text as T
+from ..operators import corpus as C
+from ..operators import telemetry as E
+from ..sources.tables import table
+from ..streaming import events as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+
+def _event_keys() -> list:
+    return [F.col("user_id"), F.to_date("ts"), F.col("event_type")]
+
+
+@query("SELECT event_id, user_id, event_type, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL")
+def silver_flatten(spark, d):
+    return E.flatten(table(spark, d, "events"))
+
+
+@query("SELECT event_id, user_id, event_type, ts, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type ORDER BY ts, event_id) = 1")
+def silver_dedup(spark, d):
+    return E.dedup(table(spark, d, "events"), _event_keys(), ["ts", "event_id"]).select("event_id", "user_id", "event_type", "ts", "value", "props")
+
+
+@query("SELECT count(*) AS rows_read, count(*) FILTER (event_id IS NULL OR event_type IS NULL) AS rows_invalid, count(*) - count(*) FILTER (event_id IS NULL OR event_type IS NULL) - count(DISTINCT (user_id, CAST(ts AS DATE), event_type)) AS rows_duplicate, count(DISTINCT (user_id, CAST(ts AS DATE), event_type)) AS rows_written FROM events")
+def silver_accounting(spark, d):
+    return E.accounting(table(spark, d, "events"), _event_keys(), ["ts", "event_id"])
+
+
+@query("SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
+def type_subrelations(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("""
+WITH s AS (SELECT user_id, min(ts) AS started_at FROM events GROUP BY 1),
+e AS (SELECT user_id, max(ts) AS ended_at, arg_max(value, (ts, event_id)) AS outcome FROM events WHERE event_type = 'purchase' GROUP BY 1),
+b AS (SELECT user_id, count(*) AS barge_ins, CAST(sum(CASE WHEN value > 80 THEN 1 ELSE 0 END) AS BIGINT) AS interruptions FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT user_id, started_at, ended_at, round(outcome, 4) AS outcome, coalesce(barge_ins, 0) AS barge_ins, coalesce(interruptions, 0) AS interruptions,
+CAST(epoch(date_trunc('second', ended_at)) - epoch(date_trunc('second', started_at)) AS BIGINT) AS duration_s, date_trunc('hour', started_at) AS started_hour
+FROM s LEFT JOIN e USING (user_id) LEFT JOIN b USING (user_id)""")
+def dim_call(spark, d):
+    return E.dim_call(table(spark, d, "events")).withColumn("started_hour", F.col("started_hour").cast("timestamp_ntz"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, o_orderpriority, c_mktsegment, n_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def fact_turn_fanout(spark, d):
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    j = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "o_orderpriority", "c_mktsegment", "n_name")
+
+
+@query("SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS n, round(coalesce(price, 0), 2) AS price FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def fact_turn_preagg_join(spark, d):
+    pre = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("price"))
+    j = table(spark, d, "orders").join(pre, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return j.select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("price", F.lit(0.0)), 2).alias("price"))
+
+
+@query("SELECT event_id, value <= 80 AS within_e2e_budget, CASE WHEN event_type = 'click' THEN value <= 50 END AS within_llm_budget FROM events")
+def budget_flags(spark, d):
+    llm = F.when(F.col("event_type") == "click", F.col("value") <= E.LLM_BUDGET)
+    return table(spark, d, "events").select("event_id", (F.col("value") <= E.E2E_BUDGET).alias("within_e2e_budget"), llm.alias("within_llm_budget"))
+
+
+@query("""SELECT count(*) AS turns, count(DISTINCT user_id) AS calls, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS purchase_rate, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate,
+round(count(*) FILTER (event_type = 'signup') / count(*), 6) AS signup_rate, quantile_disc(value, 0.5) AS value_p50, quantile_disc(value, 0.95) AS value_p95, round(sum(value) FILTER (event_type = 'error') / sum(value), 6) AS error_value_share FROM events""")
+def kpi_summary(spark, d):
+    return E.summary(table(spark, d, "events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS started_hour, count(DISTINCT user_id) AS calls, count(*) AS turns, quantile_disc(value, 0.5) AS value_p50, quantile_disc(value, 0.95) AS value_p95, round(avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 THEN 1.0 ELSE 0.0 END), 6) AS valid_rate FROM events GROUP BY 1")
+def kpi_hourly(spark, d):
+    return E.kpi_hourly(table(spark, d, "events"))
+
+
+@query("SELECT event_type, count(*) AS turns, quantile_disc(value, 0.5) AS value_p50, quantile_disc(value, 0.95) AS value_p95 FROM events GROUP BY 1")
+def kpi_intent(spark, d):
+    return E.kpi_by(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT o_orderstatus, count(*) AS turns, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def p95_by_outcome(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("o_orderstatus").agg(F.count("*").alias("turns"), F.percentile_approx("l_extendedprice", 0.95, E.ACCURACY).alias("p95"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM events GROUP BY 1")
+def rate_by_hour(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("_events")
+    return spark.sql("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, round(avg(CASE WHEN event_type = 'error' THEN 1D ELSE 0D END), 6) AS rate FROM _events GROUP BY 1")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 10 THEN 1.0 ELSE 0.0 END), 6) AS invalid_rate FROM events WHERE props IS NOT NULL GROUP BY 1")
+def invalid_rate_by_field(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("_events")
+    return spark.sql("SELECT event_type, count(*) AS n, round(avg(CASE WHEN CAST(get_json_object(props, '$.k') AS BIGINT) < 10 THEN 1D ELSE 0D END), 6) AS invalid_rate FROM _events WHERE props IS NOT NULL GROUP BY 1")
+
+
+@query("SELECT n_name, r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def inner_join_projection(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    j = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_new_keys(spark, d):
+    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
+
+
+FOLD = "trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüç', 'aaaaaaeeeeiiiiooooouuuuc'), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT DISTINCT l.doc_id FROM (SELECT doc_id, {FOLD} AS t FROM documents) l JOIN (SELECT {FOLD} AS t FROM benchmark UNION SELECT {FOLD} FROM documents WHERE lang = 'es') r USING (t)")
+def semi_contamination(spark, d):
+    docs = table(spark, d, "documents")
+    key = F.sha2(T.normalize_text(F.col("text")), 256).alias("t")
+    held = table(spark, d, "benchmark").select(key).unionByName(docs.where("lang = 'es'").select(key)).distinct()
+    return docs.select("doc_id", key).join(held, "t", "left_semi").select("doc_id").distinct()
+
+
+REASON = f"""CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN 'empty'
+WHEN len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) > 400 THEN 'too_long'
+WHEN regexp_matches(text, '{T.EMAIL}') THEN 'email' WHEN regexp_matches(text, '{T.LINK}') THEN 'link'
+WHEN len(list_filter(regexp_extract_all(text, '{T.PHONE}'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) >= 9)) > 0 THEN 'phone' ELSE 'kept' END"""
+
+
+@query(f"SELECT doc_id, {REASON} AS reason FROM documents")
+def drop_reason(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(T.drop_reason(F.col("text"), 400), F.lit("kept")).alias("reason"))
+
+
+@query(f"SELECT {REASON} AS reason, count(*) AS n FROM documents WHERE lang = 'es' GROUP BY 1")
+def curate_counters(spark, d):
+    return C.curate_counters(table(spark, d, "documents"), "es", 400)
+
+
+@query(f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY {FOLD}")
+def curate_dedup(spark, d):
+    return C.first_wins(table(spark, d, "documents")).select("doc_id", "copies")
+
+
+@query(f"SELECT doc_id, {FOLD} AS normalized, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS words FROM documents")
+def normalize_text(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.normalize_text(t).alias("normalized"), T.word_count(t).alias("words"))
+
+
+@query("SELECT c_custkey, 'cp-' || substr(sha256(c_name || chr(0) || c_mktsegment), 1, 12) AS id, trim(regexp_replace(lpad(CAST(c_custkey AS VARCHAR), 10, '0'), '(..)', '\\1 ', 'g')) AS spoken, CASE WHEN c_name IS NOT NULL THEN '[redacted]' END AS name, substr(c_name, 1, 8) AS head FROM customer")
+def scalars(spark, d):
+    digits = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
+    return table(spark, d, "customer").select("c_custkey", T.hash_id("cp-", F.col("c_name"), F.col("c_mktsegment")).alias("id"), T.read_back(digits).alias("spoken"), T.redact(F.col("c_name")).alias("name"), T.slice_span(F.col("c_name"), F.lit(0), F.lit(8)).alias("head"))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(CASE WHEN event_id % 7 = 0 THEN '[1]' ELSE props END, '$.k') AS BIGINT), -1) AS k, event_id % 7 <> 0 AS valid FROM events")
+def json_parse_or_fallback(spark, d):
+    raw = F.when(F.col("event_id") % 7 == 0, "[1]").otherwise(F.col("props"))
+    k = F.get_json_object(raw, "$.k").try_cast("long")
+    return table(spark, d, "events").select("event_id", F.coalesce(k, F.lit(-1)).alias("k"), k.isNotNull().alias("valid"))
+
+
+SPLIT = "CAST(('0x' || substr(sha256('42:' || CAST(conv_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967295.0"
+
+
+@query(f"SELECT conv_id, CASE WHEN {SPLIT} <= 0.8 THEN 'train' WHEN {SPLIT} <= 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS turns FROM conversations GROUP BY 1, 2")
+def hash_split(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    return c.select("conv_id", C.split_of(F.col("conv_id")).alias("split"), "turns")
+
+
+@query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('42:' || lang || ':' || CAST(doc_id AS VARCHAR)), 1, 15), doc_id) AS rank FROM documents QUALIFY rank <= 50")
+def stratified_sample(spark, d):
+    return C.stratified(table(spark, d, "documents"), "lang", 50)
+
+
+@query("SELECT source, count(*) AS have, 60 - count(*) AS short FROM documents GROUP BY 1 HAVING count(*) < 60")
+def quota_shortfall(spark, d):
+    return C.shortfall(table(spark, d, "documents"), "source", 60)
+
+
+@query("""WITH c AS (SELECT 'ids_unique' AS name, count(doc_id) - count(DISTINCT doc_id) AS detail FROM documents UNION ALL SELECT 'text_present', count(*) FILTER (text IS NULL) FROM documents
+UNION ALL SELECT 'lang_known', count(*) FILTER (lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr')) FROM documents UNION ALL SELECT 'n_chars_right', count(*) FILTER (length(text) <> n_chars) FROM documents
+UNION ALL SELECT 'toxic_binary', count(*) FILTER (toxic NOT IN (0, 1)) FROM labels UNION ALL SELECT 'quality_binary', count(*) FILTER (quality NOT IN (0, 1)) FROM labels
+UNION ALL SELECT 'labels_known', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) SELECT name, detail = 0 AS passed, detail FROM c""")
+def gate_checks(spark, d):
+    return C.gate(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("SELECT coalesce(lang, 'all') AS lang, coalesce(CAST(quality AS VARCHAR), 'all') AS quality, count(*) AS n, round(avg(toxic), 4) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (quality))")
+def grouping_sets_baseline(spark, d):
+    return C.levels(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, min(doc_id) LIMIT 1")
+def majority(spark, d):
+    return C.majority(table(spark, d, "documents"), "lang", "doc_id")
+
+
+@query("""WITH p AS (SELECT quality AS g, 1 - toxic AS p, count(*) AS n FROM labels GROUP BY 1, 2), g AS (SELECT g AS label, sum(n) AS golds, sum(CASE WHEN g = p THEN n ELSE 0 END) AS tp FROM p GROUP BY 1), q AS (SELECT p AS label, sum(n) AS preds FROM p GROUP BY 1)
+SELECT round(avg(2 * tp / (golds + coalesce(preds, 0))), 4) AS macro_f1, count(*) AS labels FROM g LEFT JOIN q USING (label)""")
+def macro_f1(spark, d):
+    return C.macro_f1(table(spark, d, "labels").withColumn("guess", 1 - F.col("toxic")), "quality", "guess")
+
+
+SCORED = """WITH z AS (SELECT vec_id, CAST(label % 5 AS INTEGER) AS gold, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings),
+e AS (SELECT vec_id, gold, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z), s AS (SELECT vec_id, gold, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"""
+TEMPERED = SCORED + """, l AS (SELECT vec_id, gold, list_transform(p, lambda x: ln(greatest(x, 0.0001)) / 2) AS l FROM s), f AS (SELECT vec_id, gold, list_transform(l, lambda x: exp(x - list_max(l))) AS f FROM l),
+t AS (SELECT vec_id, gold, list_transform(f, lambda x: x / list_sum(f)) AS q FROM f)"""
+
+
+@query(SCORED + ", c AS (SELECT list_max(p) AS conf, CASE WHEN list_position(p, list_max(p)) - 1 = gold THEN 1.0 ELSE 0.0 END AS hit FROM s), b AS (SELECT least(floor(conf * 15), 14) AS b, count(*) AS n, sum(hit) AS hits, sum(conf) AS confs FROM c GROUP BY 1) SELECT round(sum(abs(hits - confs)) / sum(n), 4) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b")
+def ece(spark, d):
+    return C.calibration_error(C.scored(table(spark, d, "embeddings")))
+
+
+@query(TEMPERED + " SELECT vec_id, round(q[1], 4) AS q1, round(list_max(q), 4) AS top, CAST(list_position(q, list_max(q)) - 1 AS INTEGER) AS answer FROM t")
+def temper_argmax(spark, d):
+    q = P.temper(F.col("p"), 2.0)
+    rows = C.scored(table(spark, d, "embeddings")).select("vec_id", q.alias("q"))
+    return rows.select("vec_id", F.round(F.col("q")[0], 4).alias("q1"), F.round(F.array_max("q"), 4).alias("top"), P.argmax_first(F.col("q")).alias("answer"))
+
+
+@query(TEMPERED + " SELECT round(avg(-ln(greatest(q[gold + 1], 1e-12))), 4) AS nll, count(*) AS n FROM t")
+def nll_at_t(spark, d):
+    return C.nll(C.scored(table(spark, d, "embeddings")), 2.0)
+
+
+@query("""WITH p AS (SELECT value FROM events WHERE event_type = 'error'), t AS (SELECT value AS threshold FROM p ORDER BY value DESC LIMIT 1 OFFSET (SELECT CAST(ceil(count(*) * 95 / 100.0) - 1 AS BIGINT) FROM p))
+SELECT round(threshold, 6) AS threshold, round(count(*) FILTER (event_type = 'error') / (SELECT count(*) FROM p), 4) AS recall, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS precision FROM events, t WHERE value >= threshold GROUP BY threshold""")
+def rejection_threshold(spark, d):
+    return C.threshold_at_recall(table(spark, d, "events"), "value", "event_type = 'error'")
+
+
+@query(None)
+def fit_temperature(spark, d):
+    return C.fit_temperature(C.scored(table(spark, d, "embeddings")))
+
+
+@query("SELECT event_id, row_number() OVER w - 1 AS seq, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS running_value, coalesce(lag(event_type) OVER w <> event_type, false) AS switched FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def seq_numbers(spark, d):
+    return E.sequence_numbers(table(spark, d, "events"))
+
+
+@query("SELECT conv_id, turn, k, array_to_string(string_split(text, ' ')[1:k], ' ') AS partial FROM (SELECT conv_id, turn, text, unnest(range(1, 1 + least(3, len(string_split(text, ' '))))) AS k FROM conversations WHERE role = 'user')")
+def asr_partials(spark, d):
+    words = F.split("text", " ")
+    rows = table(spark, d, "conversations").where("role = 'user'").withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words)))))
+    return rows.select("conv_id", "turn", F.col("k").cast("long").alias("k"), F.array_join(F.slice(words, 1, F.col("k")), " ").alias("partial"))
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 'calls.transcripts' WHEN 'click' THEN 'model.inferences' ELSE 'calls.events' END AS topic, count(*) AS n FROM events GROUP BY 1")
+def topic_route(spark, d):
+    return E.topic(table(spark, d, "events"))
+
+
+@query("SELECT doc_id, CAST(quality AS VARCHAR) AS tag FROM labels UNION ALL SELECT doc_id, NULL FROM documents")
+def union_passthrough(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("tag"))
+    return labels.unionByName(table(spark, d, "documents").select("doc_id"), allowMissingColumns=True)
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def set_difference(spark, d):
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def set_intersection(spark, d):
+    return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
+
+
+@query("SELECT o_orderkey, k, CASE WHEN k = 0 THEN 0.0 ELSE [0.05, 0.15, 0.25][CAST((k - 1) % 3 + 1 AS INTEGER)] END AS wer FROM orders, range(5) t(k)")
+def variant_levels(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k"))
+    level = F.element_at(F.array(*map(F.lit, (0.05, 0.15, 0.25))), ((F.col("k") - 1) % 3 + 1).cast("int"))
+    return rows.select("o_orderkey", "k", F.when(F.col("k") == 0, 0.0).otherwise(level).alias("wer"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    stream = S.event_stream(spark, f"{d}/events.parquet")
+    return S.drain(S.dedup(stream, ["event_id"], "40 days").select("event_id", "user_id", "event_type"), folder)
