@@ -33,6 +33,7 @@ from .adam import Adam
 MAX_POSITIVE, MAX_NEGATIVE = 4000, 8000
 SPACE, TERMS, FACTORS = 1 << 18, 2048, 4
 REJECT = 0.7
+MIN_CHI = 10  # chi-square from which a term counts
 WORD = re.compile(r"\w+")
 
 
@@ -70,7 +71,7 @@ def _margin(x: np.ndarray, b: float, w: np.ndarray, v: np.ndarray) -> np.ndarray
     return b + x @ w + 0.5 * ((s * s).sum(1) - (x * x) @ (v * v).sum(1))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 400, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 2000, seed: int = 7) -> FactorizationMachine:
     labels = np.asarray(labels, np.float32)
     n, pos = len(labels), float(labels.sum())
     if not pos or pos == n:
@@ -83,7 +84,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 400, seed: int
     expected = df * pos / n
     chi = np.where(df >= max(3, n // 2000), (df1 - expected) ** 2 / np.maximum(expected * (1 - df / n) * (1 - pos / n), 1e-9), 0)
     terms = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    terms = terms[chi[terms] > 4]
+    terms = terms[chi[terms] > MIN_CHI]
     index = np.full(SPACE, -1, np.int32)
     index[terms] = np.arange(len(terms))
     rows = [(i := index[r])[i >= 0] for r in rows]
@@ -99,7 +100,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 400, seed: int
         g = ((_sigmoid(_margin(x, b[0], w, v)) - labels[pick]) / len(pick)).astype(np.float32)
         s = x @ v
         xg = x.T @ g
-        adam.step([g.sum(keepdims=True), xg + 1e-4 * w, x.T @ (g[:, None] * s) - v * xg[:, None] + 1e-3 * v])
+        adam.step([g.sum(keepdims=True), xg + 1e-5 * w, x.T @ (g[:, None] * s) - v * xg[:, None] + 1e-2 * v])
     return FactorizationMachine(terms, float(b[0]), w, v)
 
 
