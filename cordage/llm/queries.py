@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, language, packing, secrets, simhash, urls
+from . import chat, decontaminate, embeddings, language, packing, secrets, simhash, sql, urls
 from . import html as pages_html
 from . import toxicity as tox
 from .common import fold, table
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_secrets": sql.SECRETS, "op7_urls": sql.URLS, "op10_chat": sql.chat_sql(CONTROL_TEXT)}
