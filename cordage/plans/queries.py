@@ -291,7 +291,7 @@ def set_intersection(spark, d):
     return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
 
 
-@query("SELECT o_orderkey, k, CASE WHEN k = 0 THEN 0.0 ELSE [0.05, 0.15, 0.25][CAST((k - 1) % 3 + 1 AS INTEGER)] END AS wer FROM orders, range(5) t(k)")
+@query("SELECT o_orderkey, k, CAST(CASE WHEN k = 0 THEN 0.0 ELSE [0.05, 0.15, 0.25][CAST((k - 1) % 3 + 1 AS INTEGER)] END AS DOUBLE) AS wer FROM orders, range(5) t(k)")
 def variant_levels(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k"))
     level = F.element_at(F.array(*map(F.lit, (0.05, 0.15, 0.25))), ((F.col("k") - 1) % 3 + 1).cast("int"))
