@@ -102,17 +102,25 @@ def windows_of(data: bytes) -> np.ndarray:
 
 def train(docs: DataFrame, learn: Column, steps: int = 500, seed: int = 11) -> ByteNetwork | None:
     """Learn from the bounded sample of rows for which ``learn`` holds and lang is known."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    # the ids come first, without texts; a rank per language is a top-k that Spark cuts before the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(MAX_DOCS * MAX_LANGS)
-    chosen = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    lang = F.col("lang").cast("string")
+    known = docs.where(learn & F.col("lang").isNotNull())
+    counts = known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not counts:
+        return None
+    # the ids come first, without texts: by a hash, about twice as many of each language as are taken
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * MAX_DOCS / r["n"]))))
+    order = F.xxhash64("doc_id")
+    few = known.select("doc_id", lang.alias("lang")).where(F.pmod(order, F.lit(1_000_003)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_003)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).select("doc_id").distinct()  # MAX_DOCS * MAX_LANGS at most
+    texts = known.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    chosen = texts.join(F.broadcast(ids), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, found = [], []
             for lang, text in zip(b.column(1), b.column(2), strict=True):
-                if LETTER.search(t := text.as_py()):
+                if (t := text.as_py()) and LETTER.search(t):
                     w = windows_of(t.encode("utf-8", "replace"))
                     for i in sorted({0, len(w) // 2, max(0, len(w) - 2)})[:WINDOWS]:
                         langs.append(lang.as_py()), found.append(w[i].tobytes())
