@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
+from ..functions import spoken
 from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import telemetry as E
@@ -307,3 +308,10 @@ def stream_dedup(spark, d):
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     stream = S.event_stream(spark, f"{d}/events.parquet")
     return S.drain(S.dedup(stream, ["event_id"], "40 days").select("event_id", "user_id", "event_type"), folder)
+
+
+@query("SELECT c_custkey, '+5255' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS phone FROM customer")
+def spoken_phone_roundtrip(spark, d):
+    digits = F.concat(F.lit("55"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    said = table(spark, d, "customer").select("c_custkey", spoken.say_phone(digits).alias("said"))
+    return said.select("c_custkey", spoken.read_phones("said").alias("phone"))
