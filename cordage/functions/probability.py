@@ -13,7 +13,7 @@ def softmax(logits: Column) -> Column:
     return F.transform(e, lambda x: x / total)
 
 
-def temper(p: Column, t: float, floor: float = 1e-4) -> Column:
+def temper(p: Column, t: float | Column, floor: float = 1e-4) -> Column:
     """softmax(log p / t), with a floor under p."""
     return softmax(F.transform(p, lambda x: F.log(F.greatest(x, F.lit(floor))) / t))
 

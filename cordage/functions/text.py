@@ -64,11 +64,27 @@ def slice_span(c: Column, start: Column, stop: Column) -> Column:
     return F.substring(c, (start + 1).cast("int"), (stop - start).cast("int"))
 
 
+# Small words that a name keeps in lower case.
+PARTICLES = ("de", "del", "la", "las", "los", "y", "van", "von", "da", "di")
+# Spellings and their sound, in order.
+SOUNDS = [
+    ("ch", "C"), ("ll", "y"), ("qu", "k"), ("gu(?=[ei])", "G"), ("c(?=[ei])", "s"), ("c", "k"), ("z", "s"), ("g(?=[ei])", "j"), ("\\bx", "j"), ("x", "ks"),
+    ("h", ""), ("v", "b"), ("w", "u"), ("y(?![aeiou])", "i"), (r"(\p{L})\1+", "$1"), ("C", "ch"), ("G", "g"),
+]
+
+
+def normalize_name(c: Column) -> Column:
+    """Capitals at the start of words and after marks, particles small unless first; null if it is no name."""
+    title = lambda w: F.replace(F.initcap(F.regexp_replace(w, "(['.-])", "$1\u0001 ")), F.lit("\u0001 "), F.lit(""))
+    words = F.split(squeeze(F.lower(c)), " ")
+    named = F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*PARTICLES), w).otherwise(title(w))), " ")
+    return F.when((squeeze(c) != "") & ~c.rlike(r"[\p{N}_]|[^\p{L}\p{M}\s'.-]"), named)
+
+
 def name_key(c: Column) -> Column:
     """A key that Spanish spellings of one sound share."""
-    k = F.regexp_replace(fold(c), r"[^a-zñ ]", "")
-    # Spellings and their sound, in order.
-    for pattern, sound in [("ch", "C"), ("ll", "y"), ("qu", "k"), ("c([ei])", "s$1"), ("g([ei])", "j$1"), ("c", "k"), ("z", "s"), ("h", ""), ("v", "b"), ("y", "i"), ("C", "ch")]:
+    k = squeeze(F.regexp_replace(fold(c), "[^a-zñ]", " "))
+    for pattern, sound in SOUNDS:
         k = F.regexp_replace(k, pattern, sound)
     return k
 

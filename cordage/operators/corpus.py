@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probability as P
 from ..functions import text as T
+from ..sources.tables import settle
 
 
 def curate_counters(docs: DataFrame, lang: str, max_words: int) -> DataFrame:
@@ -54,20 +55,56 @@ def shortfall(docs: DataFrame, key: str, quota: int) -> DataFrame:
     return docs.groupBy(key).agg(F.count("*").alias("have")).where(F.col("have") < quota).select(key, "have", (F.lit(quota) - F.col("have")).cast("long").alias("short"))
 
 
-def greedy_two_key(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """Keep a row unless its id or its content is already kept, in order, inside each component.
+def greedy_two_key(rows: DataFrame) -> DataFrame:
+    """The places kept when rows go in order of ``place`` and one goes if its id or its content is already kept.
 
-    ``rows(place, id, content)``; ``components(place, component)`` joins rows that share a key.
+    ``rows(place, id, content)`` with unique places; a null id or content is a value like others. In each round the
+    rows that come first for both of their keys are kept, and all rows that share a key with them leave; so no group
+    is ever gathered, and rounds number as the longest chain of rows that block each other (a few in practice).
     """
+    left, kept = settle(rows.select("place", F.struct("id").alias("id"), F.struct("content").alias("content"))), None
+    while not left.isEmpty():
+        first = left
+        for key in ("id", "content"):
+            first = first.join(left.groupBy(key).agg(F.min("place").alias(f"first_{key}")), key)
+        won = settle(first.where("place = first_id AND place = first_content").select("place", "id", "content"))
+        kept = won if kept is None else kept.unionByName(won)
+        left = settle(left.join(won.select("id"), "id", "left_anti").join(won.select("content"), "content", "left_anti"))
+    return (left if kept is None else kept).select("place")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, contents, kept = set(), set(), []
-        for r in pdf.sort_values("place").itertuples(index=False):
-            if r.id not in ids and r.content not in contents:
-                ids.add(r.id), contents.add(r.content), kept.append(r.place)
-        return pd.DataFrame({"place": kept}, dtype="int64")
 
-    return rows.join(components, "place").groupBy("component").applyInPandas(walk, "place long")
+def ambiguous_spellings(docs: DataFrame) -> DataFrame:
+    """Words of which another spelling sounds the same: key, spellings, the first of them."""
+    words = docs.select(F.explode(F.array_distinct(F.split(T.normalize_text(F.col("text")), " "))).alias("w")).where(F.col("w").rlike("^[a-zñ]+$")).distinct()
+    return words.groupBy(T.name_key(F.col("w")).alias("key")).agg(F.count("*").alias("spellings"), F.min("w").alias("first")).where("spellings > 1")
+
+
+def split_leaks(rows: DataFrame, group: str, split: str) -> DataFrame:
+    """Groups that lie in more than one split."""
+    return rows.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+
+
+def folds(rows: DataFrame, key: str, k: int = 5, seed: str = "42") -> DataFrame:
+    """A fold from 0 to k-1 for each row, by hash, so that it does not depend on other rows."""
+    return rows.withColumn("fold", F.least(F.floor(T.hash_fraction(seed, F.col(key)) * k), F.lit(k - 1)).cast("int"))
+
+
+def held_out_ece(rows: DataFrame, key: str, k: int = 5, bins: int = 15) -> DataFrame:
+    """Each fold's calibration error at the temperature fitted on the other folds."""
+    rows, out = folds(rows, key, k), None
+    for f in range(k):
+        t = fit_temperature(rows.where(F.col("fold") != f).withColumn("bucket", F.lit(f)), by="bucket").select(F.col("bucket").alias("fold"), "t")
+        own = rows.where(F.col("fold") == f).join(F.broadcast(t), "fold")  # one row
+        e = calibration_error(own.select(P.temper(F.col("p"), F.col("t")).alias("p"), "gold"), bins).select(F.lit(f).alias("fold"), "ece", "n")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def table_digest(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows and a digest of their contents that does not depend on order, for each group."""
+    line = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(rows.columns)))
+    head = F.conv(F.substring(F.sha2(line, 256), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("_head", head).groupBy(*by).agg(F.count("*").alias("n"), F.sum("_head").alias("digest"))
 
 
 def gate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,8 +177,8 @@ def threshold_at_recall(rows: DataFrame, score: str, positive: str, recall: Frac
     return above.groupBy("threshold").agg(F.round(hits / n, 4).alias("recall"), F.round(hits / F.count("*"), 4).alias("precision")).withColumn("threshold", F.round("threshold", 6))
 
 
-def fit_temperature(rows: DataFrame, low: float = 0.5, high: float = 5.0, grid: int = 181) -> DataFrame:
-    """The temperature with the least mean loss for each gold label's rows.
+def fit_temperature(rows: DataFrame, by: str = "gold", low: float = 0.5, high: float = 5.0, grid: int = 181) -> DataFrame:
+    """The temperature with the least mean loss for each bucket's rows (``by``, an integer column).
 
     The losses on a grid (even in the logarithm) are summed in tasks, so no group is gathered.
     """
@@ -157,8 +194,9 @@ def fit_temperature(rows: DataFrame, low: float = 0.5, high: float = 5.0, grid:
                 p = np.exp(z) / np.exp(z).sum(2, keepdims=True)
                 g = pdf.gold.to_numpy()
                 own = -np.log(np.maximum(p[np.arange(len(g)), :, g], 1e-12))
-                for label in np.unique(g):
-                    yield pd.DataFrame({"gold": int(label), "t": ts, "loss": own[g == label].sum(0), "n": int((g == label).sum())})
+                buckets = pdf.bucket.to_numpy()
+                for b in np.unique(buckets):
+                    yield pd.DataFrame({by: int(b), "t": ts, "loss": own[buckets == b].sum(0), "n": int((buckets == b).sum())})
 
-    sums = rows.select("p", "gold").mapInPandas(losses, "gold int, t double, loss double, n long").groupBy("gold", "t").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
-    return sums.groupBy("gold").agg(F.round(F.min_by("t", "loss"), 4).alias("t"), F.max("n").alias("n"))
+    sums = rows.select("p", "gold", F.col(by).alias("bucket")).mapInPandas(losses, f"{by} int, t double, loss double, n long").groupBy(by, "t").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    return sums.groupBy(by).agg(F.round(F.min_by("t", "loss"), 4).alias("t"), F.max("n").alias("n"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import probability as P
 from ..functions import spoken
 from ..functions import text as T
+from ..operators import augment as A
+from ..operators import calls, checks
 from ..operators import corpus as C
 from ..operators import telemetry as E
 from ..sources.tables import table
@@ -315,3 +317,118 @@ def spoken_phone_roundtrip(spark, d):
     digits = F.concat(F.lit("55"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
     said = table(spark, d, "customer").select("c_custkey", spoken.say_phone(digits).alias("said"))
     return said.select("c_custkey", spoken.read_phones("said").alias("phone"))
+
+
+@query("SELECT c_custkey, '+5255' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS phone FROM customer")
+def spoken_phone_styles(spark, d):
+    digits = F.concat(F.lit("55"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    said = F.when(F.col("c_custkey") % 2 == 0, spoken.say_phone(digits, "digits")).otherwise(spoken.say_phone(digits, "triples"))
+    return table(spark, d, "customer").select("c_custkey", said.alias("said")).select("c_custkey", spoken.read_phones("said").alias("phone"))
+
+
+@query("SELECT c_custkey, 'cliente_' || c_custkey || '@' || lower(c_mktsegment) || '.com.mx' AS email FROM customer")
+def spoken_email_roundtrip(spark, d):
+    email = F.concat(F.lit("cliente_"), F.col("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".com.mx"))
+    said = F.when(F.col("c_custkey") % 2 == 0, spoken.say_email(email)).otherwise(spoken.say_email(email, "spelled"))
+    return table(spark, d, "customer").select("c_custkey", said.alias("said")).select("c_custkey", spoken.read_emails("said").alias("email"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 'De la ' || array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') END AS name FROM part")
+def normalize_name(spark, d):
+    raw = F.concat(F.lit(" DE  la "), F.col("p_name"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey").cast("string")).otherwise(""))
+    return table(spark, d, "part").select("p_partkey", T.normalize_name(raw).alias("name"))
+
+
+def _sound_sql(word: str) -> str:
+    for pattern, sound in [("ch", "C"), ("ll", "y"), ("qu", "k"), ("gu([ei])", "G\\1"), ("c([ei])", "s\\1"), ("c", "k"), ("z", "s"), ("g([ei])", "j\\1"), ("^x", "j"), ("x", "ks"), ("h", ""), ("v", "b"), ("w", "u")] + [("y([^aeiou]|$)", "i\\1")] * 2:
+        word = f"regexp_replace({word}, '{pattern}', '{sound}', 'g')"
+    return f"replace(replace(array_to_string(list_filter(string_split({word}, ''), lambda x, i: i = 1 OR x <> string_split({word}, '')[i - 1]), ''), 'C', 'ch'), 'G', 'g')"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split({FOLD}, ' ')) AS w FROM documents), k AS (SELECT w, {_sound_sql("w")} AS key FROM w WHERE regexp_full_match(w, '[a-zñ]+'))
+SELECT key, count(*) AS spellings, min(w) AS first FROM k GROUP BY 1 HAVING count(*) > 1""")
+def ambiguous_spellings(spark, d):
+    return C.ambiguous_spellings(table(spark, d, "documents"))
+
+
+DOC_SPLIT = SPLIT.replace("conv_id", "doc_id")
+
+
+@query(f"SELECT source, count(DISTINCT CASE WHEN {DOC_SPLIT} <= 0.8 THEN 'train' WHEN {DOC_SPLIT} <= 0.9 THEN 'val' ELSE 'test' END) AS splits FROM documents GROUP BY 1 HAVING splits > 1")
+def split_leakage(spark, d):
+    return C.split_leaks(table(spark, d, "documents").select("source", C.split_of(F.col("doc_id")).alias("split")), "source", "split")
+
+
+@query("SELECT DISTINCT r_name, n_name, c_mktsegment, k FROM (SELECT DISTINCT c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), range(1, 5) t(k)")
+def cross_space(spark, d):
+    j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("c_mktsegment", "n_name", "r_name").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(4)).cast("array<long>")).alias("k"))
+
+
+@query(None)
+def greedy_dedup(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("place"), F.struct("user_id", F.to_date("ts")).alias("id"), F.struct("event_type", F.date_trunc("hour", "ts")).alias("content"))
+    return C.greedy_two_key(rows)
+
+
+@query(None)
+def cv_ece(spark, d):
+    return C.held_out_ece(C.scored(table(spark, d, "embeddings")), "vec_id")
+
+
+@query("SELECT lang, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(doc_id || chr(31) || lang || chr(31) || n_chars), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM documents GROUP BY 1")
+def table_digest(spark, d):
+    return C.table_digest(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "lang")
+
+
+@query(None)
+def call_state_fold(spark, d):
+    # What each type of event stands for.
+    intent = F.when(F.col("event_type") == "signup", "confirmed").when(F.col("event_type") == "error", "out_of_scope").when((F.col("event_type") == "purchase") & (F.col("value") > 60), "call_rejected").otherwise("gives_value")
+    k = F.get_json_object("props", "$.k").cast("long")
+    turns = table(spark, d, "events").select(
+        F.col("user_id").alias("call"), F.struct("ts", "event_id").alias("seq"), intent.alias("intent"), F.least(F.lit(1.0), F.lit(0.5) + k / 100).alias("confidence"),
+        F.when(F.col("event_type").isin("view", "click"), k.cast("string")).alias("value"),
+    )
+    return calls.fold_calls(turns)
+
+
+@query("""WITH p AS (SELECT CASE event_type WHEN 'click' THEN 'barge_in' WHEN 'signup' THEN 'signup' ELSE 'latency' END AS kind, * FROM events)
+SELECT kind, problem, count(*) AS n FROM (SELECT kind, unnest(CASE kind WHEN 'barge_in' THEN CASE WHEN value > 100 THEN ['out_of_bounds:p_real'] ELSE [] END WHEN 'signup' THEN ['unknown_type']
+ELSE list_filter([CASE WHEN event_id % 11 = 0 THEN 'missing:endpointing_ms' END, CASE WHEN event_id % 13 = 0 AND value > 0 THEN 'out_of_bounds:end_to_end_ms' END], lambda x: x IS NOT NULL) END) AS problem FROM p) GROUP BY 1, 2""")
+def event_schema_check(spark, d):
+    e = table(spark, d, "events").withColumn("turn_idx", F.get_json_object("props", "$.k").cast("int"))
+    barge = F.to_json(F.struct("turn_idx", (F.col("value") / 100).alias("p_real"), (F.col("event_id") % 3 == 0).alias("interrupted")))
+    late = F.to_json(F.struct("turn_idx", F.when(F.col("event_id") % 13 == 0, -F.col("value")).otherwise(F.col("value")).alias("end_to_end_ms"), F.when(F.col("event_id") % 11 != 0, 1.5).alias("endpointing_ms")))
+    kind = F.when(F.col("event_type") == "click", "barge_in").when(F.col("event_type") == "signup", "signup").otherwise("latency")
+    rows = e.select(kind.alias("kind"), F.when(F.col("event_type") == "click", barge).otherwise(late).alias("payload"))
+    return rows.select("kind", F.explode(checks.problems(F.col("payload"), F.col("kind"), checks.EVENTS)).alias("problem")).groupBy("kind", "problem").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(CASE WHEN (toxic = 1) <> (quality = 1) THEN 'source' WHEN toxic = 1 AND trim(text) = '' THEN 'response' WHEN toxic <> 1 AND doc_id % 7 = 0 THEN 'field' END, 'ok') AS problem, count(*) AS n
+FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
+def example_schema_check(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    task, source = F.when(F.col("toxic") == 1, "replay").otherwise("extract_entity"), F.when(F.col("quality") == 1, "replay").otherwise("template")
+    inputs = F.to_json(F.struct(F.lit("phone").alias("field"), F.col("text").alias("transcript")))
+    outputs = F.to_json(F.struct(F.when(F.col("doc_id") % 7 == 0, "name").otherwise("phone").alias("field"), F.trim("text").alias("response")))
+    id = F.col("doc_id").cast("string")
+    problem = checks.example_problem(task, source, id, id, inputs, outputs)
+    return rows.groupBy(F.coalesce(problem, F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+def _noised(spark, d):
+    digits = F.concat(F.lit("55"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    said = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("+52"), digits).alias("phone"), spoken.say_phone(digits).alias("said"))
+    rows = said.select("c_custkey", "phone", F.concat(F.lit("mi número es "), "said").alias("text"), F.lit(13).alias("start"), (F.length("said") + 13).alias("end"))
+    return A.add_noise(A.variants(rows, 4), "text", F.col("wer"), F.concat_ws(":", "c_custkey", "k"), "start", "end")
+
+
+@query(None)
+def augment_variants(spark, d):
+    return A.relabel_phone(_noised(spark, d), "phone").select("c_custkey", "k", "wer", "noised", "label", "outcome", F.round("measured", 6).alias("measured"))
+
+
+@query(None)
+def wer_mean(spark, d):
+    return _noised(spark, d).groupBy("k", "wer").agg(F.count("*").alias("n"), F.round(F.avg("measured"), 4).alias("measured"))

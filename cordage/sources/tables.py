@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt"
@@ -16,3 +19,23 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of the schema; a malformed line is a row of nulls with its text in ``_corrupt``."""
     full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the cluster's shared folder; where none is set (one machine), in a temporary one."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a path, with their sizes; their contents are not read."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listing.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+
+
+def intact(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """Sources whose every listed file is there with its size. ``manifest(source, name, bytes)``, ``listing(name, bytes)``."""
+    found = manifest.join(listing.select("name", "bytes", F.lit(1).alias("hit")).distinct(), ["name", "bytes"], "left")
+    return found.groupBy("source").agg(F.count("*").alias("files"), (F.count("hit") == F.count("*")).alias("intact"))

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from cordage.functions import spoken
 from cordage.functions import text as T
+from cordage.operators import augment as A
+from cordage.operators import calls, checks
 from cordage.operators import corpus as C
+from cordage.sources import tables
 
 
 @pytest.mark.parametrize(
@@ -32,10 +35,17 @@ def test_text_functions(spark):
 
 
 def test_greedy_two_key(spark):
-    rows = [(0, "1", "a"), (1, "2", "a"), (2, "2", "b"), (10, "7", "x"), (11, "7", "y"), (12, "8", "y")]
+    import random
+
+    rng = random.Random(3)
+    rows = [(p, str(rng.randrange(40)), rng.choice([None, *"abcdefghijklmnopqrstuvwxyz"])) for p in range(120)] + [(200, "7", "x"), (201, "7", "y"), (202, "8", "y")]
+    ids, contents, kept = set(), set(), []
+    for p, i, c in rows:
+        if i not in ids and c not in contents:
+            ids.add(i), contents.add(c), kept.append(p)
     df = spark.createDataFrame(rows, "place long, id string, content string")
-    comp = spark.createDataFrame([(p, 0 if p < 10 else 1) for p, *_ in rows], "place long, component long")
-    assert sorted(r.place for r in C.greedy_two_key(df, comp).collect()) == [0, 2, 10, 12]
+    assert sorted(r.place for r in C.greedy_two_key(df).collect()) == kept
+    assert C.greedy_two_key(df.limit(0)).count() == 0
 
 
 def test_quotas_and_empty_tables(spark):
@@ -43,3 +53,115 @@ def test_quotas_and_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert C.stratified(docs, "lang", 5).count() == C.first_wins(docs).count() == C.shortfall(docs, "lang", 5).count() == 0
     assert pd.DataFrame(C.curate_counters(docs, "es", 10).collect()).empty
+
+
+@pytest.mark.parametrize(
+    ("said", "phone"),
+    [
+        ("ocho uno, 82, treinta y cuatro, cinco seis, 78", "+528182345678"), ("más 52 1 81 82 34 56 78", "+528182345678"), ("es el ochocientos dieciocho doscientos treinta y cuatro 56 78", "+528182345678"),
+        ("ocho uno oso dos tres cuatro cinco seis siete ocho", None), ("no me acuerdo", None), ("cero uno ocho dos tres cuatro cinco seis siete ocho", None),
+    ],
+)
+def test_read_phone_among_other_words(said, phone):
+    assert spoken.read_phone(said) == phone
+
+
+@pytest.mark.parametrize(
+    ("said", "email"),
+    [
+        ("jota u a ene punto pe e ere e zeta arroba ge eme a i ele punto com", "juan.perez@gmail.com"), ("mi correo es juan guion bajo pérez todo junto arroba outlook punto com", "juan_perez@outlook.com"),
+        ("juan noventa y ocho arroba gmail punto com", "juan98@gmail.com"), ("ele u ce i a doble ve arroba yahoo punto com", "luciaw@yahoo.com"), ("be de burro e te o arroba gmail punto com", "beto@gmail.com"),
+        ("i griega o ele a arroba gmail punto com punto mx", "yola@gmail.com.mx"), ("juan de la rosa arroba gmail punto com", "juandelarosa@gmail.com"), ("JUAN.PEREZ@GMAIL.COM", "juan.perez@gmail.com"),
+        ("juan punto perez arroba gmail", None), ("juan arroba perez arroba gmail punto com", None), ("punto juan arroba gmail punto com", None), ("juan punto punto perez arroba gmail punto com", None),
+        ("jota u a eñe o arroba gmail punto com", None), ("juan punto de punto perez arroba gmail punto com", None), ("", None), (None, None),
+    ],
+)
+def test_read_email(said, email):
+    assert spoken.read_email(said) == email
+
+
+def test_spoken_forms_read_back(spark):
+    emails = ["juan.perez@gmail.com", "maria_lopez98@hotmail.com", "ana-garcia@empresa.com.mx", "x.ramirez07@live.com.mx", "jose2024@icloud.com", "doble.correo@punto.com"]
+    df = spark.createDataFrame([(e,) for e in emails], "e string")
+    for style in ("words", "spelled"):
+        for e, said in df.select("e", spoken.say_email(F.col("e"), style)).collect():
+            assert spoken.read_email(said) == e, (style, said)
+    phones = ["8200345678", "5500000000", "3310010005", "9999999999", "2005030100"]
+    df = spark.createDataFrame([(p,) for p in phones], "p string")
+    for style in ("digits", "pairs", "triples"):
+        for p, said in df.select("p", spoken.say_phone(F.col("p"), style)).collect():
+            assert spoken.read_phone(said) == f"+52{p}", (style, said)
+
+
+def test_names(spark):
+    raw = ["  maría   de la luz  ", "JOSÉ LUIS GARCÍA-LÓPEZ", "de la rosa ibarra", "o'connor", "", "   ", "juan 23", "juan@perez", None]
+    df = spark.createDataFrame([(r,) for r in raw], "n string")
+    assert [r[0] for r in df.select(T.normalize_name(F.col("n"))).collect()] == ["María de la Luz", "José Luis García-López", "De la Rosa Ibarra", "O'Connor"] + [None] * 5
+    key = lambda *names: [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(T.name_key(F.col("n"))).collect()]
+    same = "Ximena Jimena Ibarra Ybarra Valeria Baleria Gisela Jisela Cecilia Sesilia Hernández Ernandez Yolanda Llolanda Enrique Enrike".split()
+    keys = key(*same)
+    assert keys[::2] == keys[1::2] and len(set(key("Juan", "Juana", "Luis", "Luisa", "Mario", "María"))) == 6
+
+
+def test_noise(spark):
+    text = " ".join(["no", "cinco", "sesenta", "vaca", "de", "ocho,", "ya", "zeta"] * 5)
+    df = spark.range(400).withColumn("t", F.lit(text)).withColumn("wer", F.lit(0.15))
+    noised = A.add_noise(df, "t", F.col("wer"), F.col("id"))
+    rows = noised.collect()
+    assert abs(sum(r.measured for r in rows) / 400 - 0.15) < 0.01
+    assert all(r.noised.split().count("no") == 5 and r.noised.split().count("ya") == 5 for r in rows)
+    assert {t.kind for r in rows for t in r.tokens} == {None, "homophone", "mishearing", "respelled", "filler", "deleted"}
+    assert sorted(rows) == sorted(A.add_noise(df.repartition(7), "t", F.col("wer"), F.col("id")).collect())
+    odd = spark.createDataFrame([(None, 0.5), ("", 0.5), ("no ya", 0.9), (", ,", 0.9)], "t string, wer double")
+    assert [r.noised for r in A.add_noise(odd, "t", F.col("wer"), F.lit(1)).collect()] == [None, "", "no ya", ", ,"]
+
+
+def test_relabel(spark):
+    tokens = "array<struct<text:string,original:string,kind:string,in_value:boolean>>"
+    said = "ochenta y uno ochenta y dos treinta y cuatro sesenta y cinco setenta y ocho".split()
+    edited = lambda **e: [(e[w][0], w, e[w][1], True) if w in e else (w, w, None, True) for w in said]
+    full, rows = "+528182346578", [
+        (edited(cinco=("sinco", "respelled")), "+528182346578"), (edited(sesenta=("setenta", "mishearing")), "+528182346578"),
+        (edited(dos=("trece cuatro", "mishearing")), "+528182346578"), (edited(sesenta=("setenta", "mishearing")), None),
+    ]
+    got = A.relabel_phone(spark.createDataFrame(rows, f"tokens {tokens}, truth string"), "truth").collect()
+    assert [(r.outcome, r.label) for r in got[:3]] == [("kept", full), ("heard", "+528182347578"), ("unresolved", None)] and got[3].outcome == "dropped"
+
+
+TURNS = {
+    1: [("gives", 0.9, "Ana"), ("confirmed", 0.9, None), ("gives", 0.9, "+52"), ("confirmed", 0.9, None), ("gives", 0.9, "a@b"), ("confirmed", 0.8, None), ("gives", 0.9, "late")],
+    2: [("gives", 0.9, "Ana"), ("call_rejected", 0.9, None), ("gives", 0.9, "Ana")],
+    3: [("out_of_scope", 0.9, None)] * 3 + [("gives", 0.9, None)] * 2 + [("gives", 0.9, "x"), ("denied", 0.9, "y"), ("confirmed", 0.5, None)],
+    4: [(None, None, None)],
+}
+ENDED = {1: (6, "completed", 3, 0, 0, 0), 2: (2, "rejected", 0, 0, 0, 0), 3: (8, "open", 0, 1, 2, 4), 4: (1, "open", 0, 0, 0, 1)}
+
+
+def _turn_rows(spark):
+    rows = [(c, k, *t) for c, ts in TURNS.items() for k, t in enumerate(ts)] + [(None, 0, "gives", 0.9, "x")]
+    return spark.createDataFrame(rows[::-1], "call long, seq long, intent string, confidence double, value string")
+
+
+def test_call_state(spark, tmp_path):
+    turns = _turn_rows(spark)
+    assert {r[0]: tuple(r[1:]) for r in calls.fold_calls(turns).collect()} == ENDED
+    assert calls.fold_calls(turns.limit(0)).count() == 0
+    for part in (0, 1):
+        turns.where(f"call is not null and seq % 100 >= 3 = {part == 1}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = calls.stream_calls(spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 10).parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.format("memory").queryName("calls_out").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r[0]: tuple(r[1:]) for r in spark.table("calls_out").collect()} == ENDED
+
+
+def test_checks(spark):
+    rows = [("call_ended", '{"outcome":"completed","turns":3}'), ("call_ended", '{"outcome":"lost","turns":-1}'), ("nothing", "{}"), ("latency", "[1]"), ("latency", None), (None, "{}"), ("barge_in", '{"turn_idx":0,"interrupted":true,"p_real":2}')]
+    got = spark.createDataFrame(rows, "kind string, payload string").select(checks.problems(F.col("payload"), F.col("kind"), checks.EVENTS)).collect()
+    assert [sorted(r[0]) for r in got] == [[], ["not_allowed:outcome", "out_of_bounds:turns"], ["unknown_type"], ["not_an_object"], ["not_an_object"], ["unknown_type"], ["out_of_bounds:p_real"]]
+
+
+def test_intact(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"12"), (tmp_path / "b").write_bytes(b"123")
+    manifest = spark.createDataFrame([("s", "a", 2), ("s", "b", 3), ("t", "a", 2), ("t", "c", 1), ("u", "a", 9)], "source string, name string, bytes long")
+    found = tables.intact(manifest, tables.files(spark, str(tmp_path)))
+    assert {r.source: r.intact for r in found.collect()} == {"s": True, "t": False, "u": False}
