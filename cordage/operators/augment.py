@@ -112,13 +112,15 @@ def relabel_phone(rows: DataFrame, truth: str) -> DataFrame:
     Edits that leave the number readable are undone before it is read again; what remains was heard. A row without
     a number never gains one: it is dropped if its noise reads as a number.
     """
+    read = spoken.read_phones.asNondeterministic()  # read once, and not moved into filters or conditions above
     lost = lambda t: t["kind"].isNotNull() & ~t["kind"].isin(*RECOVERABLE["phone"])
     value = F.filter("tokens", lambda t: t["in_value"])
     heard = F.array_join(F.transform(value, lambda t: F.when(lost(t), t["text"]).otherwise(F.coalesce(t["original"], t["text"]))), " ")
-    df = rows.withColumn("_hit", F.exists(value, lost)).withColumn("_heard", spoken.read_phones(F.when(F.exists(value, lost), heard)))
+    df = rows.withColumn("_hit", F.exists(value, lost)).withColumn("_said", F.when(F.exists(value, lost), heard))
+    df = df.withColumn("_heard", read("_said"))
     same = ~F.col("_hit") | F.col("_heard").eqNullSafe(F.col(truth))
     outcome = F.when(same, "kept").when(F.col(truth).isNull(), "dropped").when(F.col("_heard").isNull(), "unresolved").otherwise("heard")
-    return df.withColumn("outcome", outcome).withColumn("label", F.when(same, F.col(truth)).otherwise(F.col("_heard"))).drop("_hit", "_heard")
+    return df.withColumn("outcome", outcome).withColumn("label", F.when(same, F.col(truth)).otherwise(F.col("_heard"))).drop("_hit", "_said", "_heard")
 
 
 def variants(rows: DataFrame, k: int, levels: tuple[float, ...] = (0.05, 0.15, 0.25)) -> DataFrame:
