@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import decisions
 from ..functions import probability as P
 from ..functions import spoken
 from ..functions import text as T
 from ..operators import augment as A
 from ..operators import calls, checks
 from ..operators import corpus as C
+from ..operators import examples as X
+from ..operators import phrases as B
 from ..operators import telemetry as E
+from ..sources import ingest
 from ..sources.tables import table
 from ..streaming import events as S
 
@@ -432,3 +436,98 @@ def augment_variants(spark, d):
 @query(None)
 def wer_mean(spark, d):
     return _noised(spark, d).groupBy("k", "wer").agg(F.count("*").alias("n"), F.round(F.avg("measured"), 4).alias("measured"))
+
+
+# What the phrase queries make of a part: its task by key, its label, its phrases as a model would reply.
+TASK_SQL = "CASE p_partkey % 3 WHEN 0 THEN 'extract_entity' WHEN 1 THEN 'classify_intent' ELSE 'is_real_interruption' END"
+PHRASES_SQL = f"""WITH r AS (SELECT p_partkey AS place, {TASK_SQL} AS task, p_type AS label, unnest([p_name, p_name || ' {{value}}', p_brand, p_name || ' ' || repeat(p_type || ' ', p_size)]) AS text, unnest([0, 1, 2, 3]) AS nr FROM part),
+c AS (SELECT place, nr, task, label, trim(text) AS text, len(string_split(replace(trim(text), '{{value}}', 'x'), ' ')) AS words, contains(text, '{{value}}') AS framed FROM r),
+j AS (SELECT *, task || '|' || label || '|' || lower(replace(text, '{{value}}', 'valor')) AS key, CASE WHEN framed <> (task = 'extract_entity') THEN 'value' WHEN regexp_matches(text, '[0-9]') THEN 'forbidden'
+WHEN words > CASE task WHEN 'extract_entity' THEN 30 WHEN 'classify_intent' THEN 25 ELSE 8 END THEN 'words' END AS reason FROM c),
+b AS (SELECT DISTINCT {TASK_SQL} || '|' || p_type || '|' || lower(p_name) AS key FROM part WHERE p_size > 45),
+k AS (SELECT key, min(place * 4 + nr) AS first, count(*) AS n FROM j WHERE reason IS NULL AND key NOT IN (SELECT key FROM b) GROUP BY key)"""
+
+
+def _phrases(spark, d):
+    k = F.col("p_partkey") % 3
+    task = F.when(k == 0, "extract_entity").when(k == 1, "classify_intent").otherwise("is_real_interruption")
+    long = F.concat_ws(" ", "p_name", F.expr("repeat(p_type || ' ', p_size)"))
+    quoted = F.concat(F.lit('"'), "p_name", F.lit(' {value}"'))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.col("p_name"), quoted, F.col("p_brand"), long).alias("phrases"))), F.lit("\n```"))
+    part = table(spark, d, "part").withColumn("task", task)
+    bank = part.where("p_size > 45").select("task", F.col("p_type").alias("label"), F.col("p_name").alias("text"))
+    found = B.candidates(part.select("task", F.col("p_type").alias("label"), reply.alias("reply"), F.col("p_partkey").alias("place")))
+    return found, B.new_phrases(found, bank)
+
+
+@query(PHRASES_SQL + " SELECT 'cp-' || substr(sha256(k.key), 1, 12) AS id, task, label, text, 'pending' AS status, n FROM k JOIN j ON j.key = k.key AND place * 4 + nr = first")
+def phrase_bank(spark, d):
+    return _phrases(spark, d)[1]
+
+
+@query(PHRASES_SQL + ", p AS (SELECT coalesce(reason, 'duplicate') AS reason, count(*) AS n FROM j GROUP BY 1) SELECT reason, n - CASE WHEN reason = 'duplicate' THEN (SELECT count(*) FROM k) ELSE 0 END AS n FROM p")
+def phrase_rejections(spark, d):
+    return B.rejections(*_phrases(spark, d))
+
+
+# A few settings for the example queries.
+FLOWS = [("validate_contact", "Tengo 81 82 34 56 78. ¿Es correcto?", ["ECONOMY", "PROMO"]), ("confirm_appointment", "¿Nos confirma su asistencia?", ["ECONOMY", "STANDARD"])]
+UTTERANCES = ["Le llamo para confirmar su cita de mañana", "¿Es correcto?", "Perfecto"]
+
+
+@query("""WITH f AS (SELECT * FROM (VALUES ('validate_contact', 'Tengo 81 82 34 56 78. ¿Es correcto?', 'ECONOMY'), ('validate_contact', 'Tengo 81 82 34 56 78. ¿Es correcto?', 'PROMO'), ('confirm_appointment', '¿Nos confirma su asistencia?', 'ECONOMY'),
+('confirm_appointment', '¿Nos confirma su asistencia?', 'STANDARD')) t(flow, context, intent)), p AS (SELECT DISTINCT p_type AS intent, p_name AS transcript FROM part)
+SELECT 'syn-classify_intent-' || substr(sha256(flow || chr(0) || context || chr(0) || transcript || chr(0) || intent), 1, 12) AS id, flow, context, transcript, intent, 0.95::DOUBLE AS confidence FROM f JOIN p USING (intent)""")
+def intent_examples(spark, d):
+    return X.intent_examples(table(spark, d, "part").select(F.col("p_type").alias("label"), F.col("p_name").alias("text")), FLOWS)
+
+
+@query("""WITH u AS (SELECT u, string_split(u, ' ') AS w FROM (VALUES ('Le llamo para confirmar su cita de mañana'), ('¿Es correcto?'), ('Perfecto')) t(u)), s AS (SELECT u, w, unnest(range(1, len(w))) AS pos FROM u),
+p AS (SELECT DISTINCT p_name AS transcript, CASE WHEN p_size % 2 = 0 THEN 'backchannel' ELSE 'objection' END AS kind FROM part)
+SELECT 'syn-is_real_interruption-' || substr(sha256(u || chr(0) || pos || chr(0) || transcript || chr(0) || kind), 1, 12) AS id, u AS agent_utterance, CAST(pos AS INTEGER) AS position, array_to_string(w[1:pos], ' ') AS agent_said,
+transcript, kind, kind <> 'backchannel' AS interruption, 0.95::DOUBLE AS confidence FROM s, p""")
+def interruption_examples(spark, d):
+    kind = F.when(F.col("p_size") % 2 == 0, "backchannel").otherwise("objection")
+    return X.interruption_examples(table(spark, d, "part").select(kind.alias("kind"), F.col("p_name").alias("text")), UTTERANCES)
+
+
+def entity_people(spark, d):
+    digits = F.concat(F.lit("55"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    email = F.concat(F.lit("cliente_"), F.col("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".com.mx"))
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.regexp_replace(F.translate("n_name", "_0123456789", " "), r"\\s+$", ""), F.lit(" Ybarra")).alias("name"))
+    return table(spark, d, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("id"), "name", digits.alias("phone"), email.alias("email"))
+
+
+ENTITY = {"frames": ["{value}", "claro, {value}", "{value}, ¿ya?"], "refusals": {"name": ["prefiero no decirle"], "phone": ["luego se lo paso"], "email": ["no tengo correo"]}, "unclear": ["ybarra"]}
+
+
+@query(None)
+def entity_examples(spark, d):
+    return X.entity_examples(entity_people(spark, d), **ENTITY)
+
+
+@query("""WITH o AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS c, value FROM events),
+p AS (SELECT event_id, event_type, CASE event_type WHEN 'view' THEN c WHEN 'click' THEN 1 - c WHEN 'signup' THEN 1 - c WHEN 'purchase' THEN CASE WHEN value BETWEEN 0 AND 100 THEN round(value / 100, 4) ELSE 0.5 END ELSE 0.5 END AS p FROM o)
+SELECT event_id, round(p, 6) AS p_real, p >= 0.35 OR event_type = 'signup' AS interrupts FROM p""")
+def interruption_decisions(spark, d):
+    c = F.get_json_object("props", "$.k").cast("double") / 100
+    of = lambda yes, confidence, **more: F.to_json(F.struct(F.lit(yes).alias("interruption"), confidence.alias("confidence"), *(F.lit(v).alias(k) for k, v in more.items())))
+    output = (
+        F.when(F.col("event_type") == "view", of(True, c)).when(F.col("event_type") == "click", of(False, c, kind="backchannel"))
+        .when(F.col("event_type") == "signup", of(False, c, kind="rejection")).when(F.col("event_type") == "purchase", of(True, F.round(F.col("value") / 100, 4))).otherwise("no answer")
+    )
+    p_real, interrupts = decisions.interruption(output, 0.35)
+    return table(spark, d, "events").select("event_id", F.round(p_real, 6).alias("p_real"), interrupts.alias("interrupts"))
+
+
+@query("""WITH s AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE 'src_' || c_custkey END AS name, c_custkey % 3 AS k, c_custkey AS i FROM customer)
+SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN i % 5 = 0 THEN 'name' END, CASE WHEN k = 2 THEN 'kind' END, CASE WHEN k = 0 AND i % 4 = 0 THEN 'sha256' END, CASE WHEN k = 1 AND i % 7 <> 0 THEN 'revision' END,
+CASE WHEN i % 11 = 0 THEN 'license' END, CASE WHEN i % 13 = 0 THEN 'verified' END], lambda x: x IS NOT NULL)) AS problem FROM s) GROUP BY 1""")
+def source_problems(spark, d):
+    i, sha = F.col("c_custkey"), F.sha2("c_name", 256)
+    specs = table(spark, d, "customer").select(
+        F.when(i % 5 == 0, F.col("c_name")).otherwise(F.concat(F.lit("src_"), i.cast("string"))).alias("name"), F.element_at(F.array(F.lit("url"), F.lit("hf_dataset"), F.lit("ftp")), (i % 3 + 1).cast("int")).alias("kind"),
+        F.lit("https://a/b").alias("url"), F.when(i % 4 != 0, sha).alias("sha256"), F.lit("a/b").alias("repo_id"), F.when(i % 7 == 0, F.substring(sha, 1, 40)).otherwise("main").alias("revision"),
+        F.when(i % 11 != 0, "MIT").alias("license"), F.lit("test").alias("purpose"), F.when(i % 13 != 0, i % 2 == 0).alias("verified"),
+    )
+    return ingest.source_problems(specs).groupBy("problem").agg(F.count("*").alias("n"))
