@@ -58,7 +58,7 @@ def entity_examples(people: DataFrame, frames: list[str], refusals: dict[str, li
     words = F.split(T.squeeze(F.lower("name")), " ")
     doubtful = F.filter(words, lambda w: w.isin(*unclear) if unclear else F.lit(False))
     spelled = is_field("name") & (F.size(doubtful) > 0) & (draw("spelled") < 0.5)
-    said_name = F.when(spelled, F.concat(F.lower("name"), F.lit(", "), doubtful[0], F.lit(" se escribe "), spoken.spell(doubtful[0]))).otherwise(F.lower("name"))
+    said_name = F.when(spelled, F.concat(T.squeeze(F.lower("name")), F.lit(", "), doubtful[0], F.lit(" se escribe "), spoken.spell(doubtful[0]))).otherwise(T.squeeze(F.lower("name")))
     phone_style, email_style = _pick(["digits", "pairs", "triples"], draw("style")), _pick(["words", "spelled"], draw("style"))
     said_phone = F.when(phone_style == "digits", spoken.say_phone(phone, "digits")).when(phone_style == "pairs", spoken.say_phone(phone)).otherwise(spoken.say_phone(phone, "triples"))
     said_email = F.when(email_style == "words", spoken.say_email(email)).otherwise(spoken.say_email(email, "spelled"))
