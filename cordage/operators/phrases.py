@@ -17,6 +17,21 @@ FORBIDDEN = r"(?U)\d|@|https?://|www\."
 QUOTES = "\"'«»“”"
 
 
+def requests(labels: DataFrame, target: int, overgenerate: float, per_request: int, personas: list[str]) -> DataFrame:
+    """Requests that ask for more than each label's part of ``target``: ``(task, label, i, persona, n, seed, context)``.
+
+    ``labels(task, label, share, contexts)``: a task's share is divided evenly among its labels; personas and contexts (an array,
+    may be null or empty) take turns. The seed is the first eight hex digits of sha256(task:label:i). Labels are settings.
+    """
+    counts = labels.groupBy("task").agg(F.count_distinct("label").alias("_labels"))
+    times = F.ceil(F.lit(float(target)) * F.col("share") * overgenerate / F.col("_labels") / per_request).cast("int")
+    turns = F.filter(F.sequence(F.lit(0), F.greatest(times - 1, F.lit(0))), lambda i: i < times)
+    rows = labels.dropDuplicates(["task", "label"]).join(counts, "task").select("task", "label", "contexts", F.explode(turns).alias("i"))
+    seed = F.conv(F.substring(F.sha2(F.concat_ws(":", "task", "label", F.col("i").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    turn = lambda xs: F.when(F.size(xs) > 0, F.get(xs, F.pmod(F.col("i"), F.greatest(F.size(xs), F.lit(1)))))
+    return rows.select("task", "label", "i", turn(F.array(*map(F.lit, personas))).alias("persona"), F.lit(per_request).alias("n"), seed.alias("seed"), turn(F.col("contexts")).alias("context"))
+
+
 def read_reply(reply: Column) -> Column:
     """The strings under ``phrases`` of the JSON object in a reply, fenced or not; none where there is no such list."""
     found = F.try_variant_get(F.try_parse_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0)), "$.phrases", "array<variant>")

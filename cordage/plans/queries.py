@@ -470,6 +470,19 @@ def phrase_rejections(spark, d):
     return B.rejections(*_phrases(spark, d))
 
 
+@query(f"""WITH l AS (SELECT DISTINCT {TASK_SQL} AS task, p_brand AS label FROM part), c AS (SELECT task, count(*) AS labels, CASE task WHEN 'extract_entity' THEN 0.5 WHEN 'classify_intent' THEN 0.3 ELSE 0.2 END AS share FROM l GROUP BY 1),
+r AS (SELECT task, label, unnest(range(0, CAST(ceil(4000.0::DOUBLE * share * 1.5 / labels / 8) AS BIGINT))) AS i FROM l JOIN c USING (task))
+SELECT task, label, CAST(i AS INTEGER) AS i, CASE i % 3 WHEN 0 THEN 'cooperative' WHEN 1 THEN 'rushed' ELSE 'distracted' END AS persona, 8 AS n, CAST('0x' || substr(sha256(task || ':' || label || ':' || i), 1, 8) AS BIGINT) AS seed,
+CASE WHEN task = 'classify_intent' THEN CASE i % 2 WHEN 0 THEN '¿Es correcto?' ELSE '¿Podrá asistir?' END END AS context FROM r""")
+def phrase_requests(spark, d):
+    k = F.col("p_partkey") % 3
+    task = F.when(k == 0, "extract_entity").when(k == 1, "classify_intent").otherwise("is_real_interruption")
+    share = F.when(k == 0, 0.5).when(k == 1, 0.3).otherwise(0.2)
+    contexts = F.when(k == 1, F.array(F.lit("¿Es correcto?"), F.lit("¿Podrá asistir?")))
+    labels = table(spark, d, "part").select(task.alias("task"), F.col("p_brand").alias("label"), share.alias("share"), contexts.alias("contexts"))
+    return B.requests(labels, 4000, 1.5, 8, ["cooperative", "rushed", "distracted"])
+
+
 # A few settings for the example queries.
 FLOWS = [("validate_contact", "Tengo 81 82 34 56 78. ¿Es correcto?", ["ECONOMY", "PROMO"]), ("confirm_appointment", "¿Nos confirma su asistencia?", ["ECONOMY", "STANDARD"])]
 UTTERANCES = ["Le llamo para confirmar su cita de mañana", "¿Es correcto?", "Perfecto"]

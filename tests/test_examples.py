@@ -38,6 +38,12 @@ def test_bank_keeps_the_first_and_nothing_known(spark):
     assert [r["text"] for r in B.approved(bank).collect()] == ["Bueno."]
 
 
+def test_requests(spark):
+    labels = spark.createDataFrame([("a", "x", 0.5, ["p", "q"]), ("a", "y", 0.5, []), ("b", "z", 0.0, None)], "task string, label string, share double, contexts array<string>")
+    got = sorted((r["label"], r["i"], r["persona"], r["context"]) for r in B.requests(labels, 20, 2.0, 4, ["m", "n"]).collect())
+    assert got == [("x", 0, "m", "p"), ("x", 1, "n", "q"), ("x", 2, "m", "p"), ("y", 0, "m", None), ("y", 1, "n", None), ("y", 2, "m", None)]
+
+
 def test_interruption(spark):
     rows = [
         ('{"interruption": true, "confidence": 0.4}', 0.4, True), ('{"interruption": true, "confidence": 0.3}', 0.3, False), ('{"interruption": false, "confidence": 0.9, "kind": "backchannel"}', 0.1, False),
