@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordage.llm import decontaminate, packing, secrets, simhash
+from cordage.llm import decontaminate, jaccard, packing, secrets
 from cordage.llm import toxicity as tox
 from cordage.llm.common import cut, fold, table
 
@@ -23,10 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest id; null ids all stay.
 
+    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 4/5 or more.
     The texts are shuffled once, at every size of input. Where rows repeat an id that stays, one of
     them (the smallest by content) is kept.
     """
-    found = cut(simhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    found = cut(jaccard.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
     gone = found.where("doc_id <> component_id or n > 1").select("doc_id")
     rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id = component_id and n > 1").select("doc_id")
