@@ -3,16 +3,18 @@
 Terms are lower-cased words and their beginnings of four and five letters (inflected forms share
 them), each counted once a text and hashed. The machine has a weight for each term and a vector of
 ``FACTORS`` numbers, whose products are the weights of term pairs, so that an insult together with
-the mention of a group can weigh more than both alone. Only terms whose presence goes with the
-label in the training rows enter (chi-square); all others have weight zero, so a text's length
-alone does not move its score.
+the mention of a group can weigh more than both alone. Only terms that tell the label in the training
+rows enter, alone (chi-square) or in a pair (contrast of the pair's four cells, so that terms which say
+nothing alone are found too); all others have weight zero, so a text's length alone does not move its
+score.
 
-Training takes at most ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled rows, chosen by a hash of the
-id; they bound what the driver holds. Scoring reads every whole text.
+Training takes one text of each of at most ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled ids, chosen by
+a hash of the id; they bound what the driver holds. Scoring reads every whole text.
 
 Defined cases: null and empty texts get the score of a text without terms. If no label of both
 kinds can be learned from, every score is the share of label 1 (0 without labels). Repeated rows are
-scored each. Labels that are null or differ for one id count by their largest value.
+scored each; to learn from, an id that many rows repeat gives one of its texts. Labels that are null or
+differ for one id count by their largest value. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from .adam import Adam
 MAX_POSITIVE, MAX_NEGATIVE = 4000, 8000
 SPACE, TERMS, FACTORS = 1 << 18, 2048, 4
 REJECT = 0.7
-MIN_CHI = 10  # chi-square from which a term counts
+MIN_CHI, MIN_CONTRAST = 20, 6  # chi-square from which a term counts, standard errors from which a pair does
+L2_W, L2_V = 1e-5, 1e-4  # penalties on weights and factors
+BATCH = 256
+PAIR_TERMS = 1536  # the commonest terms of the training rows, whose pairs are looked at
 WORD = re.compile(r"\w+")
 
 
@@ -71,20 +76,57 @@ def _margin(x: np.ndarray, b: float, w: np.ndarray, v: np.ndarray) -> np.ndarray
     return b + x @ w + 0.5 * ((s * s).sum(1) - (x * x) @ (v * v).sum(1))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 2000, seed: int = 7) -> FactorizationMachine:
-    labels = np.asarray(labels, np.float32)
+def _dense(rows: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """One row per text, 1 where it holds the term."""
+    index = np.full(SPACE, -1, np.int32)
+    index[terms] = np.arange(len(terms))
+    x = np.zeros((len(rows), len(terms)), np.float32)
+    for k, r in enumerate(rows):
+        x[k, (i := index[r])[i >= 0]] = 1
+    return x
+
+
+def informative_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms that tell the label alone (chi-square), and terms that tell it only in pairs.
+
+    For a pair, the rates of label 1 in the four cells of the two terms are compared: their contrast
+    p11 - p10 - p01 + p00 is 0 where the terms add up, whatever each does alone. Pairs whose contrast is
+    ``MIN_CONTRAST`` standard errors or more bring in both terms.
+    """
     n, pos = len(labels), float(labels.sum())
-    if not pos or pos == n:
-        share = min(max(pos / n, 1e-9), 1 - 1e-9) if n else 1e-9
-        return FactorizationMachine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     flat = np.concatenate(rows)
     of = np.repeat(np.arange(n), [len(r) for r in rows])
     df = np.bincount(flat, minlength=SPACE)
     df1 = np.bincount(flat[labels[of] > 0], minlength=SPACE)
     expected = df * pos / n
     chi = np.where(df >= max(3, n // 2000), (df1 - expected) ** 2 / np.maximum(expected * (1 - df / n) * (1 - pos / n), 1e-9), 0)
-    terms = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    terms = terms[chi[terms] > MIN_CHI]
+    alone = np.argsort(-chi, kind="stable")[:TERMS]
+    alone = alone[chi[alone] > MIN_CHI]
+    common = np.sort(np.argsort(-df, kind="stable")[:PAIR_TERMS])
+    common = common[(df[common] >= 5) & (df[common] <= n - 5)]
+    both, both1 = np.zeros((2, len(common), len(common)))
+    for at in range(0, n, 2048):
+        x, y = _dense(rows[at : at + 2048], common), labels[at : at + 2048] > 0
+        both += x.T @ x
+        both1 += x[y].T @ x[y]
+    d, d1, contrast, error = df[common], df1[common], 0.0, 0.0
+    cells = ((1, both, both1), (-1, d[:, None] - both, d1[:, None] - both1), (-1, d[None] - both, d1[None] - both1), (1, n - d[:, None] - d[None] + both, pos - d1[:, None] - d1[None] + both1))
+    enough = np.logical_and.reduce([c >= 5 for _, c, _ in cells])
+    for sign, c, c1 in cells:
+        rate = (c1 + 0.5) / (c + 1)
+        contrast, error = contrast + sign * rate, error + rate * (1 - rate) / (c + 1)
+    strength = np.where(enough, np.abs(contrast) / np.sqrt(error), 0).max(1, initial=0)
+    paired = common[strength >= MIN_CONTRAST]
+    return np.unique(np.concatenate([alone, paired[np.argsort(-strength[strength >= MIN_CONTRAST], kind="stable")][:TERMS]]))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 2000, seed: int = 7) -> FactorizationMachine:
+    labels = np.asarray(labels, np.float32)
+    n, pos = len(labels), float(labels.sum())
+    if not pos or pos == n:
+        share = min(max(pos / n, 1e-9), 1 - 1e-9) if n else 1e-9
+        return FactorizationMachine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    terms = informative_terms(rows, labels)
     index = np.full(SPACE, -1, np.int32)
     index[terms] = np.arange(len(terms))
     rows = [(i := index[r])[i >= 0] for r in rows]
@@ -93,14 +135,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 2000, seed: int
     v = rng.normal(0, 0.02, (len(terms), FACTORS)).astype(np.float32)
     adam = Adam([b, w, v], 0.03)
     for _ in range(steps):
-        pick = rng.integers(0, n, 256)
+        pick = rng.integers(0, n, BATCH)
         x = np.zeros((len(pick), len(terms)), np.float32)
         for k, i in enumerate(pick):
             x[k, rows[i]] = 1
         g = ((_sigmoid(_margin(x, b[0], w, v)) - labels[pick]) / len(pick)).astype(np.float32)
         s = x @ v
         xg = x.T @ g
-        adam.step([g.sum(keepdims=True), xg + 1e-5 * w, x.T @ (g[:, None] * s) - v * xg[:, None] + 1e-2 * v])
+        adam.step([g.sum(keepdims=True), xg + L2_W * w, x.T @ (g[:, None] * s) - v * xg[:, None] + L2_V * v])
     return FactorizationMachine(terms, float(b[0]), w, v)
 
 
@@ -116,7 +158,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[li
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), terms], ["doc_id", "toxic", "terms"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("text", "doc_id", "toxic")  # at most MAX_POSITIVE + MAX_NEGATIVE ids
+    chosen = texts.join(F.broadcast(sample), "doc_id")  # at most MAX_POSITIVE + MAX_NEGATIVE ids
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "doc_id", "toxic")
     got = chosen.mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
     terms = got.column("terms").combine_chunks()
     flat, ends = terms.values.to_numpy(), terms.offsets.to_numpy()
