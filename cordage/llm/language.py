@@ -5,16 +5,17 @@ byte has a vector; filters two to five bytes wide run over it, the largest value
 window enters a softmax over the languages. A text's score for a language is the mean over all its
 windows, weighted by their bytes; every byte counts.
 
-Training takes at most ``MAX_DOCS`` texts of each language, chosen by a hash of the id, and up to
-``WINDOWS`` windows of each; classification reads every whole text.
+Training takes at most ``MAX_DOCS`` texts of each language and about ``MAX_ROWS`` of all (one of each at
+least, so every language is learned), chosen by a hash of the id, and up to ``WINDOWS`` windows of each;
+classification reads every whole text.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0. With no labelled text
-to learn from, every text is ``und``. Ties go to the language first in order. Rows repeat as given.
+Defined cases: null texts and texts without a letter (``str.isalpha``) are ``und`` with score 0. With no
+labelled text to learn from, every text is ``und``. Ties go to the language first in order. Rows repeat
+as given; to learn from, rows that repeat an id and language give one of their texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .adam import Adam
+from .common import cut
 
-MAX_DOCS, MAX_LANGS, WINDOWS = 1200, 64, 3
+MAX_DOCS, MAX_ROWS, WINDOWS = 1200, 24_000, 3
 WINDOW, DIM = 256, 6
 WIDTHS = (2, 3, 4, 5)
 PER_WIDTH = 8
 REACH = max(WIDTHS)
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -95,6 +96,10 @@ def fresh(langs: list[str], seed: int = 11) -> ByteNetwork:
     return ByteNetwork(langs, rng.normal(0, 1, (256, DIM)).astype(np.float32), filters.reshape(-1, n), np.zeros(n, np.float32), rng.normal(0, 0.1, (n, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def windows_of(data: bytes) -> np.ndarray:
     n = max(1, -(-len(data) // WINDOW))
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
@@ -104,34 +109,32 @@ def train(docs: DataFrame, learn: Column, steps: int = 500, seed: int = 11) -> B
     """Learn from the bounded sample of rows for which ``learn`` holds and lang is known."""
     lang = F.col("lang").cast("string")
     known = docs.where(learn & F.col("lang").isNotNull())
-    counts = known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return None
-    # the ids come first, without texts: by a hash, about twice as many of each language as are taken
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * MAX_DOCS / r["n"]))))
     order = F.xxhash64("doc_id")
-    few = known.select("doc_id", lang.alias("lang")).where(F.pmod(order, F.lit(1_000_003)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_003)
+    counts = cut(known.groupBy(lang.alias("lang")).agg(F.approx_count_distinct("doc_id").alias("n")))  # a row for each class of the network
+    each = max(1, min(MAX_DOCS, MAX_ROWS // max(1, counts.count())))
+    # the ids come first, without texts: by a hash, over twice as many of each language as are taken
+    few = known.select("doc_id", lang.alias("lang")).join(F.broadcast(counts), "lang").where(F.pmod(order, F.lit(1_000_003)) < (2 * each + 20) / F.col("n") * 1_000_003)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    ids = few.withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).select("doc_id").distinct()  # MAX_DOCS * MAX_LANGS at most
+    ids = few.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "lang")
     texts = known.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    chosen = texts.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, found = [], []
             for lang, text in zip(b.column(1), b.column(2), strict=True):
-                if (t := text.as_py()) and LETTER.search(t):
+                if (t := text.as_py()) and has_letter(t):
                     w = windows_of(t.encode("utf-8", "replace"))
                     for i in sorted({0, len(w) // 2, max(0, len(w) - 2)})[:WINDOWS]:
                         langs.append(lang.as_py()), found.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
 
-    got = chosen.mapInArrow(run, "lang string, window binary").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
+    got = chosen.select("doc_id", "lang", "text").mapInArrow(run, "lang string, window binary").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
     if not len(got):
         return None
     langs, of = np.unique(np.array(got.column("lang").to_pylist()), return_inverse=True)
     model = fresh(langs.tolist(), seed)
-    model.fit(np.frombuffer(b"".join(got.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW), of, steps, seed)
+    model.fit(np.frombuffer(b"".join(got.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW), of, steps * max(1, len(langs) // 8), seed)
     return model
 
 
@@ -159,7 +162,7 @@ def classify(docs: DataFrame, model: ByteNetwork | None, batch: int = 128) -> Da
             waiting = 0
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py()
-                if text is None or not LETTER.search(text):
+                if text is None or not has_letter(text):
                     continue
                 data = text.encode("utf-8", "replace")
                 w = windows_of(data)
