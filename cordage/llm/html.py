@@ -8,14 +8,18 @@ numbers, so a block's label draws on the whole page before and after it.
 Training takes at most ``MAX_PAGES`` pages, chosen by a hash of the id, of ``MAX_TRAIN_CHARS`` or
 less each. Their blocks get weak labels from the elements above them; each page is also varied:
 containers renamed, and menus, notices, forms, adverts, side columns and reader comments of its own
-words put in, so the labeller knows forms that the sample lacks. Extraction reads every whole page.
+words put in, so the labeller knows forms that the sample lacks. Whole pages are cut into runs of
+``RUN`` blocks, of which ``MAX_RUNS`` at most, drawn evenly from all of them, are learned from.
+Extraction reads every whole page, in batches of a bounded number of padded cells.
 
 Text: character references decoded, white space inside a block made one space, trimmed; blocks of
-the main text are joined in page order by two line feeds. Scripts, styles and comments are no text.
+the main text are joined in page order by two line feeds. Comments, and what is inside script, style,
+noscript, template, svg, iframe and textarea, are no text.
 
 Defined cases: null and empty pages, and pages without text, give ''. Unclosed elements, comments and
-scripts go on to the end of the page. Without training pages every block outside of head counts.
-Very long pages are read whole. Repeated rows give a row each.
+scripts go on to the end of the page. Without training pages (an empty table gives no rows) every block
+outside of head counts. Very long pages are read whole. Repeated rows give a row each. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .adam import Adam
 
-MAX_PAGES, MAX_TRAIN_CHARS, MAX_TRAIN_BLOCKS = 240, 200_000, 120
+MAX_PAGES, MAX_TRAIN_CHARS, MAX_RUNS, RUN = 240, 200_000, 800, 120
+CELLS = 1 << 14  # blocks, with padding, that are scored at once (a longer page alone)
 PATH_SPACE, PATH_DIM, WORD_SPACE, WORD_DIM, NUMBERS, HIDDEN = 1 << 10, 12, 1 << 11, 6, 5, 12
 
 TOKEN = re.compile(
@@ -158,7 +163,8 @@ class Features:
         self.path: dict[tuple[str, ...], np.ndarray] = {}
         self.word: dict[str, int] = {}
 
-    def of(self, found: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, found: list[Block], at: int = 0, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``found``: a page's blocks, or those from place ``at`` of a page of ``size`` blocks."""
         if len(self.path) > 50_000 or len(self.word) > 300_000:
             self.path.clear(), self.word.clear()
         path_ids, path_n, word_ids, word_n, numbers = [], [], [], [], []
@@ -172,7 +178,7 @@ class Features:
                     self.word[w] = _hash(w.lower(), WORD_SPACE)
             path_ids.append(ids := self.path[b.path]), path_n.append(len(ids))
             word_ids.extend(map(self.word.__getitem__, words)), word_n.append(len(words))
-            numbers.append((np.log1p(b.size) / 8, min(1, b.link / max(1, b.size)), k / max(1, len(found) - 1), b.text[-1] in ".!?…", len(b.path) / 16))
+            numbers.append((np.log1p(b.size) / 8, min(1, b.link / max(1, b.size)), (at + k) / max(1, (size or len(found)) - 1), b.text[-1] in ".!?…", len(b.path) / 16))
         return np.concatenate(path_ids), np.array(path_n), np.array(word_ids, np.int64), np.array(word_n), np.array(numbers, np.float32)
 
 
@@ -260,12 +266,16 @@ class Labeller:
 
 
 def fit(pages: list[str], epochs: int = 6, seed: int = 3) -> Labeller | None:
-    rng, feats, examples = random.Random(seed), Features(), []
+    rng, feats, examples, seen = random.Random(seed), Features(), [], 0
     for page in pages:
         for variant in (page, vary(page, rng), vary(page, rng)):
-            found = blocks(variant)[:MAX_TRAIN_BLOCKS]
-            if found:
-                examples.append((feats.of(found), weak_labels(found)))
+            found = blocks(variant)
+            labels = weak_labels(found)
+            for at in range(0, len(found), RUN):  # each run has the same chance to be among those kept
+                seen += 1
+                place = len(examples) if len(examples) < MAX_RUNS else rng.randrange(seen)
+                if place < MAX_RUNS:
+                    examples[place : place + 1] = [(feats.of(found[at : at + RUN], at, len(found)), labels[at : at + RUN])]
     if not examples:
         return None
     model = Labeller(seed)
@@ -295,8 +305,9 @@ def main_texts(pages: list[str | None], model: Labeller | None, feats: Features)
     if model is None:
         return ["\n\n".join(b.text for b in f if "head" not in b.path) for f in found]
     out, full = [""] * len(pages), sorted((k for k, f in enumerate(found) if f), key=lambda k: len(found[k]))
-    for at in range(0, len(full), 64):
-        some = full[at : at + 64]
+    while full:
+        fit_in = next((n for n in range(1, len(full)) if (n + 1) * len(found[full[n]]) > CELLS), len(full))
+        some, full = full[:fit_in], full[fit_in:]
         for k, s in zip(some, model.scores([model.inputs(feats.of(found[k])) for k in some]), strict=True):
             out[k] = "\n\n".join(b.text for b, p in zip(found[k], s, strict=True) if p > 0.5)
     return out
