@@ -3,17 +3,20 @@
 Base kinds are found by pattern in every whole text; their spans always stay. The method adds the
 kind ``owned``: long mixed tokens outside base spans that look like keys but match no known form.
 Every candidate's value is hashed and counted over the corpus: by distinct owners (``owner_col``)
-and distinct repositories (``repo_col``). A value that several owners hold is a copied example; one
-that stays with few owners looks live. Only live ``owned`` candidates become spans.
+and distinct repositories (``repo_col``). A value of more than ``max_owners`` owners, or of more than
+``max_repos`` repositories, is a copied example; one that stays with few of both looks live. Only live
+``owned`` candidates become spans.
 
 Places: a text split at a kind's matches gives the pieces between them, so running sums of the
 pieces' and matches' lengths are the matches' places, in code points.
 
 Skew: candidates are counted by (hash, owner, repository) with partial aggregates before any
-shuffle by hash, and joined back in a join that Spark can split.
+shuffle by hash, and joined back in a join that Spark can split. Rows that repeat an id and text share
+their spans, but each of their owners and repositories counts.
 
 Defined cases: null and empty texts have no spans (digest of the empty string). A null owner or
-repository counts as one more owner or repository. Repeated rows get a result each.
+repository counts as one more owner or repository. Repeated rows get a result each. An empty table
+gives no rows. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ KINDS = {
     "owned": r"[A-Za-z0-9+/_-]{24,}",
 }
 BASE = ("assign", "access", "hex")
-ASSIGN_VALUE, MAX_OWNERS = 6, 2
+ASSIGN_VALUE, MAX_OWNERS, MAX_REPOS = 6, 2, 8
 
 
 def _pieces(text: Column) -> Column:
@@ -50,12 +53,14 @@ def _pieces(text: Column) -> Column:
     return F.concat(*found)
 
 
-def candidates(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, text_hash, owner, repo, kind, start, stop, value)``: base spans and ``owned`` candidates."""
+def candidates(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_hash, kind, start, stop, value)``: base spans and ``owned`` candidates of each id and
+    text; and ``(doc_id, text_hash, owner, repo)``: who holds them."""
     text = F.col("text").cast("string")
     keep = [F.col("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo")]
-    rows = docs.where(text.isNotNull()).select(*keep, F.explode(_pieces(text)).alias("x")).select("doc_id", "text_hash", "owner", "repo", "x.*")
-    rows = rows.groupBy("doc_id", "text_hash", "kind", "at", "gap", "match").agg(F.min("owner").alias("owner"), F.min("repo").alias("repo"))  # repeated rows meet
+    found = cut(docs.where(text.isNotNull()).select(*keep, _pieces(text).alias("pieces")).where(F.size("pieces") > 0))
+    holders = found.select("doc_id", "text_hash", "owner", "repo").distinct()
+    rows = found.select("doc_id", "text_hash", F.explode("pieces").alias("x")).select("doc_id", "text_hash", "x.*").distinct()  # repeated rows meet
     run = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.length("match")).over(run)
     value = F.when(F.col("kind") == "assign", F.regexp_extract("match", ASSIGN, 2)).otherwise(F.col("match"))
@@ -68,28 +73,32 @@ def candidates(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_
     before = F.max(F.when(base, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumn("clear", F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("stop"), F.lit(True)))
-    return rows.where(base | F.col("clear")).select("doc_id", "text_hash", "owner", "repo", "kind", "start", "stop", "value")
+    return rows.where(base | F.col("clear")).select("doc_id", "text_hash", "kind", "start", "stop", "value"), holders
 
 
-def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, holders: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """``found`` with ``owners``, ``repos`` and ``live`` of each value over the corpus."""
     valued = found.withColumn("value_hash", F.sha2("value", 256)).drop("value")
-    by_repo = valued.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("n"))
-    by_owner = by_repo.groupBy("value_hash", "owner").agg(F.count("*").alias("repos"))
-    counts = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    return valued.join(counts, "value_hash").withColumn("live", F.col("owners") <= max_owners)
+    of = holders.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "owner", "repo")
+    held = valued.select("doc_id", "text_hash", "value_hash").distinct().join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    pairs = held.groupBy("value_hash", "owner", "repo").agg(F.lit(1).alias("one"))
+    owners = pairs.groupBy("value_hash", "owner").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("*").alias("owners"))
+    repos = pairs.groupBy("value_hash", "repo").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("*").alias("repos"))
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    return valued.join(owners.join(repos, "value_hash"), "value_hash").withColumn("live", live)
 
 
-def spans(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def spans(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """``(doc_id, text_hash, kind, start, stop, owners, repos, live)``: base spans and live ``owned`` ones."""
-    return ownership(cut(candidates(docs, owner_col, repo_col)), max_owners).where(F.col("live") | F.col("kind").isin(*BASE))
+    found, holders = candidates(docs, owner_col, repo_col)
+    return ownership(cut(found), holders, max_owners, max_repos).where(F.col("live") | F.col("kind").isin(*BASE))
 
 
-def by_document(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per row of ``docs``: counts, digests and spans."""
-    found = spans(docs, owner_col, repo_col, max_owners)
+def by_document(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row per row of ``docs``: counts, digests, spans, and the most owners and repositories of a value."""
+    found = spans(docs, owner_col, repo_col, max_owners, max_repos)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    one = F.struct(F.col("start"), rank.alias("rank"), F.col("stop"), F.col("kind"), F.col("live"))
+    one = F.struct(F.col("start"), rank.alias("rank"), F.col("stop"), F.col("kind"), F.col("live"), F.col("owners"), F.col("repos"))
     lists = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(one)).alias("all"))
     told = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     base = F.filter("all", lambda x: x["rank"] <= len(BASE))
@@ -97,16 +106,17 @@ def by_document(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc
     digests = lists.select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), *(count(k).alias(f"n_{k}") for k in KINDS),
         told(base).alias("base"), told(F.col("all")).alias("spans"), F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"),
+        *(F.array_max(F.transform("all", lambda x, f=f: x[f])).alias(f"max_{f}") for f in ("owners", "repos")),
     )
     ids = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     joined = ids.join(digests, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return joined.select("doc_id", n("n_assign"), n("n_access"), n("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), n("n_owned"), n("n_live"))
+    return joined.select("doc_id", n("n_assign"), n("n_access"), n("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), n("n_owned"), n("n_live"), n("max_owners"), n("max_repos"))
 
 
-def redact(docs: DataFrame, owner_col: str = "source", max_owners: int = MAX_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span's text replaced; rows without spans stay as they are."""
-    found = spans(docs, owner_col, "doc_id", max_owners)
+    found = spans(docs, owner_col, "doc_id", max_owners, max_repos)
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     group = F.sum(F.when(F.coalesce(F.col("reach") > F.col("start"), F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
