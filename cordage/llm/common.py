@@ -1,10 +1,15 @@
-"""Helpers that the training-data operators share: cutting lineage, folds, components."""
+"""Helpers that the training-data operators share: cutting lineage, folds, bit tables, components."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +17,12 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine), a folder of this machine is set.
+    Only where the session names none and runs on one machine (tests), a folder of it is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -25,15 +32,28 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Later steps read columns of that table, not the plan behind it, and a lost executor costs
-    a reread. The files go when the application ends.
+    a reread. The files go with ``forget``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, system = _target(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files behind tables that ``cut`` gave, when all that is made of them is itself cut."""
+    for df in tables:
+        target, system = _target(df.sparkSession, df._cut)
+        system.delete(target, True)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -45,6 +65,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MIN_BITS, MAX_BITS, PROBES = 1 << 20, 1 << 27, 4
+
+
+def _place(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
+    mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(2 * (k + 1) * 0x2545F491 + 1)
+    return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+class BitTable:
+    """A Bloom filter over 64-bit keys; its size is set by their number, within ``MAX_BITS``.
+
+    A wrong hit costs work, never a result. Beyond what MAX_BITS holds it fills up and lets more pass.
+    """
+
+    def __init__(self, expected: int):
+        wanted = 1 << math.ceil(math.log2(max(1, expected) * 32))
+        self.bits = min(MAX_BITS, max(MIN_BITS, wanted))
+        self.table = np.zeros(self.bits // 8, np.uint8)
+
+    def add(self, keys: np.ndarray) -> None:
+        for k in range(PROBES):
+            at = _place(keys, self.bits, k)
+            np.bitwise_or.at(self.table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """For each key whether it may be in the table."""
+        left = np.arange(len(keys))
+        for k in range(PROBES):
+            at = _place(keys[left], self.bits, k)
+            left = left[(self.table[at >> 3] >> (at & 7)) & 1 == 1]
+            if not len(left):
+                break
+        out = np.zeros(len(keys), bool)
+        out[left] = True
+        return out
+
+
+def bit_table(keys: DataFrame, expected: int) -> BitTable:
+    """The table of all ``keys`` (one long column): set in each task, joined by OR in small steps."""
+    made = BitTable(expected)
+    bits, size, slices = made.bits, made.bits // 8, max(1, made.bits // 8 >> 16)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = BitTable.__new__(BitTable)
+        own.bits, own.table = bits, np.zeros(size, np.uint8)
+        for b in batches:
+            own.add(b.column(0).to_numpy().view(np.uint64))
+        at = np.flatnonzero(own.table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.table[at].astype(np.int32))], ["at", "bits"])
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(size // slices, np.uint8)
+        out[rows.column("at").to_numpy() % len(out)] = rows.column("bits").to_numpy().astype(np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    filled = keys.mapInArrow(fill, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    parts = filled.withColumn("slice", F.floor(F.col("at") / (size // slices)).cast("long")).groupBy("slice").applyInArrow(join, "slice long, bits binary").collect()
+    for r in parts:  # MAX_BITS / 8 bytes at most
+        made.table[r["slice"] * (size // slices) : (r["slice"] + 1) * (size // slices)] = np.frombuffer(r["bits"], np.uint8)
+    return made
+
+
+def may_hold(table: BitTable, key: Column) -> Column:
+    """Whether a long key may be in the table (null: no)."""
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(table.has(keys.to_numpy().view(np.uint64)))
+
+    return key.isNotNull() & hit(F.coalesce(key, F.lit(0).cast("long")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if a column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def deal_blocks(rows: DataFrame, keys: list[str], spread: str, block: int) -> DataFrame:
     """``rows`` with ``own`` and ``pair``: groups of ``keys`` whose rows are to be compared all with all.
 
@@ -74,7 +174,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        e = cut(_small_star(_large_star(e)))
+        old, e = e, cut(_small_star(_large_star(e)))
+        forget(old)
         before, state = state, _state(e)
         if state == before:
             break

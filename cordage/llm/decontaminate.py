@@ -6,18 +6,19 @@ of an item that were moved about still count. Words are lower-cased ``\\w+``.
 
 1. Every text's windows of MIN_MATCH words are hashed by running Karp-Rabin and looked up in a bit
    table of the items' windows. The table's size is set by the number of windows, within
-   ``MAX_BITS``; a wrong hit costs a join row, none is missed. Only texts with hits go on.
-2. Hits are joined to the items' windows; that join is shuffled and may have any number of items.
+   ``common.MAX_BITS``; a wrong hit costs a join row, none is missed. Only texts with hits go on.
+2. Hits are joined to the items' windows, of each item only its rarest: as many as a text that covers it
+   can't miss all of. A window that very many items share thus joins nothing to most of them.
 3. Each pair of distinct text and item is tiled.
 
-Defined cases: null and wordless texts or items share nothing. An item shorter than MIN_MATCH words
-leaks if it is in the text whole. Copies of a text are tiled once and reported for every id;
-repeated rows are reported once. Very long texts are read whole.
+Defined cases: null and wordless texts or items share nothing; null item ids are left out. An item
+shorter than MIN_MATCH words leaks if it is in the text whole. Copies of a text, or of an item, are
+tiled once and reported for every id; repeated rows are reported once. Equal matches are marked in the
+order of their places. Very long texts are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -25,15 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_table, cut
 
 MIN_MATCH, COVERAGE = 5, 0.8
-MIN_BITS, MAX_BITS, PROBES = 1 << 20, 1 << 27, 4
 WORD = re.compile(r"\w+")
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that products of its powers lose nothing modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def words(text: str | None) -> list[str]:
@@ -60,120 +61,115 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _place(seeds: np.ndarray, bits: int, k: int) -> np.ndarray:
-    mixed = (seeds ^ (seeds >> np.uint64(29))) * np.uint64(2 * (k + 1) * 0x2545F491 + 1)
-    return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+class Windows:
+    """Karp-Rabin hashes of a sequence's windows of any width, from one pass of prefix sums."""
 
+    def __init__(self, codes: np.ndarray):
+        power = lambda base: np.cumprod(np.append(np.uint64(1), np.full(len(codes), base, np.uint64)), dtype=np.uint64)
+        self.back = power(INVERSE)
+        self.sums = np.append(np.uint64(0), np.cumsum(codes * power(BASE)[:-1], dtype=np.uint64))
 
-class BitTable:
-    """A Bloom filter of fixed size."""
+    def of(self, width: int) -> np.ndarray:
+        n = len(self.sums) - width
+        return (self.sums[width:] - self.sums[:n]) * self.back[:n]
 
-    def __init__(self, expected: int):
-        wanted = 1 << math.ceil(math.log2(max(1, expected) * 32))
-        self.bits = min(MAX_BITS, max(MIN_BITS, wanted))
-        self.table = np.zeros(self.bits // 8, np.uint8)
 
-    def add(self, seeds: np.ndarray) -> None:
-        for k in range(PROBES):
-            at = _place(seeds, self.bits, k)
-            np.bitwise_or.at(self.table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+def _reach(open_: np.ndarray) -> np.ndarray:
+    """How many open places there are in a row from each place on."""
+    n = len(open_)
+    shut = np.append(np.where(open_, n, np.arange(n)), n)
+    return np.minimum.accumulate(shut[::-1])[::-1][:n] - np.arange(n)
 
-    def hits(self, seeds: np.ndarray) -> np.ndarray:
-        """The seeds that may be in the table, each once."""
-        for k in range(PROBES):
-            at = _place(seeds, self.bits, k)
-            seeds = seeds[(self.table[at >> 3] >> (at & 7)) & 1 == 1]
-            if not len(seeds):
-                break
-        return np.unique(seeds)
+
+def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted table."""
+    return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
 def tiles(text: list[str], item: list[str], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (place in text, place in item, length), longest first."""
-    min_match = max(1, min(min_match, len(item)))
+    """Greedy tiling: (place in text, place in item, length), longest first, ties by place in text, then in item.
+
+    The greatest width at which both have an unmarked window in common is found by halving; all tiles
+    of that width are marked from left to right, and so on below it. Memory is a few numbers a word.
+    """
+    if not item:
+        return []
+    least = max(1, min(min_match, len(item)))
     index = {w: i for i, w in enumerate(dict.fromkeys(item))}
     b = np.array([index[w] for w in item], np.int64)
     a = np.fromiter((index.get(w, -1) for w in text), np.int64, len(text))
-    ha, hb = (window_hashes(x.astype(np.uint64), min_match) for x in (a, b))
-    order = np.argsort(hb, kind="stable")
-    low, high = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    i = np.repeat(np.arange(len(ha)), high - low)
-    if not len(i):
-        return []
-    first = np.repeat(np.cumsum(high - low) - (high - low), high - low)
-    j = order[np.repeat(low, high - low) + np.arange(len(i)) - first]
-    same = np.logical_and.reduce([a[i + k] == b[j + k] for k in range(min_match)])
-    i, j = i[same], j[same]
-    if not len(i):
-        return []
-    by = np.lexsort((i, i - j))
-    i, j = i[by], j[by]
-    start = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(i - j) != 0)))
-    length = np.diff(np.append(start, len(i))) + min_match - 1
-    heap = [(-int(n), int(i[s]), int(j[s])) for s, n in zip(start, length, strict=True)]
-    heapq.heapify(heap)
-    free_a, free_b, found = np.ones(len(a), bool), np.ones(len(b), bool), []
-    while heap:
-        n, x, y = heapq.heappop(heap)
-        free = free_a[x : x - n] & free_b[y : y - n]
-        if free.all():
-            free_a[x : x - n] = free_b[y : y - n] = False
-            found.append((x, y, -n))
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if e - s >= min_match:
-                heapq.heappush(heap, (s - e, x + s, y + s))
-    return found
-
-
-def _bit_rows(item_seeds: DataFrame, bits: int) -> list[bytes]:
-    """The table's bits from all seeds: set in each task, joined by OR in one small step per slice."""
-    size, slices = bits // 8, max(1, bits // 8 >> 16)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = BitTable.__new__(BitTable)
-        own.bits, own.table = bits, np.zeros(size, np.uint8)
-        for b in batches:
-            own.add(b.column(0).to_numpy().view(np.uint64))
-        at = np.flatnonzero(own.table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.table[at].astype(np.int32))], ["at", "bits"])
+    mixed = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 7) for i in range(len(index))], np.uint64)
+    in_a, in_b = Windows(np.where(a < 0, np.uint64(0), mixed[a])), Windows(mixed[b])
+    free_a, free_b, found = a >= 0, np.ones(len(b), bool), []  # words that the item lacks count as marked
+
+    def common(width: int) -> bool:
+        at_a, at_b = np.flatnonzero(reach_a >= width), np.flatnonzero(reach_b >= width)
+        return bool(len(at_a) and len(at_b) and _among(in_a.of(width)[at_a], np.sort(in_b.of(width)[at_b])).any())
+
+    width = min(len(a), len(b)) + 1
+    while True:
+        reach_a, reach_b = _reach(free_a), _reach(free_b)
+        low, high = least - 1, min(width - 1, int(reach_a.max(initial=0)), int(reach_b.max(initial=0)))
+        while low < high:  # the greatest width with a common window
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        width = low
+        if width < least:
+            return found
+        at, of_b = np.flatnonzero(reach_a >= width), in_b.of(width)
+        of_a = in_a.of(width)[at]
+        while len(at):
+            at_b = np.flatnonzero(_reach(free_b) >= width)
+            hit = np.flatnonzero(_among(of_a, np.sort(of_b[at_b]))) if len(at_b) else at_b
+            if not len(hit):
+                break
+            x, h = int(at[hit[0]]), of_a[hit[0]]
+            y = next((int(y) for y in at_b[of_b[at_b] == h] if (a[x : x + width] == b[y : y + width]).all()), None)
+            if y is not None:
+                free_a[x : x + width] = free_b[y : y + width] = False
+                found.append((x, y, width))
+            after = np.searchsorted(at, x + (1 if y is None else width))
+            at, of_a = at[after:], of_a[after:]
 
-    def join(key: tuple, rows: pa.Table) -> pa.Table:
-        out = np.zeros(size // slices, np.uint8)
-        out[rows.column("at").to_numpy() % len(out)] = rows.column("bits").to_numpy().astype(np.uint8)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    filled = item_seeds.select("seed").mapInArrow(fill, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    parts = filled.withColumn("slice", F.floor(F.col("at") / (size // slices)).cast("long")).groupBy("slice").applyInArrow(join, "slice long, bits binary").collect()
-    out = np.zeros(size, np.uint8)  # MAX_BITS / 8 bytes at most
-    for r in parts:
-        out[r["slice"] * (size // slices) : (r["slice"] + 1) * (size // slices)] = np.frombuffer(r["bits"], np.uint8)
-    return [out.tobytes()]
+def _rare_seeds(items: DataFrame, min_match: int, coverage: float) -> DataFrame:
+    """``(item_key, seed, width)``: the windows by which each item is found, its rarest ones among all items.
 
-
-def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """``(doc_id, text_key, item_id, coverage, n_tiles, longest)``; text_key is the text's sha256."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("item_text")).where("item_text is not null and item_id is not null").distinct()
+    Tiles that cover C words of an item hold at least C / min_match of its windows. So of P windows any
+    P - C / min_match + 1 will do, and those that fewest items share make the smallest join.
+    """
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for item, text in zip(b.column(0), b.column(1), strict=True):
                 h = word_hashes(words(text.as_py()), known)
                 width = min(min_match, len(h))
                 if width:
-                    for s in np.unique(window_hashes(h, width)).view(np.int64).tolist():
-                        out[0].append(item.as_py()), out[1].append(s), out[2].append(width)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["item_id", "seed", "width"])
+                    own, n = np.unique(window_hashes(h, width).view(np.int64), return_counts=True)
+                    need = max(1, math.ceil(math.ceil(coverage * len(h) - 1e-9) / width))
+                    for column, value in zip(out, ([item.as_py()] * len(own), own.tolist(), [width] * len(own), n.tolist(), [int(n.sum()) - need + 1] * len(own)), strict=True):
+                        column.extend(value)
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["item_key", "seed", "width", "n", "enough"])
+
+    found = cut(items.mapInArrow(seeds, "item_key string, seed long, width int, n long, enough long"))
+    shared = found.groupBy("seed").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("item_key").orderBy("shared", "seed").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = found.join(shared, "seed").withColumn("before", F.sum("n").over(order) - F.col("n"))
+    return ranked.where("before < enough").select("item_key", "seed", "width")
 
-    item_seeds = cut(items.mapInArrow(seeds, f"item_id {dict(items.dtypes)['item_id']}, seed long, width int"))
+
+def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """``(doc_id, text_key, item_id, coverage, n_tiles, longest)``; text_key is the text's sha256."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    named = benchmark.select("item_id", F.col("text").cast("string").alias("item_text")).where("item_text is not null and item_id is not null").distinct()
+    named = named.withColumn("item_key", F.sha2("item_text", 256))
+    items = named.select("item_key", "item_text").distinct()
+    item_seeds = cut(_rare_seeds(items, min_match, coverage))
     facts = item_seeds.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()
-    table, widths = BitTable(facts["n"]), sorted(facts["widths"])
-    for part in _bit_rows(item_seeds, table.bits):
-        table.table |= np.frombuffer(part, np.uint8)
+    table, widths = bit_table(item_seeds.select("seed"), facts["n"]), sorted(facts["widths"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -181,16 +177,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
             at, hits = [], []
             for i, text in enumerate(b.column(1)):
                 h = word_hashes(words(text.as_py()), known)
-                got = [table.hits(window_hashes(h, w)) for w in widths]
-                if any(len(g) for g in got):
+                got = [s[table.has(s)] for s in (window_hashes(h, w) for w in widths)]
+                if any(map(len, got)):
                     at.append(i), hits.append(np.unique(np.concatenate(got)).view(np.int64))
             kept = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text", "seeds"])
 
     found = cut(texts.mapInArrow(probe, f"doc_id {dict(texts.dtypes)['doc_id']}, text string, seeds array<long>").withColumn("text_key", F.sha2("text", 256)))
-    pairs = found.select("text_key", F.explode("seeds").alias("seed")).distinct().join(item_seeds.select("item_id", "seed"), "seed").select("text_key", "item_id").distinct()
+    pairs = found.select("text_key", F.explode("seeds").alias("seed")).distinct().join(item_seeds.select("item_key", "seed"), "seed").select("text_key", "item_key").distinct()
     one = found.groupBy("text_key").agg(F.first("text").alias("text"))  # equal keys hold equal texts
-    work = pairs.join(one, "text_key").join(items, "item_id").select("text_key", "item_id", "text", "item_text")
+    work = pairs.join(one, "text_key").join(items, "item_key").select("text_key", "item_key", "text", "item_text")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,8 +196,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
                 got = tiles(words(b.column(2)[i].as_py()), item, min_match)
                 rows.append((sum(n for *_, n in got) / max(1, len(item)), len(got), max((n for *_, n in got), default=0)))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["text_key", "item_id", "coverage", "n_tiles", "longest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["text_key", "item_key", "coverage", "n_tiles", "longest"])
 
-    tiled = work.mapInArrow(tile, f"text_key string, item_id {dict(items.dtypes)['item_id']}, coverage double, n_tiles int, longest int")
-    leaked = tiled.where(F.col("coverage") >= coverage)
+    tiled = work.mapInArrow(tile, "text_key string, item_key string, coverage double, n_tiles int, longest int")
+    leaked = tiled.where(F.col("coverage") >= coverage).join(named.select("item_key", "item_id"), "item_key")
     return found.select("doc_id", "text_key").distinct().join(leaked, "text_key").select("doc_id", "text_key", "item_id", "coverage", "n_tiles", "longest")
