@@ -13,6 +13,8 @@ under one signature are compared in full.
 
 Defined cases: null or wordless text has fingerprint zero, linked like any other. Repeated rows are
 kept, one result each. A null id keeps its fingerprint, links with nothing and has a null component.
+Ties of the half are 0 bits. Very long texts are read whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +52,11 @@ def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
     return np.fromiter((digest(line[a : b - 1], 42) for a, b in zip(starts, starts[width:], strict=False)), np.uint64, len(words) - width + 1)
 
 
-def fingerprint(text: str | None) -> int:
-    h = shingle_hashes(text)
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     counts = np.zeros(BITS, np.int64)
@@ -60,12 +65,12 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(doc_id, fp)`` per row, fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -117,23 +122,39 @@ def correlated_partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
+def _within(p: np.ndarray, both: np.ndarray, part: list[int], tau: int) -> np.ndarray:
+    """Chance that two fingerprints differ in at most 0, 1 .. tau bits of a partition.
+
+    The number of differing bits has a mean and a variance that follow from how often each two bits are
+    set together, over all fingerprints; a beta-binomial with these two stands for its distribution, so
+    bits that go together make agreement likelier than independent bits would.
+    """
+    i = np.ix_(part, part)
+    p11, p10 = both[i], p[part][:, None] - both[i]
+    p01 = p[part][None] - both[i]
+    differ2 = 2 * np.maximum(p11 * (1 - p11 - p10 - p01) + p10 * p01, 0)  # both bits differ
+    n, q = len(part), 2 * p[part] * (1 - p[part])
+    np.fill_diagonal(differ2, q)
+    mean = min(max(q.sum() / n, 1e-6), 1 - 1e-6)
+    together = (differ2.sum() - q.sum() ** 2) / (n * mean * (1 - mean))  # 1 for independent bits, n for equal ones
+    rho = min(max((together - 1) / max(n - 1, 1), 1e-6), 1 - 1e-6)
+    a, b = mean * (1 / rho - 1), (1 - mean) * (1 / rho - 1)
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    return np.cumsum([math.comb(n, k) * math.exp(beta(k + a, n - k + b) - beta(a, b)) if k <= n else 0.0 for k in range(tau + 1)])
+
+
 def thresholds(n: int, both: np.ndarray, parts: list[list[int]], tau: int) -> tuple[float, list[int]]:
     """Cost and thresholds that add up to tau - m + 1, by dynamic programming over the partitions.
 
-    Cost counts rows to write (enumerated signatures) and pairs to compare; the chance that two
-    fingerprints are within t bits inside a partition comes from the bits' own frequencies.
+    Cost counts rows to write (enumerated signatures) and the estimated pairs to compare.
     """
-    p = both.diagonal() / max(n, 1)
-    differ, m, row, compare = 2 * p * (1 - p), len(parts), 1.0, 0.01
+    p, m, row, compare = both.diagonal() / max(n, 1), len(parts), 1.0, 0.01
     cost = []
     for part in parts:
-        dist = np.array([1.0])
-        for i in part:
-            dist = np.convolve(dist, [1 - differ[i], differ[i]])
-        of = {-1: 0.0}
+        within, of = _within(p, both / max(n, 1), part, tau), {-1: 0.0}
         for t in range(tau + 1):
             rows = sum(math.comb(len(part), k) for k in range(t + 1))
-            of[t] = row * n * rows + compare * n * n / 2 * dist[: t + 1].sum() * max(1, rows)
+            of[t] = row * n * rows + compare * n * n / 2 * within[t] * max(1, rows)
         cost.append(of)
     best = {0: (0.0, [])}
     for of in cost:
@@ -242,9 +263,9 @@ def links(fps: DataFrame, tau: int = 3, block: int = BLOCK) -> DataFrame:
     return shuffled.mapInArrow(lambda it: _compare(it, tau), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, width: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``."""
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col, width))
     fps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     comp = connected_components(links(fps, tau))
     of = fps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
