@@ -1,17 +1,22 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates of five-word shingles, verified by exact Jaccard similarity, none missed.
 
 A text is the set of its five-word shingles (words as in ``simhash``; fewer words make one shingle).
 Two texts are linked if their sets' similarity is at least 4/5; wordless and null texts are copies
 of each other.
 
-Search. Equal sets meet first, as one node. In one order of all shingles, two sets within the
-similarity share a shingle among the first n - ceil(4n/5) + 1 of each (n its size), so nothing is
-missed, whatever the order. Common shingles, known from a sample, come last, which keeps groups small.
-
-Groups. The nodes under a shingle are first compared with one of them. Only nodes that are not joined
-by then are compared all with all, in blocks, so a large group of copies costs rows, not pairs.
-A pair is a candidate if what both hold from a shared shingle on can be enough (true at the first one
-that two similar sets share), and every candidate is verified on the full sets.
+1. Equal sets are one node. Nodes are probed by their SimHash fingerprints (``simhash.links``), and what
+   is found is verified on the full sets. Fingerprints within three bits are not all that is 4/5 similar,
+   so two further steps complete the search.
+2. In one order of all shingles, two sets within the similarity share a shingle among the first
+   n - ceil(4n/5) + 1 of each (n its size), whatever the order. Common shingles, known from a sample,
+   come last, which keeps groups small. Shingles under which one node stands are sifted out by a bit
+   table before rows are joined. The nodes under a shingle are compared with one of them: each node with
+   the ``STAR`` centres that it shares most shingles with.
+3. Nodes under one shingle that no path joins by then are compared all with all, by size and place: a
+   set whose first shared shingle stands at some place can be similar only to sets of certain sizes, so
+   the nodes are joined by classes of size. Large groups are dealt to several tasks.
+
+So a large group of copies costs rows, not pairs; every candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -19,15 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, deal_blocks
-from .simhash import BLOCK, shingle_hashes
+from . import simhash
+from .common import bit_table, connected_components, cut, forget, may_hold
+from .simhash import shingle_hashes
 
-WIDTH = 5
+WIDTH, STAR, BLOCK = 5, 4, 1024
 SAMPLE, COMMON, OFTEN = 4_000, 50_000, 3  # texts to look for common shingles, how many of them to know, the least count
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
 
@@ -59,23 +66,29 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """``(doc_id, node, n, prefix)`` per row: the set's name, its size and the shingles that it is found by."""
+    """``(doc_id, text_hash, node, n, fp, prefix)`` per row: the text's XXH64 as Spark has it, the set's name and size, the
+    text's fingerprint and the shingles that the set is found by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, first = [], [], []
+            nodes, sizes, fps, first = [], [], [], []
             for t in b.column(1):
-                own = shingle_set(t.as_py())
+                h = shingle_hashes(t.as_py(), WIDTH)
+                own = np.unique(h)
                 known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
-                nodes.append(_node(own)), sizes.append(len(own))
+                nodes.append(_node(own)), sizes.append(len(own)), fps.append(simhash.fingerprint_of(h))
                 first.append((np.concatenate([own[~known], own[known]])[: prefix_length(len(own))] & np.uint64(SHORT)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+            columns = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, set)`` for each of ``nodes(node, doc_id)``, read again from the texts."""
+    """``(node, set)`` for each of ``nodes(node, doc_id)``, read again from the texts where they stand."""
+    table = bit_table(nodes.select("doc_id"), nodes.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,7 +96,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    texts = rows.where(may_hold(table, F.col("doc_id"))).select("text")
     return texts.mapInArrow(run, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -92,11 +105,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     size = nodes.select("node", "n")
     near = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
     near = cut(near)
-    own = nodes.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    own = cut(nodes.select("node", "doc_id").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     sets = cut(_sets(docs, own))
     full = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return cut(full.where(9 * both >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:  # the sets come sorted by their unsigned values
+        return pd.Series([9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    links = cut(full.where(similar("set_a", "set_b")).select("a", "b"))
+    forget(near, own, sets)
+    return links
 
 
 def _can(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
@@ -104,31 +123,74 @@ def _can(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
     return 9 * F.least(F.col(n_a) - F.col(at_a), F.col(n_b) - F.col(at_b)) >= 4 * (F.col(n_a) + F.col(n_b))
 
 
+def _class(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / np.log(1.08)).cast("int")
+
+
 def _apart(rows: DataFrame, comp: DataFrame, block: int) -> DataFrame:
-    """``(a, b)`` under one shingle that no path joins yet."""
-    rows = rows.join(comp.withColumnRenamed("component", "_c"), "node", "left").select("h", "node", "n", "at", F.coalesce("_c", "node").alias("component"))
-    mixed = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    dealt = cut(deal_blocks(rows.join(mixed, "h", "left_semi"), ["h"], "node", block))
-    one = dealt.select("h", "pair", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"), F.col("own").alias("own_a"))
-    two = dealt.select("h", "pair", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("c_b"), F.col("own").alias("own_b"))
-    diagonal = F.shiftright("pair", 31) == F.col("pair").bitwiseAND((1 << 31) - 1)
-    return one.join(two, ["h", "pair"]).where("a < b AND c_a <> c_b").where(_can("n_a", "at_a", "n_b", "at_b")).where((F.col("own_a") != F.col("own_b")) | diagonal).select("a", "b").distinct()
+    """``(a, b)`` under one shingle that no path joins yet and whose sizes and places allow the similarity."""
+    rows = rows.join(comp.withColumnRenamed("component", "_c"), "node", "left").select("h", "node", "n", "at", F.coalesce("_c", "node").alias("c"))
+    mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+    rows = rows.join(mixed, "h", "left_semi").withColumn("most", F.floor((9 * (F.col("n") - F.col("at")) - 4 * F.col("n")) / 4).cast("int"))
+    rows = cut(rows)  # most: the size of the largest partner
+    short = rows.where("most >= n").select("h", _class(F.col("n")).alias("k"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"))
+    tasks = short.groupBy("h", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("tasks"))
+    short = short.join(tasks, ["h", "k"]).withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks")
+    low, high = F.ceil(F.col("n") * 0.8 - 1e-6), F.least("n", "most")
+    long = rows.where(low <= high).select("h", F.explode(F.sequence(_class(low), _class(high))).alias("k"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"))
+    long = long.join(tasks, ["h", "k"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    pairs = long.join(short, ["h", "k", "task"]).where("n_b <= n_a AND a <> b AND c_a <> c_b").where(_can("n_a", "at_a", "n_b", "at_b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _under(nodes: DataFrame) -> DataFrame:
+    """``(h, node, n, at, centre, n_c, at_c)``: nodes under every shingle that is in the prefix of two or more."""
+    all_ = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
+    mixed = F.col("node").bitwiseXOR(F.col("h"))  # another order of the nodes under each shingle, so that a group has many centres
+    shared = cut(all_.groupBy("h").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high").select("h", F.col("low").bitwiseXOR(F.col("h")).alias("centre")))
+    table = bit_table(shared.select("h"), shared.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            h, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero(table.has(h.view(np.uint64))) if len(h) else np.zeros(0, np.int64)
+            of = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit]), b.column(0).take(of), b.column(1).take(of), pa.array(at[hit].astype(np.int32))], ["h", "node", "n", "at"])
+
+    rows = nodes.select("node", "n", "prefix").mapInArrow(run, "h long, node long, n int, at int")
+    joined = cut(rows.join(shared, "h"))
+    centres = joined.where("node = centre").select("h", F.col("n").alias("n_c"), F.col("at").alias("at_c"))
+    under = cut(joined.join(centres, "h"))
+    forget(shared, joined)
+    return under
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, component_id)``, one row per row of ``docs``; a null id links with nothing and has a null component."""
+    """``(doc_id, text_hash, component_id)``, one row per row of ``docs``; a null id links with nothing and has a null component.
+
+    Component ids are the smallest doc_id reached. Repeated rows get a row each; an
+    empty table gives none; other columns are ignored.
+    """
     rows = cut(prints(docs, common_shingles(docs)))
-    known = rows.where("doc_id is not null")
-    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    under = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
-    one = F.struct(F.xxhash64("h", "node"), F.col("node").alias("centre"), F.col("n").alias("n_c"), F.col("at").alias("at_c"))  # by hash, so that the shingles of a group have many centres
-    shared = under.groupBy("h").agg(F.count("*").alias("c"), F.min(one).alias("one")).where("c > 1").select("h", "one.centre", "one.n_c", "one.at_c")
-    under = cut(under.join(shared, "h"))
-    star = cut(under.where("centre <> node").where(_can("n", "at", "n_c", "at_c")).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
-    links = _verified(star, nodes, docs)
-    more = _apart(under.select("h", "node", "n", "at"), connected_components(links), block).join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(cut(more), nodes, docs))
+    nodes = cut(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    fps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    alike = nodes.join(fps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    probed = simhash.links(fps, block=block).unionByName(alike)
+    under = _under(nodes)
+    star = under.where("centre <> node").where(_can("n", "at", "n_c", "at_c")).groupBy("node", "centre").agg(F.count("*").alias("shared"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "centre"))
+    star = star.withColumn("place", best).where(F.col("place") <= STAR).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    first = cut(probed.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = _verified(first, nodes, docs)
+    more = cut(_apart(under.select("h", "node", "n", "at"), connected_components(links), block).join(first, ["a", "b"], "left_anti"))
+    forget(under)
+    links = links.unionByName(_verified(more, nodes, docs))
     of = nodes.select("node", "doc_id").join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    first = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(first, "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = cut(of.join(least, "component").select("node", "component_id"))
+    out = cut(rows.select("doc_id", "text_hash", "node").join(named, "node", "left").select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
+    forget(rows, nodes, fps, first, more, named)
+    return out
