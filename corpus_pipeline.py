@@ -11,48 +11,73 @@ from pyspark.sql import functions as F
 
 from cordage.llm import decontaminate, jaccard, packing, secrets
 from cordage.llm import toxicity as tox
-from cordage.llm.common import cut, fold, table
+from cordage.llm.common import bit_table, cut, fold, forget, free_name, may_hold, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores at ``REJECT`` or more go."""
+    """Documents that the factorization machine scores at ``REJECT`` or more go.
+
+    Null and empty texts get the score of a text without terms. Repeated rows are scored each; without
+    labels of both kinds every text has the labels' share. An empty table gives no rows.
+    """
     model = tox.fit(*tox.training_rows(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1))
-    return tox.with_scores(docs, model, score_col="_toxic_score").where(F.col("_toxic_score") < tox.REJECT).drop("_toxic_score")
+    score = free_name(docs, "score")
+    return tox.with_scores(docs, model, score_col=score).where(F.col(score) < tox.REJECT).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; null ids all stay.
+    """One document of each component stays, the one with the smallest id.
 
-    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 4/5 or more.
-    The texts are shuffled once, at every size of input. Where rows repeat an id that stays, one of
-    them (the smallest by content) is kept.
+    Candidates come from SimHash fingerprints of five-word shingles and from shared shingles; texts are
+    linked whose sets have a Jaccard similarity of 4/5 or more. Null and wordless texts are copies of each
+    other. Of rows of one component that share its smallest id, one stays (the smallest by content);
+    different texts under one id stay if nothing links them. Rows with a null id all stay. An empty table
+    gives no rows. Only rows that a bit table takes for ones to drop are shuffled.
     """
-    found = cut(jaccard.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    gone = found.where("doc_id <> component_id or n > 1").select("doc_id")
-    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id and n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rest
-    rows = docs.join(repeated, "doc_id", "left_semi")
-    one = rows.groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("_row")).select("doc_id", "_row.*")
-    return rest.unionByName(one.select(*docs.columns))
+    found = jaccard.near_duplicates(docs)
+    keys = cut(found.where("doc_id is not null").groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n")))
+    first = keys.where("doc_id = component_id")
+    several = first.groupBy("component_id").agg(F.sum("n").alias("n")).where("n > 1").select("component_id")
+    gone = keys.where("doc_id <> component_id").withColumn("one", F.lit(False))
+    change = cut(gone.unionByName(first.join(several, "component_id", "left_semi").withColumn("one", F.lit(True))).select("doc_id", "text_hash", "component_id", "one"))
+    hits = bit_table(change.select(F.xxhash64("doc_id", "text_hash")), change.count())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    rows = rows.withColumn("hit", may_hold(hits, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text_hash"))))
+    told = rows.where("hit").join(change, ["doc_id", "text_hash"], "left")
+    one = told.where("one").groupBy("component_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    kept = rows.where("not hit").select("row").unionByName(told.where("one is null").select("row")).unionByName(one.select("row"))
+    forget(found, keys)
+    return kept.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that contain a benchmark item go."""
+    """Texts of which a benchmark item's words are covered by tiles to ``COVERAGE`` or more go, with all their copies.
+
+    Null and wordless texts stay. Repeated rows stay or go together. An empty table gives no rows; with
+    an empty benchmark all stay. Only rows that a bit table takes for leaks are shuffled.
+    """
     leaked = cut(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("text_key").distinct())
-    key = F.sha2(F.col("text").cast("string"), 256)
-    return docs.withColumn("text_key", key).join(leaked.hint("merge"), "text_key", "left_anti").select(*docs.columns)
+    hits = bit_table(leaked.select(F.xxhash64("text_key")), leaked.count())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(F.col("text").cast("string"), 256).alias("text_key"))
+    rows = rows.withColumn("hit", may_hold(hits, F.when(F.col("text_key").isNotNull(), F.xxhash64("text_key"))))
+    kept = rows.where("not hit").unionByName(rows.where("hit").join(leaked, "text_key", "left_anti").select(*rows.columns))
+    return kept.select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret's span in a text is replaced by a mark; all documents stay."""
+    """Every secret's span in a text is replaced by a mark; all documents stay, and n_chars is the new length.
+
+    Null and empty texts have no spans. Repeated rows are redacted alike. An empty table gives no rows.
+    """
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's bucket, batch and place."""
+    """Each document's bucket, batch and place; null and empty texts have no tokens and are packed like any other.
+
+    Repeated rows are packed each; a text over the budget is a batch of its own. An empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
