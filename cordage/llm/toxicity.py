@@ -104,18 +104,23 @@ def informative_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     alone = alone[chi[alone] > MIN_CHI]
     common = np.sort(np.argsort(-df, kind="stable")[:PAIR_TERMS])
     common = common[(df[common] >= 5) & (df[common] <= n - 5)]
-    both, both1 = np.zeros((2, len(common), len(common)))
-    for at in range(0, n, 2048):
-        x, y = _dense(rows[at : at + 2048], common), labels[at : at + 2048] > 0
+    both, both1 = np.zeros((2, len(common), len(common)), np.float32)  # counts, so exact
+    for at in range(0, n, 1024):
+        x = _dense(rows[at : at + 1024], common)
         both += x.T @ x
-        both1 += x[y].T @ x[y]
-    d, d1, contrast, error = df[common], df1[common], 0.0, 0.0
-    cells = ((1, both, both1), (-1, d[:, None] - both, d1[:, None] - both1), (-1, d[None] - both, d1[None] - both1), (1, n - d[:, None] - d[None] + both, pos - d1[:, None] - d1[None] + both1))
-    enough = np.logical_and.reduce([c >= 5 for _, c, _ in cells])
-    for sign, c, c1 in cells:
-        rate = (c1 + 0.5) / (c + 1)
-        contrast, error = contrast + sign * rate, error + rate * (1 - rate) / (c + 1)
-    strength = np.where(enough, np.abs(contrast) / np.sqrt(error), 0).max(1, initial=0)
+        x = x[labels[at : at + 1024] > 0]
+        both1 += x.T @ x
+    d, d1, strength = df[common].astype(np.float64), df1[common].astype(np.float64), np.zeros(len(common))
+    for at in range(0, len(common), 64):  # a strip of pairs at a time
+        own = slice(at, at + 64)
+        c, c1, e, e1 = both[own].astype(np.float64), both1[own].astype(np.float64), d[own, None], d1[own, None]
+        cells = ((1, c, c1), (-1, e - c, e1 - c1), (-1, d[None] - c, d1[None] - c1), (1, n - e - d[None] + c, pos - e1 - d1[None] + c1))
+        contrast = error = 0.0
+        for sign, total, ones in cells:
+            rate = (ones + 0.5) / (total + 1)
+            contrast, error = contrast + sign * rate, error + rate * (1 - rate) / (total + 1)
+        enough = np.minimum.reduce([total for _, total, _ in cells]) >= 5
+        strength[own] = np.where(enough, np.abs(contrast) / np.sqrt(error), 0).max(1, initial=0)
     paired = common[strength >= MIN_CONTRAST]
     return np.unique(np.concatenate([alone, paired[np.argsort(-strength[strength >= MIN_CONTRAST], kind="stable")][:TERMS]]))
 
