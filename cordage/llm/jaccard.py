@@ -1,6 +1,7 @@
 """SimHash near-duplicates of five-word shingles, verified by exact Jaccard similarity, none missed.
 
-A text is the set of its five-word shingles (words as in ``simhash``; fewer words make one shingle).
+A text is the set of its five-word shingles (words as in ``simhash``; fewer words make one shingle). A
+shingle's hash is made of its words' hashes and a word's of its bytes, by running Karp-Rabin, all at once.
 Two texts are linked if their sets' similarity is at least 4/5; wordless and null texts are copies
 of each other.
 
@@ -21,6 +22,7 @@ So a large group of copies costs rows, not pairs; every candidate is verified on
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +34,47 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import bit_table, connected_components, cut, forget, may_hold
-from .simhash import shingle_hashes
+from .decontaminate import BASE, INVERSE, window_hashes
 
 WIDTH, STAR, BLOCK = 5, 4, 1024
 SAMPLE, COMMON, OFTEN = 4_000, 50_000, 3  # texts to look for common shingles, how many of them to know, the least count
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
 
 
+# Each byte's number: 0 for white space, and A-Z as a-z.
+CODES = np.array([0 if c == 32 or 9 <= c <= 13 else 1 + (c + 32 if 65 <= c <= 90 else c) for c in range(256)], np.uint64)
+
+
+@functools.lru_cache(4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    power = lambda base: np.cumprod(np.append(np.uint64(1), np.full((1 << bits) - 1, base, np.uint64)), dtype=np.uint64)
+    return power(BASE), power(INVERSE)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _word_hashes(text: str | None) -> np.ndarray:
+    codes = CODES[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
+    n = len(codes)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], codes != 0, [False]])))
+    start, stop = edges[::2], edges[1::2]
+    up, back = _powers(max(12, n.bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[:n], dtype=np.uint64)])
+    return _mix((sums[stop] - sums[start]) * back[start])
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """A mixed 64-bit hash of every shingle, repeats included."""
+    h = _word_hashes(text)
+    return _mix(window_hashes(h, min(WIDTH, len(h)))) if len(h) else h
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text, WIDTH))
+    return np.unique(shingle_hashes(text))
 
 
 def _node(own: np.ndarray) -> int:
@@ -73,7 +107,7 @@ def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
         for b in batches:
             nodes, sizes, fps, first = [], [], [], []
             for t in b.column(1):
-                h = shingle_hashes(t.as_py(), WIDTH)
+                h = shingle_hashes(t.as_py())
                 own = np.unique(h)
                 known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
                 nodes.append(_node(own)), sizes.append(len(own)), fps.append(simhash.fingerprint_of(h))
