@@ -26,17 +26,16 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bit_table, connected_components, cut, forget, may_hold
+from .common import bit_table, connected_components, cut, forget
 from .decontaminate import BASE, INVERSE, window_hashes
 
-WIDTH, STAR, BLOCK = 5, 4, 1024
+WIDTH, STAR, BLOCK, SLICE = 5, 4, 1024, 512
 SAMPLE, COMMON, OFTEN = 4_000, 50_000, 3  # texts to look for common shingles, how many of them to know, the least count
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
 
@@ -104,7 +103,7 @@ def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
     text's fingerprint and the shingles that the set is found by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             nodes, sizes, fps, first = [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py())
@@ -126,12 +125,14 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingle_set(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "set"])
+            ids = b.column(0)
+            hits = np.flatnonzero(table.has(ids.fill_null(0).to_numpy().view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False))
+            for at in range(0, len(hits), SLICE):
+                own = [shingle_set(b.column(1)[i].as_py()) for i in hits[at : at + SLICE].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.where(may_hold(table, F.col("doc_id"))).select("text")
-    return texts.mapInArrow(run, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -142,12 +143,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     own = cut(nodes.select("node", "doc_id").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     sets = cut(_sets(docs, own))
     full = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:  # the sets come sorted by their unsigned values
-        return pd.Series([9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    links = cut(full.where(similar("set_a", "set_b")).select("a", "b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    links = cut(full.where(9 * both >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
     forget(near, own, sets)
     return links
 
