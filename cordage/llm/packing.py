@@ -1,36 +1,77 @@
 """Packing into length buckets that a dynamic program chooses over the whole histogram.
 
-Texts are padded to their bucket's boundary. The histogram of all token counts (cells of one token
-up to ``EXACT``, then steps of about one part in fifty) goes to the driver, at most a thousand rows
-whatever the input; the program finds the boundaries with the least padding. Inside a bucket,
-documents are dealt to shards of a bounded number of rows by a hash of the id, and each shard forms
-batches whose padded tokens keep to the budget; a shard leaves at most one short batch.
+Texts are tokenised by a public byte-level BPE vocabulary (a path), and padded to their bucket's boundary.
+The histogram of all token counts (cells of one token up to ``EXACT``, then steps of about one part in
+fifty) goes to the driver, at most a thousand rows whatever the input; the program finds the boundaries
+with the least padding. Inside a bucket, documents are dealt to shards of a bounded number of rows by a
+hash of id and count, and each shard forms batches whose padded tokens keep to the budget; a shard leaves
+at most one short batch. Rows that repeat one id and count more often than a shard holds are dealt one by
+one.
 
-The token count is a column expression over the text; the default counts pieces as the pattern of
-byte-level tokenizers cuts them (words with a leading space, digits, runs of marks).
+``pack`` tells each document's batch and place; with ``keep_tokens`` also its padded token ids. A caller
+may give a count of its own instead (``tokens``, a column expression).
 
 Defined cases: null and empty texts have no tokens, a bucket boundary of one cell and fill batches
-like any other. A text longer than the budget is a batch of its own, whole. Repeated rows are packed
-each. An empty table gives no rows.
+like any other. A text longer than the budget is a batch of its own, whole. Control strings in texts are
+ordinary text. Repeated rows are packed each. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-BUCKETS, BUDGET, SHARD_ROWS = 8, 8192, 20_000
+BUCKETS, BUDGET, SHARD_ROWS, PAD = 8, 8192, 20_000, -1
 EXACT, STEP = 64, 0.02
-PIECES = r" ?[\p{L}\p{M}]+| ?\p{N}+| ?[^\s\p{L}\p{M}\p{N}]+"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k"  # .tiktoken and .json, one vocabulary in two forms
+# Fixed value: how byte-level BPE cuts texts into pieces.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = re.compile(r"\S{1000}|\s{1000}")  # may be one piece, which tiktoken merges in the square of its length
 
 
-def pieces(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("long")
+@functools.lru_cache(2)
+def _encoders(path: str):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(f"{path}.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    slow = Tokenizer.from_file(f"{path}.json")
+    slow.encode_special_tokens = True
+    return tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), slow
+
+
+def encode(text: str | None, path: str = VOCABULARY) -> list[int]:
+    if not text:
+        return []
+    fast, slow = _encoders(path)
+    text = text.encode("utf-8", "replace").decode()
+    return slow.encode(text, add_special_tokens=False).ids if LONG.search(text) else fast.encode_ordinary(text)
+
+
+def tokenized(docs: DataFrame, path: str = VOCABULARY, keep_tokens: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens)`` per row, and ``tokens`` if they are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                ids = [encode(t.as_py(), path) for t in part.column(1)]
+                columns = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_tokens else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(["tokens"] if keep_tokens else [])])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long" + (", tokens array<int>" if keep_tokens else ""))
 
 
 def cell(n: Column) -> Column:
@@ -65,10 +106,9 @@ def best_boundaries(top: np.ndarray, rows: np.ndarray, tokens: np.ndarray, bucke
     return [*reversed([*ends, j])]
 
 
-def pack(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(doc_id, n_tokens, bucket, padded_to, batch_id, place, batch_rows)`` per row of ``docs``."""
-    n = tokens if tokens is not None else pieces(F.col("text").cast("string"))
-    counted = cut(docs.select("doc_id", n.alias("n_tokens")))
+def pack(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS, path: str = VOCABULARY, keep_tokens: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, bucket, padded_to, batch_id, place, batch_rows)`` per row of ``docs``, and the padded ``tokens`` if kept."""
+    counted = cut(tokenized(docs, path, keep_tokens) if tokens is None else docs.select("doc_id", tokens.cast("long").alias("n_tokens")))
     cells = counted.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
     histogram = sorted(map(tuple, cells.collect()))
     if not histogram:
@@ -83,10 +123,20 @@ def pack(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS,
         bucket = F.when(inside, k).otherwise(bucket)
         upper = F.when(inside, F.lit(int(top[e])).cast("long")).otherwise(upper)
         shards = F.when(inside, F.lit(max(1, math.ceil(int(rows[s : e + 1].sum()) / shard_rows))).cast("long")).otherwise(shards)
-    dealt = counted.withColumn("bucket", bucket).withColumn("padded_to", upper).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), shards))
+    hot = counted.groupBy(F.col("doc_id").alias("_d"), F.col("n_tokens").alias("_n")).agg(F.count("*").alias("_copies")).where(F.col("_copies") > shard_rows)
+    rows = counted.withColumn("_row", F.monotonically_increasing_id())  # of a table that is written, so a task that runs again sees the same
+    rows = rows.join(hot, F.col("doc_id").eqNullSafe(F.col("_d")) & (n_tokens == F.col("_n")), "left")
+    dealt = rows.withColumn("bucket", bucket).withColumn("padded_to", upper).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", F.when(F.col("_copies").isNotNull(), F.col("_row"))), shards))
     order = Window.partitionBy("bucket", "shard").orderBy(F.xxhash64("doc_id"), "doc_id", "n_tokens")
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_to"), F.lit(1)))).cast("long")
     placed = dealt.withColumn("rank", F.row_number().over(order) - 1).withColumn("size", size)
     batch = F.concat_ws("-", F.col("bucket"), F.col("shard"), F.floor(F.col("rank") / F.col("size")))
     place = (F.col("rank") % F.col("size")).cast("int").alias("place")
-    return placed.select("doc_id", "n_tokens", "bucket", "padded_to", batch.alias("batch_id"), place, F.col("size").alias("batch_rows"))
+    padded = [F.concat("tokens", F.array_repeat(F.lit(PAD), (F.col("padded_to") - n_tokens).cast("int"))).alias("tokens")] if keep_tokens else []
+    return placed.select("doc_id", "n_tokens", "bucket", "padded_to", batch.alias("batch_id"), place, F.col("size").alias("batch_rows"), *padded)
+
+
+def padding(packed: DataFrame) -> DataFrame:
+    """``(bucket, rows, tokens, padded, share)`` for each bucket and, with a null bucket, for all: what padding adds, as a share of all."""
+    told = packed.select("n_tokens", "padded_to", F.explode(F.array(F.col("bucket"), F.lit(None).cast("int"))).alias("bucket"))
+    return told.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"), F.sum("padded_to").alias("padded")).withColumn("share", F.try_divide(F.col("padded") - F.col("tokens"), F.col("padded")))
