@@ -103,10 +103,11 @@ def by_document(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc
     told = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     base = F.filter("all", lambda x: x["rank"] <= len(BASE))
     count = lambda kind: F.size(F.filter("all", lambda x: x["kind"] == kind)).cast("long")
+    most = lambda name: F.array_max(F.transform("all", lambda x: x[name]))
     digests = lists.select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), *(count(k).alias(f"n_{k}") for k in KINDS),
         told(base).alias("base"), told(F.col("all")).alias("spans"), F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"),
-        *(F.array_max(F.transform("all", lambda x, f=f: x[f])).alias(f"max_{f}") for f in ("owners", "repos")),
+        most("owners").alias("max_owners"), most("repos").alias("max_repos"),
     )
     ids = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     joined = ids.join(digests, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, secrets
+from . import chat
 
 URLS = """
 WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -12,23 +12,30 @@ f AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_p
       FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
 SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN f ON u.page_id = f.page_id"""
 
+# Written out here, so that a wrong pattern of the operator can't pass on both sides.
+_PATTERNS = [
+    ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
+    ("access", r"AKIA[A-Z0-9]{16,}"),
+    ("hex", r"[0-9a-f]{24,}"),
+    ("owned", r"[A-Za-z0-9+/_-]{24,}"),
+]
 _PLACES = " UNION ALL ".join(
     f"SELECT doc_id, source, {k} AS rank, '{kind}' AS kind, string_split_regex(text, $p${pattern}$p$) AS pieces, regexp_extract_all(text, $p${pattern}$p$) AS matches FROM documents WHERE regexp_matches(text, $p${pattern}$p$)"
-    for k, (kind, pattern) in enumerate(secrets.KINDS.items())
+    for k, (kind, pattern) in enumerate(_PATTERNS)
 )
 
 SECRETS = f"""
 WITH s AS ({_PLACES}),
 x AS (SELECT doc_id, source, rank, kind, unnest(range(1, len(matches) + 1)) AS i, pieces, matches FROM s),
 y AS (SELECT doc_id, source, rank, kind, matches[i] AS m, CAST(sum(length(pieces[i]) + length(matches[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM x),
-z AS (SELECT *, stop - length(m) AS start, CASE WHEN kind = 'assign' THEN regexp_extract(m, $p${secrets.ASSIGN}$p$, 2) ELSE m END AS value FROM y),
-c AS (SELECT * FROM z WHERE CASE kind WHEN 'assign' THEN length(value) >= {secrets.ASSIGN_VALUE} WHEN 'owned' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') ELSE true END),
+z AS (SELECT *, stop - length(m) AS start, CASE WHEN kind = 'assign' THEN regexp_extract(m, $p${_PATTERNS[0][1]}$p$, 2) ELSE m END AS value FROM y),
+c AS (SELECT * FROM z WHERE CASE kind WHEN 'assign' THEN length(value) >= 6 WHEN 'owned' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') ELSE true END),
 k AS (SELECT * FROM c WHERE kind <> 'owned' OR NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.kind <> 'owned' AND b.start < c.stop AND b.stop > c.start)),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM k GROUP BY value),
-l AS (SELECT k.*, owners <= {secrets.MAX_OWNERS} AS live FROM k JOIN o USING (value) WHERE kind <> 'owned' OR owners <= {secrets.MAX_OWNERS}),
-g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'owned') AS n_owned, count(*) FILTER (live) AS n_live,
+o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT doc_id) AS repos FROM k GROUP BY value),
+l AS (SELECT * FROM (SELECT k.*, owners, repos, owners <= 2 AND repos <= 8 AS live FROM k JOIN o USING (value)) WHERE kind <> 'owned' OR live),
+g AS (SELECT doc_id, max(owners) AS max_owners, max(repos) AS max_repos, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'owned') AS n_owned, count(*) FILTER (live) AS n_live,
       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'owned') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM l GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(max_owners, 0) AS max_owners, coalesce(max_repos, 0) AS max_repos
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 
