@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Accented letters and what they fold to (the letter n with tilde stays).
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüç"
@@ -47,8 +48,15 @@ def drop_reason(c: Column, max_words: int) -> Column:
     )
 
 
+def ascii_fold(c: Column) -> Column:
+    """``fold`` with the tilde of n gone too."""
+    return F.translate(fold(c), "ñ", "n")
+
+
 def hash_id(prefix: str, *parts: Column) -> Column:
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\u0000", *parts), 256), 1, 12))
+    """The prefix and twelve hex digits of the parts' hash; a null part is a mark of its own, not left out."""
+    told = [F.coalesce(p.cast("string"), F.lit("\ufffe")) for p in parts]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\u0000", *told), 256), 1, 12))
 
 
 def read_back(digits: Column) -> Column:
@@ -56,10 +64,59 @@ def read_back(digits: Column) -> Column:
     return F.trim(F.regexp_replace(digits, "(..)", "$1 "))
 
 
+def read_back_email(c: Column) -> Column:
+    """An address with its signs as words."""
+    # The signs and their names.
+    for sign, name in (("@", " arroba "), (".", " punto "), ("_", " guion bajo "), ("-", " guion ")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return squeeze(c)
+
+
+# The fields that hold what a person said.
+PERSONAL = ("text", "normalized_value", "raw_span")
+
+
 def redact(c: Column) -> Column:
     return F.when(c.isNotNull(), F.lit("[redacted]"))
 
 
+def redact_nested(c: Column, kind: DataType, names: tuple[str, ...] = PERSONAL) -> Column:
+    """A column of type ``kind`` with personal fields hidden at any depth; nulls stay null."""
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: redact_nested(x, kind.elementType, names))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda k, v: F.when(k.isin(*names), redact(v)).otherwise(redact_nested(v, kind.valueType, names)) if isinstance(kind.valueType, StringType) else redact_nested(v, kind.valueType, names))
+    if isinstance(kind, StructType):
+        each = [(redact(c[f.name]) if f.name in names else redact_nested(c[f.name], f.dataType, names)).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*each))
+    return c
+
+
+def dotted(schema: StructType, prefix: str = "") -> list[Column]:
+    """Every leaf of nested structs as a column with its path as a dotted name."""
+    out = []
+    for f in schema.fields:
+        path = f"{prefix}.{f.name}" if prefix else f.name
+        out += dotted(f.dataType, path) if isinstance(f.dataType, StructType) else [F.col(".".join(f"`{p}`" for p in path.split("."))).alias(path)]
+    return out
+
+
+def canonical(field: Column, value: Column) -> Column:
+    """The value to write for a field, or null if it is not well formed."""
+    phone = F.when(value.rlike(r"^\+52[2-9][0-9]{9}\z"), value)
+    address = F.lower(F.trim(value))
+    email = F.when(address.rlike(r"^[a-z0-9_%+-]+(\.[a-z0-9_%+-]+)*@([a-z0-9-]+\.)+[a-z]{2,}\z"), address)
+    return F.when(field == "phone", phone).when(field == "email", email).when(field == "name", normalize_name(value))
+
+
+def key_terms(field: Column, name: Column, email: Column) -> Column:
+    """Stored words that help to hear a field: a name's words, the first part of an address's host."""
+    none = F.array().cast("array<string>")
+    words = F.filter(F.split(squeeze(F.coalesce(name, F.lit(""))), " "), lambda w: w != "")
+    host = F.regexp_extract(F.coalesce(email, F.lit("")), "@([^@.]*)", 1)
+    return F.when(field == "name", F.array_distinct(words)).when((field == "email") & F.contains(F.coalesce(email, F.lit("")), F.lit("@")), F.array(host)).otherwise(none)
+
+
 def slice_span(c: Column, start: Column, stop: Column) -> Column:
     return F.substring(c, (start + 1).cast("int"), (stop - start).cast("int"))
 

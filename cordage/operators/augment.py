@@ -20,7 +20,7 @@ MISHEARINGS = {
     "sesenta": ["setenta"], "setenta": ["sesenta"], "tres": ["trece"], "trece": ["tres"], "dos": ["doce"], "doce": ["dos"], "eme": ["ene"], "ene": ["eme"],
     "be": ["ve", "de"], "ve": ["be"], "de": ["te"], "te": ["de"], "pe": ["te", "be"], "ese": ["ce"], "ele": ["el"], "jota": ["hota"],
 }
-SPELLINGS = "v b,b v,z s,ce se,ci si,ll y,x j,ge je,gi ji,á a,é e,í i,ó o,ú u"
+SPELLINGS = [("v", "b"), ("b", "v"), ("z", "s"), ("ce", "se"), ("ci", "si"), ("ll", "y"), ("x", "j"), ("ge", "je"), ("gi", "ji"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u")]
 # Words that may be lost, words never touched, hesitations, and the shares of the three edits.
 DELETABLE = "de el la los las a y que pues este eh es mi".split()
 PROTECTED = "no sí si nunca ya tampoco nada puedo voy cancelar ahorita después correcto perdón".split()
@@ -73,7 +73,7 @@ def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str |
     able = F.least(wanted, F.size(sorted_order))
     df = df.withColumn("_cut", F.when(able > 0, F.element_at(sorted_order, F.greatest(able, F.lit(1)))).otherwise(-1.0))
 
-    rules = F.transform(F.split(F.lit(SPELLINGS), ","), lambda r: F.struct(F.split(r, " ")[0].alias("a"), F.split(r, " ")[1].alias("b")))
+    rules = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SPELLINGS))
     df = df.withColumn("_homophones", _table(HOMOPHONES)).withColumn("_mishearings", _table(MISHEARINGS)).withColumn("_rules", rules)
 
     def edit(t: Column, o: Column) -> Column:

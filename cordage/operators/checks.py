@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import structured
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -67,3 +69,10 @@ def example_problem(task: Column, source: Column, id: Column, group: Column, inp
         .when((task == "replay") & (F.coalesce(response, F.lit("")) == ""), "response")
         .when((task == "extract_entity") & ~both_field, "field")
     )
+
+
+def row_problem(task: Column, source: Column, id: Column, group: Column, inputs: Column, outputs: Column) -> Column:
+    """``example_problem`` with the answer's own schema (``schema``) before the comparison of fields."""
+    found = example_problem(task, source, id, group, inputs, outputs)
+    schema = F.when(structured.any_problem(outputs, task).isNotNull(), "schema")
+    return F.coalesce(F.when(found != "field", found), schema, found)

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
 from ..functions import text as T
 from ..sources.tables import settle
+from . import calibration
 
 
 def curate_counters(docs: DataFrame, lang: str, max_words: int) -> DataFrame:
-    """Rows read and in the language, and how many go for each reason or stay."""
+    """How many rows of the language go for each reason or stay."""
     reason = F.coalesce(T.drop_reason(F.col("text"), max_words), F.lit("kept"))
     own = docs.where(F.col("lang") == lang)
     return own.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
@@ -89,15 +88,12 @@ def folds(rows: DataFrame, key: str, k: int = 5, seed: str = "42") -> DataFrame:
     return rows.withColumn("fold", F.least(F.floor(T.hash_fraction(seed, F.col(key)) * k), F.lit(k - 1)).cast("int"))
 
 
-def held_out_ece(rows: DataFrame, key: str, k: int = 5, bins: int = 15) -> DataFrame:
-    """Each fold's calibration error at the temperature fitted on the other folds."""
-    rows, out = folds(rows, key, k), None
-    for f in range(k):
-        t = fit_temperature(rows.where(F.col("fold") != f).withColumn("bucket", F.lit(f)), by="bucket").select(F.col("bucket").alias("fold"), "t")
-        own = rows.where(F.col("fold") == f).join(F.broadcast(t), "fold")  # one row
-        e = calibration_error(own.select(P.temper(F.col("p"), F.col("t")).alias("p"), "gold"), bins).select(F.lit(f).alias("fold"), "ece", "n")
-        out = e if out is None else out.unionByName(e)
-    return out
+def held_out_ece(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """``(fold, ece, n)``: each fold's calibration error at the temperature fitted on the other folds."""
+    rows = folds(rows, key, k).withColumn("_all", F.lit(0))
+    found = calibration.temperatures(rows, "_all", "fold", k)
+    t = F.coalesce(*(F.when(F.col("fold") == f, found[0, f]) for f in range(k) if (0, f) in found))
+    return calibration.ece_by(rows, "fold", P.temper(F.col("p"), t)).select("fold", F.round("ece", 4).alias("ece"), "n")
 
 
 def table_digest(rows: DataFrame, *by: str) -> DataFrame:
@@ -126,11 +122,10 @@ def gate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rates for all rows, each language and each quality, in one pass of grouping sets."""
     joined = labels.join(docs.select("doc_id", "lang"), "doc_id")
-    joined.createOrReplaceTempView("_levels")
     return docs.sparkSession.sql(
         "SELECT coalesce(lang, 'all') AS lang, coalesce(CAST(quality AS STRING), 'all') AS quality, count(*) AS n, round(avg(CAST(toxic AS DOUBLE)), 4) AS rate "
-        "FROM _levels GROUP BY GROUPING SETS ((), (lang), (quality))"
-    )
+        "FROM {rows} GROUP BY GROUPING SETS ((), (lang), (quality))", rows=joined,
+    )
 
 
 def majority(rows: DataFrame, label: str, order: str) -> DataFrame:
@@ -164,39 +159,16 @@ def nll(rows: DataFrame, t: float) -> DataFrame:
 
 
 def threshold_at_recall(rows: DataFrame, score: str, positive: str, recall: Fraction = Fraction(95, 100)) -> DataFrame:
-    """The score of the positive at place ceil(recall * positives), then recall and precision from there."""
-    n = rows.where(positive).count()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "threshold double, recall double, precision double")
-    place = -(-n * recall.numerator // recall.denominator)
-    bounds = rows.where(positive).groupBy(score).agg(F.count("*").alias("c")).orderBy(F.desc(score))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    at = bounds.withColumn("upto", F.sum("c").over(w)).where(F.col("upto") >= place).agg(F.max(score).alias("threshold"))
-    above = rows.join(F.broadcast(at), F.col(score) >= F.col("threshold"))  # one row
-    hits = F.count_if(F.expr(positive))
-    return above.groupBy("threshold").agg(F.round(hits / n, 4).alias("recall"), F.round(hits / F.count("*"), 4).alias("precision")).withColumn("threshold", F.round("threshold", 6))
-
-
-def fit_temperature(rows: DataFrame, by: str = "gold", low: float = 0.5, high: float = 5.0, grid: int = 181) -> DataFrame:
-    """The temperature with the least mean loss for each bucket's rows (``by``, an integer column).
-
-    The losses on a grid (even in the logarithm) are summed in tasks, so no group is gathered.
-    """
-    import numpy as np
-
-    ts = np.exp(np.linspace(np.log(low), np.log(high), grid))
-
-    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                z = np.log(np.maximum(np.stack(pdf.p.to_numpy()), 1e-4))[:, None, :] / ts[None, :, None]
-                z -= z.max(2, keepdims=True)
-                p = np.exp(z) / np.exp(z).sum(2, keepdims=True)
-                g = pdf.gold.to_numpy()
-                own = -np.log(np.maximum(p[np.arange(len(g)), :, g], 1e-12))
-                buckets = pdf.bucket.to_numpy()
-                for b in np.unique(buckets):
-                    yield pd.DataFrame({by: int(b), "t": ts, "loss": own[buckets == b].sum(0), "n": int((buckets == b).sum())})
-
-    sums = rows.select("p", "gold", F.col(by).alias("bucket")).mapInPandas(losses, f"{by} int, t double, loss double, n long").groupBy(by, "t").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
-    return sums.groupBy(by).agg(F.round(F.min_by("t", "loss"), 4).alias("t"), F.max("n").alias("n"))
+    """The score of the positive at place ceil(recall * positives), then recall and precision from there; no positives: no row."""
+    try:
+        found = [calibration.rejection_threshold(rows, score, positive, recall)]
+    except calibration.CalibrationError:
+        found = []
+    return rows.sparkSession.createDataFrame([(r["threshold"], r["recall"], r["precision"]) for r in found], "threshold double, recall double, precision double")
+
+
+def fit_temperature(rows: DataFrame, by: str = "gold") -> DataFrame:
+    """``(by, t, n)``: the temperature with the least mean loss for each bucket's rows."""
+    found = calibration.temperatures(rows, by)
+    t = F.coalesce(*(F.when(F.col(by) == value, t) for (value, _), t in found.items()), F.lit(None).cast("double"))
+    return rows.groupBy(by).agg(F.count("*").alias("n")).select(by, t.alias("t"), "n")

@@ -6,11 +6,12 @@ draws are hashes of what an example is made of: growing the input leaves the exa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spoken
 from ..functions import text as T
+from . import phrases as bank_of
 
 # The confidence an example is labelled with, the share without a usable value.
 CLEAR, AMBIGUOUS, ABSENT, NEGATIVES = 0.95, 0.5, 0.9, 0.15
@@ -78,3 +79,61 @@ def entity_examples(people: DataFrame, frames: list[str], refusals: dict[str, li
         value.alias("normalized_value"), reason.isNotNull().alias("needs_reprompt"), reason.alias("reprompt_reason"),
         F.when(F.col("negative"), ABSENT).when(unknown, AMBIGUOUS).otherwise(CLEAR).alias("confidence"),
     )
+
+
+def carrier_intents(bank: DataFrame, flows: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """``intent_examples`` of a bank's approved phrases (``bank(id, task, label, text, status)``), each with its ``carrier_id``."""
+    good = bank_of.approved(bank).where("task = 'classify_intent'").select("label", "text", F.col("id").alias("carrier_id"))
+    rows = intent_examples(good.select("label", "text"), flows)
+    return rows.join(good.withColumnsRenamed({"label": "intent", "text": "transcript"}), ["intent", "transcript"])
+
+
+def carrier_interruptions(bank: DataFrame, utterances: list[str]) -> DataFrame:
+    """``interruption_examples`` of a bank's approved phrases, each with its ``carrier_id``."""
+    good = bank_of.approved(bank).where("task = 'is_real_interruption'").select(F.col("label").alias("kind"), "text", F.col("id").alias("carrier_id"))
+    rows = interruption_examples(good.select("kind", "text"), utterances)
+    return rows.join(good.withColumnRenamed("text", "transcript"), ["kind", "transcript"])
+
+
+def with_carriers(template: DataFrame, carrier: DataFrame) -> DataFrame:
+    """Template and carrier examples together, with their source; what one side lacks is null."""
+    return template.withColumn("source", F.lit("template")).unionByName(carrier.withColumn("source", F.lit("carrier")), allowMissingColumns=True)
+
+
+def capacity(space: DataFrame) -> int:
+    """How many distinct examples a finite space holds."""
+    return space.distinct().count()
+
+
+def capped(space: DataFrame, wanted: int, seed: str, id_col: str = "id") -> DataFrame:
+    """At most ``wanted`` examples of a finite space, in an order that depends on seed and id alone (``rank`` from 0)."""
+    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), 256)
+    first = space.distinct().withColumn("_order", order).orderBy("_order", id_col).limit(wanted)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("_order", id_col)) - 1).drop("_order")  # ``wanted`` rows
+
+
+def summary(rows: DataFrame, **kinds: str) -> DataFrame:
+    """``(task, kind, value, n)``: rows of each task, and of each value of what is counted for it (null: None)."""
+    each = [F.struct(F.lit("rows").alias("kind"), F.lit("all").alias("value"))]
+    each += [F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("value")) for k, c in sorted(kinds.items())]
+    return rows.select("task", F.explode(F.array(*each)).alias("k")).groupBy("task", "k.kind", "k.value").agg(F.count("*").alias("n"))
+
+
+def template_problems(personas: DataFrame, known_personas: DataFrame, interruptions: DataFrame, kinds: DataFrame, flow_labels: DataFrame, intents: DataFrame, allowed_kinds: list[str], allowed_intents: list[str]) -> DataFrame:
+    """``(problem, value)``: everything in which settings and templates disagree, at once, by anti joins.
+
+    ``personas(name)`` wanted and ``known_personas(name)`` written; ``interruptions(phrase)`` and ``kinds(phrase, kind)``;
+    ``flow_labels(label)`` and ``intents(label)``.
+    """
+    told = lambda name, df, column: df.select(F.lit(name).alias("problem"), F.col(column).alias("value"))
+    parts = [
+        told("persona_without_template", personas.join(known_personas, "name", "left_anti"), "name"),
+        told("interruption_without_kind", interruptions.join(kinds, "phrase", "left_anti"), "phrase"),
+        told("kind_not_allowed", kinds.where(~F.col("kind").isin(allowed_kinds) | (F.col("kind") == "backchannel")), "kind"),
+        told("intent_not_allowed", intents.where(~F.col("label").isin(allowed_intents)), "label"),
+        told("intent_without_phrases", flow_labels.join(intents, "label", "left_anti"), "label"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()

@@ -5,9 +5,11 @@ A user stands for a call, the event type for its discriminator, value for a late
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 E2E_BUDGET, LLM_BUDGET = 80.0, 50.0
 ACCURACY = 1_000_000
 
@@ -45,25 +47,21 @@ def dim_call(events: DataFrame) -> DataFrame:
     return joined.select("user_id", "started_at", "ended_at", F.round("outcome", 4).alias("outcome"), "barge_ins", "interruptions", seconds, F.date_trunc("hour", "started_at").alias("started_hour"))
 
 
-def percentiles(column: str, name: str) -> list:
-    return [F.percentile_approx(column, p, ACCURACY).alias(f"{name}_p{int(p * 100)}") for p in (0.5, 0.95)]
-
-
 def kpi_hourly(events: DataFrame) -> DataFrame:
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("started_hour")
     k = F.get_json_object("props", "$.k").cast("long")
     rate = F.round(F.avg((k >= 50).cast("double")), 6).alias("valid_rate")
-    return events.groupBy(hour).agg(F.countDistinct("user_id").alias("calls"), F.count("*").alias("turns"), *percentiles("value", "value"), rate)
+    return events.groupBy(hour).agg(F.countDistinct("user_id").alias("calls"), F.count("*").alias("turns"), F.percentile_approx("value", 0.5, ACCURACY).alias("value_p50"), F.percentile_approx("value", 0.95, ACCURACY).alias("value_p95"), rate)
 
 
 def kpi_by(events: DataFrame, key: str) -> DataFrame:
-    return events.groupBy(key).agg(F.count("*").alias("turns"), *percentiles("value", "value"))
+    return events.groupBy(key).agg(F.count("*").alias("turns"), F.percentile_approx("value", 0.5, ACCURACY).alias("value_p50"), F.percentile_approx("value", 0.95, ACCURACY).alias("value_p95"))
 
 
 def summary(events: DataFrame) -> DataFrame:
     share = lambda t: F.round(F.try_divide(F.count_if(F.col("event_type") == t), F.count("*")), 6).alias(f"{t}_rate")
     ratio = F.round(F.try_divide(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), F.sum("value")), 6).alias("error_value_share")
-    return events.agg(F.count("*").alias("turns"), F.countDistinct("user_id").alias("calls"), share("purchase"), share("error"), share("signup"), *percentiles("value", "value"), ratio)
+    return events.agg(F.count("*").alias("turns"), F.countDistinct("user_id").alias("calls"), share("purchase"), share("error"), share("signup"), F.percentile_approx("value", 0.5, ACCURACY).alias("value_p50"), F.percentile_approx("value", 0.95, ACCURACY).alias("value_p95"), ratio)
 
 
 def sequence_numbers(events: DataFrame) -> DataFrame:
@@ -76,7 +74,32 @@ def sequence_numbers(events: DataFrame) -> DataFrame:
     )
 
 
-def topic(events: DataFrame) -> DataFrame:
+def topic_of(kind: Column) -> Column:
     # Types and their topics.
-    routed = F.when(F.col("event_type") == "view", "calls.transcripts").when(F.col("event_type") == "click", "model.inferences").otherwise("calls.events")
-    return events.select(routed.alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    return F.when(kind == "view", "calls.transcripts").when(kind == "click", "model.inferences").otherwise("calls.events")
+
+
+def topic(events: DataFrame) -> DataFrame:
+    return events.select(topic_of(F.col("event_type")).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+def turn_numbers(events: DataFrame, kind: str, key: list[str], order: list[str]) -> DataFrame:
+    """``events`` with ``turn``: how many events of ``kind`` its call has had up to then."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("turn", F.sum((F.col("event_type") == kind).cast("long")).over(w))
+
+
+def call_switches(events: DataFrame, call: str, order: list[str]) -> DataFrame:
+    """``(switches)``: how often the next event in order belongs to another call.
+
+    Range partitions are compared inside, and each one's first event with the last before it: a row a
+    partition. An order that is not unique is settled by the call.
+    """
+    rows = settle(events.select(*order, F.col(call).alias("_c")).repartitionByRange(*order, "_c").withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy(*order, "_c")
+    inside = rows.withColumn("_hit", (F.lag("_c").over(w) != F.col("_c")).cast("long")).agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("n"))
+    at = F.struct(*order, "_c")
+    ends = rows.groupBy("_part").agg(F.min_by("_c", at).alias("first"), F.max_by("_c", at).alias("last"))
+    over = Window.orderBy("_part")  # a row a partition
+    between = ends.withColumn("_hit", (F.lag("last").over(over) != F.col("first")).cast("long")).agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("m"))
+    return inside.join(between).select((F.col("n") + F.col("m")).alias("switches"))  # one row each

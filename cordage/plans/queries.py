@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decisions
@@ -18,23 +15,9 @@ from ..operators import examples as X
 from ..operators import phrases as B
 from ..operators import telemetry as E
 from ..sources import ingest
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from ..streaming import events as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
+from .registry import QUERIES, SQL, query  # noqa: F401
 
 def _event_keys() -> list:
     return [F.col("user_id"), F.to_date("ts"), F.col("event_type")]
@@ -115,14 +98,12 @@ def p95_by_outcome(spark, d):
 
 @query("SELECT date_trunc('hour', ts) AS hour, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM events GROUP BY 1")
 def rate_by_hour(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("_events")
-    return spark.sql("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, round(avg(CASE WHEN event_type = 'error' THEN 1D ELSE 0D END), 6) AS rate FROM _events GROUP BY 1")
+    return spark.sql("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, round(avg(CASE WHEN event_type = 'error' THEN 1D ELSE 0D END), 6) AS rate FROM {events} GROUP BY 1", events=table(spark, d, "events"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 10 THEN 1.0 ELSE 0.0 END), 6) AS invalid_rate FROM events WHERE props IS NOT NULL GROUP BY 1")
 def invalid_rate_by_field(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("_events")
-    return spark.sql("SELECT event_type, count(*) AS n, round(avg(CASE WHEN CAST(get_json_object(props, '$.k') AS BIGINT) < 10 THEN 1D ELSE 0D END), 6) AS invalid_rate FROM _events WHERE props IS NOT NULL GROUP BY 1")
+    return spark.sql("SELECT event_type, count(*) AS n, round(avg(CASE WHEN CAST(get_json_object(props, '$.k') AS BIGINT) < 10 THEN 1D ELSE 0D END), 6) AS invalid_rate FROM {events} WHERE props IS NOT NULL GROUP BY 1", events=table(spark, d, "events"))
 
 
 @query("SELECT n_name, r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -308,13 +289,29 @@ def variant_levels(spark, d):
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(spark, d):
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+    return S.drain(S.dedup(S.event_stream(spark, f"{d}/events.parquet"), ["event_id"], _span(spark, d)).select("event_id", "user_id", "event_type"), shared_folder(spark))
+
+
+@query("SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM events")
+def stream_dedup_repeats(spark, d):
+    stream = S.event_stream(spark, f"{d}/events.parquet").withColumn("day", F.to_date("ts"))
+    return S.drain(S.dedup(stream, ["user_id", "day", "event_type"], _span(spark, d)).select("user_id", "day", "event_type"), shared_folder(spark))
+
+
+def _span(spark, d) -> str:
+    """A delay that covers the table's whole disorder, so no row comes late."""
+    r = table(spark, d, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    return f"{int((r['b'] - r['a']).total_seconds()) + 1 if r['a'] else 1} seconds"
+
+
+@query("SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn FROM events")
+def turn_numbers(spark, d):
+    return E.turn_numbers(table(spark, d, "events"), "click", ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "turn")
+
 
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    stream = S.event_stream(spark, f"{d}/events.parquet")
-    return S.drain(S.dedup(stream, ["event_id"], "40 days").select("event_id", "user_id", "event_type"), folder)
+@query("SELECT count(*) AS switches FROM (SELECT user_id <> lag(user_id) OVER (ORDER BY ts, event_id) AS hit FROM events) WHERE hit")
+def call_switches(spark, d):
+    return E.call_switches(table(spark, d, "events"), "user_id", ["ts", "event_id"])
 
 
 @query("SELECT c_custkey, '+5255' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS phone FROM customer")

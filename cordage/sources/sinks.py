@@ -1,16 +1,30 @@
-"""Sinks: partitioned Parquet, canonical JSON lines, and publishing a whole dataset by rename."""
+"""Sinks: partitioned Parquet, canonical JSON lines, documents, and publishing a whole dataset by a pointer."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
-    """One shuffle by the partition columns bounds the number of files."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Rows go together by the partition columns, which bounds the number of files; Spark splits values that hold very many."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """The one row as one JSON document, keys in name order, nulls written out; anything but one row is an error."""
+    n = df.limit(2).count()
+    if n != 1:
+        raise ValueError(f"a document is one row, not {'none' if not n else 'more'}")
+    line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    df.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def canonical_json(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -23,17 +37,46 @@ def write_chunked_json(df: DataFrame, path: str, rows_per_file: int = 100_000) -
     df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
-def publish(df: DataFrame, path: str, replace: bool = True) -> None:
-    """Write beside the target and rename, so a reader sees the old dataset or the whole new one."""
+POINTER, KEEP = "CURRENT", 2
+
+
+def publish(df: DataFrame, path: str, replace: bool = True) -> str:
+    """Write a new version beside the others, then point to it by one atomic rename.
+
+    A reader (``read_published``) sees the old dataset or the whole new one, and a crash leaves the old one as it
+    was. The last ``KEEP`` versions stay for readers that began before. Gives the version's folder.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target) and not replace:
+    fs, pointer = _fs(spark, f"{path.rstrip('/')}/{POINTER}")
+    if fs.exists(pointer) and not replace:
         raise FileExistsError(path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp")
-    df.write.parquet(beside.toString())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(beside, target):
-        raise OSError(f"could not publish {path}")
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path.rstrip('/')}/{version}")
+    beside = _fs(spark, f"{path.rstrip('/')}/.{version}.pointer")[1]
+    out = fs.create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(beside), fs.makeQualified(pointer), how)
+    old = sorted(s.getPath().getName() for s in fs.listStatus(pointer.getParent()) if s.getPath().getName().startswith("v-"))
+    for name in old[:-KEEP]:
+        fs.delete(_fs(spark, f"{path.rstrip('/')}/{name}")[1], True)
+    return f"{path.rstrip('/')}/{version}"
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the pointer names now."""
+    fs, pointer = _fs(spark, f"{path.rstrip('/')}/{POINTER}")
+    stream = fs.open(pointer)
+    name = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return spark.read.parquet(f"{path.rstrip('/')}/{name}")
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -22,13 +22,54 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the cluster's shared folder; where none is set (one machine), in a temporary one."""
+    """Cut the lineage by a checkpoint in the cluster's shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one only where one machine runs all."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def read_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of JSON lines with ``_file`` and, for those that can't be read, their text in ``_corrupt``; blank lines are no rows."""
+    full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("_file"))
+    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"), "_file").select("r.*", "_file")
+
+
+def line_counts(rows: DataFrame) -> DataFrame:
+    """``(_file, lines, unreadable)`` of what ``read_lines`` gave."""
+    return rows.groupBy("_file").agg(F.count("*").alias("lines"), F.count(CORRUPT).alias("unreadable"))
+
+
+def read_splits(spark: SparkSession, folder: str, schema: StructType, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """The splits' files of a gold set as one table with ``split``; a split without a file has no rows."""
+    rows = read_lines(spark, f"{folder}/{{{','.join(splits)}}}.jsonl", schema) if any_file(spark, folder, splits) else spark.createDataFrame([], StructType([*schema.fields, StructField(CORRUPT, StringType()), StructField("_file", StringType())]))
+    return rows.withColumn("split", F.regexp_extract("_file", r"([^/]+)\.jsonl$", 1))
+
+
+def any_file(spark: SparkSession, folder: str, names: tuple[str, ...]) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{{{','.join(names)}}}.jsonl")
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def read_bank(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A bank's rows; a bank that is not there yet is empty."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """The files below a path, with their sizes; their contents are not read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

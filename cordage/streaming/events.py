@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.telemetry import topic_of
+
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """The directory's Parquet files as a stream; the schema is read from the table itself."""
@@ -34,7 +36,17 @@ def hourly(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
+def to_bronze(stream: DataFrame, path: str, checkpoint: str, **trigger):
+    """Events as they come into Parquet by day; a restart goes on where the checkpoint stands."""
+    rows = stream.withColumn("event_date", F.to_date("ts"))
+    return rows.writeStream.format("parquet").partitionBy("event_date").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(path)
+
+
+def kafka_rows(stream: DataFrame) -> DataFrame:
+    """``(key, value, topic)``: events keyed by call, each to the topic of its type."""
+    return stream.select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"), topic_of(F.col("event_type")).alias("topic"))
+
+
 def to_kafka(stream: DataFrame, servers: str, checkpoint: str):
-    """Events keyed by call and routed by type; needs Spark's Kafka connector on the class path."""
-    rows = stream.select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit("calls.events").alias("topic"))
-    return rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint).start()
+    """Needs Spark's Kafka connector on the class path."""
+    return kafka_rows(stream).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint).start()

@@ -1,7 +1,7 @@
 import pytest
 from oracle import difference
 
-from cordage.plans.queries import QUERIES, SQL
+from cordage.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
