@@ -251,9 +251,9 @@ def seq_numbers(spark, d):
     return E.sequence_numbers(table(spark, d, "events"))
 
 
-@query("SELECT conv_id, turn, k, array_to_string(string_split(text, ' ')[1:k], ' ') AS partial FROM (SELECT conv_id, turn, text, unnest(range(1, 1 + least(3, len(string_split(text, ' '))))) AS k FROM conversations WHERE role = 'user')")
+@query("SELECT conv_id, turn, k, array_to_string(string_split(text, ' ')[1:k], ' ') AS partial FROM (SELECT conv_id, turn, text, unnest(range(1, 1 + len(string_split(text, ' ')))) AS k FROM conversations WHERE role = 'user' AND text <> '')")
 def asr_partials(spark, d):
-    # Every prefix, k = 1..n, and none of an empty or null text. The SQL above still stops at k = 3.
+    # Every prefix, k = 1..n, and none of an empty or null text.
     words = F.split("text", " ")
     rows = table(spark, d, "conversations").where("role = 'user' AND text <> ''").withColumn("k", F.explode(F.sequence(F.lit(1), F.size(words))))
     return rows.select("conv_id", "turn", F.col("k").cast("long").alias("k"), F.array_join(F.slice(words, 1, F.col("k")), " ").alias("partial"))
