@@ -69,7 +69,9 @@ MIN_BITS, MAX_BITS, PROBES = 1 << 20, 1 << 27, 4
 
 
 def _place(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
-    mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(2 * (k + 1) * 0x2545F491 + 1)
+    """Of mixed keys, so that small numbers spread as hashes do."""
+    mixed = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB * (2 * k + 1) % (1 << 64))
     return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
 
 

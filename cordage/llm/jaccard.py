@@ -137,9 +137,11 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are at least 4/5 similar."""
-    size = nodes.select("node", "n")
-    near = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    near = cut(near)
+    size = nodes.select("node", "n", "prefix")
+    near = pairs.join(size.toDF("a", "n_a", "p_a"), "a").join(size.toDF("b", "n_b", "p_b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    # beyond what both prefixes share, no more can be shared than what lies behind one of them
+    most = F.size(F.array_intersect("p_a", "p_b")) + F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    near = cut(near.where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
     own = cut(nodes.select("node", "doc_id").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     sets = cut(_sets(docs, own))
     full = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
