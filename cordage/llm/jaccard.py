@@ -202,9 +202,9 @@ def _under(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, text_hash, component_id)``, one row per row of ``docs``; a null id links with nothing and has a null component.
+    """``(doc_id, text_hash, component, component_id)``, one row per row of ``docs``; a null id links with nothing and has a null component.
 
-    Component ids are the smallest doc_id reached. Repeated rows get a row each; an
+    Different components have different ``component``; unlinked texts of one id can share a component id. Component ids are the smallest doc_id reached. Repeated rows get a row each; an
     empty table gives none; other columns are ignored.
     """
     rows = cut(prints(docs, common_shingles(docs)))
@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     links = links.unionByName(_verified(more, nodes, docs))
     of = nodes.select("node", "doc_id").join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = cut(of.join(least, "component").select("node", "component_id"))
-    out = cut(rows.select("doc_id", "text_hash", "node").join(named, "node", "left").select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
+    named = cut(of.join(least, "component").select("node", "component", "component_id"))
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    out = cut(rows.select("doc_id", "text_hash", "node").join(named, "node", "left").select("doc_id", "text_hash", known("component"), known("component_id")))
     forget(rows, nodes, fps, first, more, named)
     return out
