@@ -35,16 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gives no rows. Only rows that a bit table takes for ones to drop are shuffled.
     """
     found = jaccard.near_duplicates(docs)
-    keys = cut(found.where("doc_id is not null").groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n")))
+    keys = cut(found.where("doc_id is not null").groupBy("doc_id", "text_hash", "component", "component_id").agg(F.count("*").alias("n")))
     first = keys.where("doc_id = component_id")
-    several = first.groupBy("component_id").agg(F.sum("n").alias("n")).where("n > 1").select("component_id")
+    several = first.groupBy("component").agg(F.sum("n").alias("n")).where("n > 1").select("component")
     gone = keys.where("doc_id <> component_id").withColumn("one", F.lit(False))
-    change = cut(gone.unionByName(first.join(several, "component_id", "left_semi").withColumn("one", F.lit(True))).select("doc_id", "text_hash", "component_id", "one"))
+    change = cut(gone.unionByName(first.join(several, "component", "left_semi").withColumn("one", F.lit(True))).select("doc_id", "text_hash", "component", "one"))
     hits = bit_table(change.select(F.xxhash64("doc_id", "text_hash")), change.count())
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = rows.withColumn("hit", may_hold(hits, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text_hash"))))
     told = rows.where("hit").join(change, ["doc_id", "text_hash"], "left")
-    one = told.where("one").groupBy("component_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    one = told.where("one").groupBy("component").agg(F.min_by("row", F.to_json("row")).alias("row"))
     kept = rows.where("not hit").select("row").unionByName(told.where("one is null").select("row")).unionByName(one.select("row"))
     forget(found, keys)
     return kept.select("row.*")
