@@ -6,6 +6,8 @@ whole operator is array functions; only reading a noised number back is a Python
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ FILLERS = ["eh", "este", "mmm", "o sea", "pues", "ah"]
 SUBSTITUTE, DELETE, VALUE_WEIGHT = 0.6, 0.2, 3.0
 # Edits after which a value can still be read, by field.
 RECOVERABLE = {"phone": ["homophone", "respelled", "filler", "deleted"], "email": ["homophone", "filler"], "name": ["filler"]}
+# Ways of saying a value that can't be read back by rule.
+UNREADABLE = ("correction", "said_spelled")
 MARKS = r"^[,.;:¿?¡!…]+|[,.;:¿?¡!…]+$"
 
 
@@ -106,21 +110,61 @@ def shown(tokens: Column) -> Column:
     return F.array_join(F.transform(F.filter(tokens, lambda t: ~t["kind"].eqNullSafe("deleted")), lambda t: t["text"]), " ")
 
 
-def relabel_phone(rows: DataFrame, truth: str) -> DataFrame:
-    """Adds ``label`` and ``outcome``: kept (still readable), heard (another number now), unresolved, dropped.
+def relabel(rows: DataFrame, truth: str, field: Column, style: Column | None = None) -> DataFrame:
+    """Adds ``label`` and ``outcome``: kept (still readable), heard (another value now), unresolved, dropped.
 
-    Edits that leave the number readable are undone before it is read again; what remains was heard. A row without
-    a number never gains one: it is dropped if its noise reads as a number.
+    Edits that leave a field's value readable are undone before it is read again; what remains was heard. Names, addresses with
+    respelled words and values said with a correction can't be read again: they are unresolved. A row without a value never
+    gains one: it is dropped if its noise reads as one.
     """
-    read = spoken.read_phones.asNondeterministic()  # read once, and not moved into filters or conditions above
-    lost = lambda t: t["kind"].isNotNull() & ~t["kind"].isin(*RECOVERABLE["phone"])
+    recoverable = F.element_at(F.create_map(*(x for k, v in RECOVERABLE.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("_field"))
+    lost = lambda t: t["kind"].isNotNull() & ~F.array_contains(F.col("_fine"), t["kind"])
     value = F.filter("tokens", lambda t: t["in_value"])
+    df = rows.withColumn("_field", field).withColumn("_fine", recoverable)
     heard = F.array_join(F.transform(value, lambda t: F.when(lost(t), t["text"]).otherwise(F.coalesce(t["original"], t["text"]))), " ")
-    df = rows.withColumn("_hit", F.exists(value, lost)).withColumn("_said", F.when(F.exists(value, lost), heard))
-    df = df.withColumn("_heard", read("_said"))
-    same = ~F.col("_hit") | F.col("_heard").eqNullSafe(F.col(truth))
+    closed = (F.col("_field") == "name") | F.coalesce((F.lit(None).cast("string") if style is None else style).isin(*UNREADABLE), F.lit(False))
+    closed = closed | ((F.col("_field") == "email") & F.exists(value, lambda t: t["kind"].eqNullSafe("respelled")))
+    df = df.withColumn("_hit", F.exists(value, lost)).withColumn("_closed", closed).withColumn("_said", heard)
+    said = lambda name: F.when(F.col("_hit") & ~F.col("_closed") & (F.col("_field") == name), F.col("_said"))
+    df = df.withColumn("_phone", said("phone")).withColumn("_email", said("email"))
+    # each read once, and not moved into filters or conditions above
+    df = df.withColumn("_phone", spoken.read_phones.asNondeterministic()("_phone")).withColumn("_email", spoken.read_emails.asNondeterministic()("_email"))
+    df = df.withColumn("_heard", F.coalesce("_phone", "_email"))
+    same = ~F.col("_hit") | (F.col("_closed") & F.col(truth).isNull()) | (~F.col("_closed") & F.col("_heard").eqNullSafe(F.col(truth)))
     outcome = F.when(same, "kept").when(F.col(truth).isNull(), "dropped").when(F.col("_heard").isNull(), "unresolved").otherwise("heard")
-    return df.withColumn("outcome", outcome).withColumn("label", F.when(same, F.col(truth)).otherwise(F.col("_heard"))).drop("_hit", "_said", "_heard")
+    return df.withColumn("outcome", outcome).withColumn("label", F.when(same, F.col(truth)).otherwise(F.col("_heard"))).drop("_field", "_fine", "_hit", "_closed", "_said", "_phone", "_email", "_heard")
+
+
+def relabel_phone(rows: DataFrame, truth: str) -> DataFrame:
+    return relabel(rows, truth, F.lit("phone"))
+
+
+def asr_confidence(wer: Column, *key: Column) -> Column:
+    """What a recogniser might say of itself: falls with the error rate, with noise that depends on the key alone."""
+    noise = F.sqrt(-2 * F.log(draw(F.lit("a"), *key) + 1e-18)) * F.cos(2 * math.pi * draw(F.lit("b"), *key))
+    return F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.30), 1.0 - 1.4 * wer + 0.03 * noise)), 3)
+
+
+def make_variants(examples: DataFrame, k: int, seed: str = "7", levels: tuple[float, ...] = (0.05, 0.15, 0.25)) -> DataFrame:
+    """``k`` variants of each of ``examples(id, group, field, style, transcript, start, stop, truth)`` that have a true label.
+
+    Gives id (with the variant's number), group, transcript, wer_target, wer, start, stop, raw_span, asr_confidence, label,
+    outcome. The span is the value's place in the noised text, null if nothing of it is left.
+    """
+    key = lambda: F.concat_ws(":", F.lit(seed), "id", F.col("k").cast("string"))
+    rows = add_noise(variants(examples, k, levels), "transcript", F.col("wer"), key(), "start", "stop")
+    seen = F.filter("tokens", lambda t: ~t["kind"].eqNullSafe("deleted"))
+    told = relabel(rows, "truth", F.col("field"), F.col("style")).where("outcome <> 'dropped'").withColumn("_seen", seen)
+    first = F.array_position(F.transform("_seen", lambda t: t["in_value"]), True).cast("int")
+    text = lambda ts: F.array_join(F.transform(ts, lambda t: t["text"]), " ")
+    told = told.withColumn("_first", F.when((first > 0) & F.col("start").isNotNull(), first))
+    before = F.when(F.col("_first") > 1, F.length(text(F.slice("_seen", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(1))))) + 1).otherwise(0)
+    span = F.when(F.col("_first").isNotNull(), text(F.filter("_seen", lambda t: t["in_value"])))
+    begin = F.when(F.col("_first").isNotNull(), before)
+    return told.select(
+        F.concat("id", F.lit("-v"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("id"), "group", "field", F.col("noised").alias("transcript"), F.col("wer").alias("wer_target"), F.least(F.col("measured"), F.lit(1.0)).alias("wer"),
+        begin.alias("start"), (begin + F.length(span)).alias("stop"), span.alias("raw_span"), asr_confidence(F.col("measured"), key()).alias("asr_confidence"), "label", "outcome",
+    )
 
 
 def variants(rows: DataFrame, k: int, levels: tuple[float, ...] = (0.05, 0.15, 0.25)) -> DataFrame:

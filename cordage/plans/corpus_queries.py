@@ -231,3 +231,40 @@ def template_checks(spark, d):
         part.where("p_partkey % 3 <> 0").select(F.col("p_name").alias("phrase"), F.col("p_brand").alias("kind")), orders.select(F.col("o_orderstatus").alias("label")).distinct(),
         orders.select(F.col("o_orderpriority").alias("label")).distinct(), ["Brand#11", "Brand#12"], ["1-URGENT"],
     )
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 4 THEN NULL ELSE '+5255' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone, 'cliente_' || c_custkey || '@' || lower(c_mktsegment) || '.com.mx' AS email FROM customer")
+def spoken_styles_all(spark, d):
+    i = F.col("c_custkey")
+    digits = F.concat(F.lit("55"), F.lpad(i.cast("string"), 8, "0"))
+    email = F.concat(F.lit("cliente_"), i.cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".com.mx"))
+    phone = F.lit(None).cast("string")
+    for k, style in enumerate(("digits", "pairs", "triples", "mixed", "correction")):
+        phone = F.when(i % 5 == k, spoken.say_phone(digits, style)).otherwise(phone)
+    mail = F.when(i % 3 == 0, spoken.say_email(email)).when(i % 3 == 1, spoken.say_email(email, "spelled")).otherwise(spoken.say_email(email, "mixed"))
+    said = table(spark, d, "customer").select("c_custkey", phone.alias("p"), mail.alias("e"))
+    return said.select("c_custkey", spoken.read_phones("p").alias("phone"), spoken.read_emails("e").alias("email"))
+
+
+@query("""WITH c AS (SELECT c_custkey, 'ana' || lower(c_mktsegment) || '@lago.mx' AS truth, c_custkey % 4 AS m FROM customer)
+SELECT c_custkey, CASE m WHEN 0 THEN 'kept' WHEN 1 THEN 'heard' WHEN 2 THEN 'unresolved' ELSE 'unresolved' END AS outcome, CASE m WHEN 0 THEN truth WHEN 1 THEN replace(truth, 'ana', 'eva') END AS label FROM c""")
+def relabel_email(spark, d):
+    i = F.col("c_custkey")
+    part = lambda text, original, kind: F.struct(text.alias("text"), original.alias("original"), F.lit(kind).cast("string").alias("kind"), F.lit(True).alias("in_value"))
+    name, rest = F.concat(F.lit("ana"), F.lower("c_mktsegment")), [part(F.lit(w), F.lit(w), None) for w in ("arroba", "lago", "punto", "mx")]
+    other = F.replace(name, F.lit("ana"), F.lit("eva"))
+    first = F.when(i % 4 == 0, part(F.concat(name, F.lit(" eh")), name, "filler")).when(i % 4 == 1, part(other, name, "mishearing")).when(i % 4 == 2, part(F.lit("punto"), name, "mishearing")).otherwise(part(other, name, "respelled"))
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(name, F.lit("@lago.mx")).alias("truth"), F.array(first, *rest).alias("tokens"))
+    return A.relabel(rows, "truth", F.lit("email")).select("c_custkey", "outcome", "label")
+
+
+@query("WITH k AS (SELECT c_custkey, unnest(range(4)) AS k FROM customer) SELECT k, [0.0, 0.05, 0.15, 0.25][k + 1]::DOUBLE AS wer_target, count(*) AS n, count(DISTINCT 'x' || c_custkey || '-v0' || k) AS ids, true AS spans, true AS confident FROM k GROUP BY 1, 2")
+def variant_rows(spark, d):
+    digits = F.concat(F.lit("55"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    said = spoken.say_phone(digits)
+    rows = table(spark, d, "customer").select(F.concat(F.lit("x"), "c_custkey").alias("id"), F.col("c_name").alias("group"), F.lit("phone").alias("field"), F.lit("pairs").alias("style"), F.concat(F.lit("mi número es "), said).alias("transcript"), F.lit(13).alias("start"), (F.length(said) + 13).alias("stop"), F.concat(F.lit("+52"), digits).alias("truth"))
+    made = A.make_variants(rows, 4)
+    sound = F.substring("transcript", F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("raw_span")
+    clean = (F.col("wer_target") > 0) | ((F.col("outcome") == "kept") & (F.col("wer") == 0))
+    told = made.select(F.substring_index("id", "-v", -1).cast("long").alias("k"), "wer_target", "id", (sound & clean).alias("ok"), F.col("asr_confidence").between(0.3, 0.99).alias("sure"))
+    return told.groupBy("k", "wer_target").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.every("ok").alias("spans"), F.every("sure").alias("confident"))
