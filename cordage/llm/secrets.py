@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 # Kinds in their order and their patterns.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -109,6 +109,7 @@ def by_document(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc
         told(base).alias("base"), told(F.col("all")).alias("spans"), F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"),
         most("owners").alias("max_owners"), most("repos").alias("max_repos"),
     )
+    digests = cut(digests)
     ids = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     joined = ids.join(digests, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -122,11 +123,13 @@ def redact(docs: DataFrame, owner_col: str = "source", max_owners: int = MAX_OWN
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     group = F.sum(F.when(F.coalesce(F.col("reach") > F.col("start"), F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     merged = found.withColumn("reach", reach).withColumn("g", group).groupBy("doc_id", "text_hash", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    cuts = merged.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    d, h, c = (free_name(docs, name) for name in ("doc", "hash", "cuts"))
+    cuts = merged.groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(c))
+    cuts = cut(cuts)  # of known size, so that Spark can choose not to shuffle the texts
     text = F.col("text").cast("string")
-    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
+    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
     # the text between each cut and the next one's start, or the end
-    ends = F.concat(F.transform("_cuts", lambda x: x["start"]), F.array(F.length(text).cast("long")))
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda x: x["stop"]))
+    ends = F.concat(F.transform(c, lambda x: x["start"]), F.array(F.length(text).cast("long")))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(c, lambda x: x["stop"]))
     parts = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.substring(text, (x["b"] + 1).cast("int"), (x["e"] - x["b"]).cast("int")))
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(parts, mark))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(c).isNull(), F.col("text")).otherwise(F.array_join(parts, mark))).select(*docs.columns)
