@@ -68,11 +68,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MIN_BITS, MAX_BITS, PROBES = 1 << 20, 1 << 27, 4
 
 
-def _place(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
-    """Of mixed keys, so that small numbers spread as hashes do."""
-    mixed = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB * (2 * k + 1) % (1 << 64))
-    return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of each key, from the two halves of its mixed value: probe k is at first + k * step."""
+    mixed = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    return (mixed >> np.uint64(32)).astype(np.int64), (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64) | 1
 
 
 class BitTable:
@@ -87,15 +88,16 @@ class BitTable:
         self.table = np.zeros(self.bits // 8, np.uint8)
 
     def add(self, keys: np.ndarray) -> None:
+        first, step = _places(keys)
         for k in range(PROBES):
-            at = _place(keys, self.bits, k)
+            at = (first + k * step) & (self.bits - 1)
             np.bitwise_or.at(self.table, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """For each key whether it may be in the table."""
-        left = np.arange(len(keys))
+        left, (first, step) = np.arange(len(keys)), _places(keys)
         for k in range(PROBES):
-            at = _place(keys[left], self.bits, k)
+            at = (first[left] + k * step[left]) & (self.bits - 1)
             left = left[(self.table[at >> 3] >> (at & 7)) & 1 == 1]
             if not len(left):
                 break
