@@ -13,9 +13,11 @@ of each other.
    come last, which keeps groups small. Shingles under which one node stands are sifted out by a bit
    table before rows are joined. The nodes under a shingle are compared with one of them: each node with
    the ``STAR`` centres that it shares most shingles with.
-3. Nodes under one shingle that no path joins by then are compared all with all, by size and place: a
-   set whose first shared shingle stands at some place can be similar only to sets of certain sizes, so
-   the nodes are joined by classes of size. Large groups are dealt to several tasks.
+3. Nodes under one shingle that no path joins by then are compared all with all, by size, place and
+   parity: a set whose first shared shingle stands at some place can be similar only to sets of certain
+   sizes, so the nodes are joined by classes of size; and every element that two sets do not share
+   changes at most one bit of a table of parities, so tables that differ in more bits than similar sets
+   of these sizes may differ in elements rule a pair out. Large groups are dealt to several tasks.
 
 So a large group of copies costs rows, not pairs; every candidate is verified on the full sets.
 """
@@ -36,6 +38,8 @@ from .common import bit_table, connected_components, cut, forget
 from .decontaminate import BASE, INVERSE, window_hashes
 
 WIDTH, STAR, BLOCK, SLICE = 5, 4, 1024, 512
+WORDS = 8  # of 64 bits each in a set's table of parities
+PARITIES = [f"odd{k}" for k in range(WORDS)]
 SAMPLE, COMMON, OFTEN = 4_000, 50_000, 3  # texts to look for common shingles, how many of them to know, the least count
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
 
@@ -81,6 +85,12 @@ def _node(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(own.tobytes(), 42), np.uint64).view(np.int64))
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of elements falls on it."""
+    odd = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
@@ -104,19 +114,20 @@ def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            nodes, sizes, fps, first = [], [], [], []
+            nodes, sizes, fps, first, odd = [], [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py())
                 own = np.unique(h)
                 known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
-                nodes.append(_node(own)), sizes.append(len(own)), fps.append(simhash.fingerprint_of(h))
+                nodes.append(_node(own)), sizes.append(len(own)), fps.append(simhash.fingerprint_of(h)), odd.append(_parities(own))
                 first.append((np.concatenate([own[~known], own[known]])[: prefix_length(len(own))] & np.uint64(SHORT)).view(np.int64))
             columns = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "prefix"])
+            columns += [pa.array(c) for c in np.stack(odd).T]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "prefix", *PARITIES])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>" + "".join(f", {c} long" for c in PARITIES))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,19 +171,20 @@ def _class(n: Column) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1))) / np.log(1.08)).cast("int")
 
 
-def _apart(rows: DataFrame, comp: DataFrame, block: int) -> DataFrame:
+def _apart(rows: DataFrame, parities: DataFrame, comp: DataFrame, block: int) -> DataFrame:
     """``(a, b)`` under one shingle that no path joins yet and whose sizes and places allow the similarity."""
     rows = rows.join(comp.withColumnRenamed("component", "_c"), "node", "left").select("h", "node", "n", "at", F.coalesce("_c", "node").alias("c"))
     mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
     rows = rows.join(mixed, "h", "left_semi").withColumn("most", F.floor((9 * (F.col("n") - F.col("at")) - 4 * F.col("n")) / 4).cast("int"))
-    rows = cut(rows)  # most: the size of the largest partner
-    short = rows.where("most >= n").select("h", _class(F.col("n")).alias("k"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"))
+    rows = cut(rows.join(parities, "node"))  # most: the size of the largest partner
+    short = rows.where("most >= n").select("h", _class(F.col("n")).alias("k"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"), *(F.col(c).alias(f"b_{c}") for c in PARITIES))
     tasks = short.groupBy("h", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("tasks"))
     short = short.join(tasks, ["h", "k"]).withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks")
     low, high = F.ceil(F.col("n") * 0.8 - 1e-6), F.least("n", "most")
-    long = rows.where(low <= high).select("h", F.explode(F.sequence(_class(low), _class(high))).alias("k"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"))
+    long = rows.where(low <= high).select("h", F.explode(F.sequence(_class(low), _class(high))).alias("k"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), *(F.col(c).alias(f"a_{c}") for c in PARITIES))
     long = long.join(tasks, ["h", "k"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    pairs = long.join(short, ["h", "k", "task"]).where("n_b <= n_a AND a <> b AND c_a <> c_b").where(_can("n_a", "at_a", "n_b", "at_b"))
+    differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITIES)
+    pairs = long.join(short, ["h", "k", "task"]).where(f"n_b <= n_a AND a <> b AND c_a <> c_b AND 9 * ({differ}) <= n_a + n_b").where(_can("n_a", "at_a", "n_b", "at_b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -208,7 +220,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     empty table gives none; other columns are ignored.
     """
     rows = cut(prints(docs, common_shingles(docs)))
-    nodes = cut(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    nodes = cut(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix"), *(F.min(c).alias(c) for c in PARITIES)))
     fps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     alike = nodes.join(fps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     probed = simhash.links(fps, block=block).unionByName(alike)
@@ -218,7 +230,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     star = star.withColumn("place", best).where(F.col("place") <= STAR).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     first = cut(probed.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = _verified(first, nodes, docs)
-    more = cut(_apart(under.select("h", "node", "n", "at"), connected_components(links), block).join(first, ["a", "b"], "left_anti"))
+    more = cut(_apart(under.select("h", "node", "n", "at"), nodes.select("node", *PARITIES), connected_components(links), block).join(first, ["a", "b"], "left_anti"))
     forget(under)
     links = links.unionByName(_verified(more, nodes, docs))
     of = nodes.select("node", "doc_id").join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
