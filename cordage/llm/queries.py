@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, language, packing, secrets, simhash, sql, urls
+from . import chat, decontaminate, embeddings, language, lexical, packing, quality, secrets, simhash, spelling, sql, urls
 from . import html as pages_html
 from . import toxicity as tox
 from .common import fold, table
@@ -72,8 +72,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(more)))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
 
-SQL: dict[str, str] = {"op5_secrets": sql.SECRETS, "op7_urls": sql.URLS, "op10_chat": sql.chat_sql(CONTROL_TEXT)}
+SQL: dict[str, str] = {"op5_secrets": sql.SECRETS, "op7_urls": sql.URLS, "op10_chat": sql.chat_sql(CONTROL_TEXT), "op11_search": sql.SEARCH, "op12_spelling": sql.SPELLING}

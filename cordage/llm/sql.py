@@ -55,3 +55,38 @@ h AS (SELECT *, max(span) OVER (PARTITION BY conv_id) AS spans, max(until) OVER
 i AS (SELECT *, CASE WHEN sys THEN spans + 1 WHEN span < spans AND ends - since <= {chat.HISTORY} THEN 2 ELSE 1 END * ({len(chat.START) + len(chat.END) + 2} + length(replace({escaped.format("role")}, chr(10), '\\l')) + length({escaped.format("text")})) AS chars FROM h)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM i GROUP BY conv_id"""
+
+# Words are split by a pattern of their own, all scores are computed, then ranked.
+SEARCH = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_id, text, term, count(*) AS times FROM i GROUP BY ALL),
+s AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS terms FROM d WHERE len(words) > 0),
+x AS (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM d),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+c AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)) AS c FROM p, s),
+y AS (SELECT item_id, text, r, doc_id, CAST(sum(times * w * c) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN c USING (term) GROUP BY ALL),
+z AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM y WHERE score > 0)
+SELECT * FROM z WHERE rank <= 10"""
+
+# Near words meet in what is left when the letter at one place is taken out, or is any letter.
+SPELLING = """
+WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS crcs FROM range(256) r(b)),
+x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM x WHERE length(run) >= 5 GROUP BY ALL),
+b AS (SELECT run, times, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)) AS bytes FROM l),
+h AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, c: xor(a >> 8, crcs[xor(a & 255, c) + 1])), 4294967295) AS h FROM b, t),
+k AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM k WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+o AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM o),
+a AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS pattern FROM o),
+near AS (SELECT g.word, v.word AS other, v.n AS other_n FROM g JOIN v ON v.word = g.less
+  UNION ALL SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.less
+  UNION ALL SELECT a.word, c.word, c.n FROM a JOIN a c ON a.pattern = c.pattern AND a.word <> c.word),
+f AS (SELECT word, n, (SELECT count(*) FROM near WHERE near.word = v.word) AS n_near FROM v),
+m AS (SELECT word, other, other_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near) WHERE place = 1),
+e AS (SELECT f.word, n, n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM f LEFT JOIN m ON m.word = f.word),
+u AS (SELECT word, form, word AS at, form AS up FROM e UNION ALL SELECT u.word, u.form, e.word, e.form FROM u JOIN e ON e.word = u.up)
+SELECT e.word, e.form, u.at AS root, e.n, e.n_near, e.form_n FROM e JOIN u ON u.word = e.word AND u.up IS NULL"""
