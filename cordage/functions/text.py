@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-# Accented letters and what they fold to (the letter n with tilde stays).
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüç"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuc"
-# Patterns of personal data.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-LINK = r"(https?://|www\.)"
-PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
+# Patterns of personal data, upper or lower case, any white space.
+EMAIL = r"(?U)\S@\S+\.\w"
+LINK = r"(?i)https?://|www\."
+PHONE = r"(?U)\+?\d[\d\s().-]{7,}\d"
+
+
+@functools.cache
+def base_letters() -> tuple[str, str]:
+    """Small letters that decompose to one letter and marks, and those letters; the n with tilde is a letter of its own.
+
+    Made from the character database, so no letter is forgotten. Syllables that decompose to several letters stay.
+    """
+    bare = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+    every = (chr(i) for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000)
+    pairs = [(c, base) for c in every if c != "ñ" and c == c.lower() and len(base := bare(c)) == 1 and base != c]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
 
 
 def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents, whether they are part of a letter or marks behind it."""
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}", ""), *base_letters())
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower case without accents, marks as spaces, white space squeezed."""
-    return squeeze(F.regexp_replace(fold(c), r"[^\p{L}\p{N}_\s]", " "))
+    """Lower case without accents, punctuation as spaces, white space squeezed."""
+    return squeeze(F.regexp_replace(fold(c), r"[^\p{L}\p{N}_]", " "))
 
 
 def word_count(c: Column) -> Column:
@@ -34,18 +47,19 @@ def word_count(c: Column) -> Column:
 
 
 def has_phone(c: Column, digits: int = 9) -> Column:
-    return F.exists(F.regexp_extract_all(c, F.lit(PHONE), F.lit(0)), lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")) >= digits)
-
-
-def drop_reason(c: Column, max_words: int) -> Column:
-    """The first reason in order, or null: empty, too_long, email, link, phone."""
-    return (
-        F.when(squeeze(F.coalesce(c, F.lit(""))) == "", "empty")
-        .when(word_count(c) > max_words, "too_long")
-        .when(c.rlike(EMAIL), "email")
-        .when(c.rlike(LINK), "link")
-        .when(has_phone(c), "phone")
-    )
+    return F.exists(F.regexp_extract_all(c, F.lit(PHONE), F.lit(0)), lambda m: F.length(F.regexp_replace(m, r"(?U)\D", "")) >= digits)
+
+
+def personal_reason(c: Column) -> Column:
+    """email, link or phone, the first that a text holds, or null."""
+    return F.when(c.rlike(EMAIL), "email").when(c.rlike(LINK), "link").when(has_phone(c), "phone")
+
+
+def drop_reason(max_words: int, *texts: Column) -> Column:
+    """The first reason in order, or null: any text empty, any too long, then each text's own in turn: email, link, phone."""
+    clean = [squeeze(F.coalesce(c, F.lit(""))) for c in texts]
+    any_of = lambda test: functools.reduce(lambda a, b: a | b, map(test, clean))
+    return F.coalesce(F.when(any_of(lambda c: c == ""), "empty"), F.when(any_of(lambda c: F.size(F.split(c, " ")) > max_words), "too_long"), *map(personal_reason, clean))
 
 
 def ascii_fold(c: Column) -> Column:

@@ -15,7 +15,7 @@ from . import calibration
 
 def curate_counters(docs: DataFrame, lang: str, max_words: int) -> DataFrame:
     """How many rows of the language go for each reason or stay."""
-    reason = F.coalesce(T.drop_reason(F.col("text"), max_words), F.lit("kept"))
+    reason = F.coalesce(T.drop_reason(max_words, F.col("text")), F.lit("kept"))
     own = docs.where(F.col("lang") == lang)
     return own.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 

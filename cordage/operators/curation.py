@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,13 +19,6 @@ def read_in_order(spark: SparkSession, *files: str) -> DataFrame:
     return rows.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
-def pair_reason(first: Column, second: Column, max_words: int) -> Column:
-    """The first reason in order, or null: either text empty, either too long, then the first text's own, then the second's."""
-    a, b = T.squeeze(F.coalesce(first, F.lit(""))), T.squeeze(F.coalesce(second, F.lit("")))
-    own = lambda c: F.when(c.rlike(r"\S+@\S+\.\w+"), "email").when(c.rlike(r"(?i)https?://|www\."), "link").when(T.has_phone(c), "phone")
-    return F.coalesce(F.when((a == "") | (b == ""), "empty"), F.when(F.greatest(T.word_count(a), T.word_count(b)) > max_words, "too_long"), own(a), own(b))
-
-
 def outcomes(rows: DataFrame, language: str, max_words: int) -> DataFrame:
     """``rows`` with ``key`` (digest of both normalised texts) and ``outcome``: other_language, a reason, duplicate or kept.
 
@@ -33,7 +26,7 @@ def outcomes(rows: DataFrame, language: str, max_words: int) -> DataFrame:
     aggregates, joined back by key, so a content that very many rows hold is one row before the join.
     """
     pair = F.concat(T.normalize_text(F.coalesce("inputs", F.lit(""))), F.lit("\u0000"), T.normalize_text(F.coalesce("targets", F.lit(""))))
-    reason = F.when(~F.col("language").eqNullSafe(language), OTHER_LANGUAGE).otherwise(pair_reason(F.col("inputs"), F.col("targets"), max_words))
+    reason = F.when(~F.col("language").eqNullSafe(language), OTHER_LANGUAGE).otherwise(T.drop_reason(max_words, F.col("inputs"), F.col("targets")))
     told = rows.withColumn("key", F.sha2(pair, 256)).withColumn("reason", reason)
     first = told.where("reason is null").groupBy("key").agg(F.min("place").alias("first"))
     told = told.join(first, "key", "left")

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def test_every_pair_reads_back():
 def test_text_functions(spark):
     rows = [(None,), ("",), ("  ¡Mañana,  NIÑO! Café ",), ("mail a@b.co http://x",), ("call 55 1234 5678 9",), ("w " * 500,)]
     df = spark.createDataFrame(rows, "t string")
-    got = df.select(T.normalize_text(F.col("t")), T.drop_reason(F.col("t"), 400), T.word_count(F.col("t"))).collect()
+    got = df.select(T.normalize_text(F.col("t")), T.drop_reason(400, F.col("t")), T.word_count(F.col("t"))).collect()
     assert [tuple(r) for r in got[:3]] == [(None, "empty", None), ("", "empty", 0), ("mañana niño cafe", None, 3)]
     assert [r[1] for r in got[3:]] == ["email", "phone", "too_long"]
 
@@ -165,3 +167,29 @@ def test_intact(spark, tmp_path):
     manifest = spark.createDataFrame([("s", "a", 2), ("s", "b", 3), ("t", "a", 2), ("t", "c", 1), ("u", "a", 9)], "source string, name string, bytes long")
     found = tables.intact(manifest, tables.files(spark, str(tmp_path)))
     assert {r.source: r.intact for r in found.collect()} == {"s": True, "t": False, "u": False}
+
+
+def plain_normal(text):
+    kept = text.lower().replace("ñ", "\1")
+    bare = "".join(c for c in unicodedata.normalize("NFD", kept) if unicodedata.category(c) != "Mn").replace("\1", "ñ")
+    return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in bare).split())
+
+
+def test_folding_is_that_of_the_character_database(spark):
+    letters = "".join(chr(i) for i in (*range(0xA1, 0x600), *range(0x1E00, 0x2000)) if unicodedata.category(chr(i))[0] in "LNM")
+    texts = ["El CAFE\u0301, e\u0301l café", "Škoda ý ő Ǘ ḝ ñ Ñ n\u0303", "a\x1cb\u00a0c\u2003d", "¿Qué? ¡sí!", "", "ΐ ό Ж ё й", *(letters[i : i + 200] for i in range(0, len(letters), 200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.n, r.a) for r in df.select("i", T.normalize_text(F.col("t")).alias("n"), T.ascii_fold(F.col("t")).alias("a")).collect()}
+    assert [got[i][0] for i in range(6)] == [plain_normal(t) for t in texts[:6]]
+    for i in range(6, len(texts)):
+        assert got[i][0] == plain_normal(texts[i]), texts[i]
+    assert got[0][0] == "el cafe el cafe" and got[1][0] == "skoda y o u e ñ ñ n" and got[1][1] == "skoda y o u e n n n"
+    assert len(T.base_letters()[0]) == len(T.base_letters()[1]) > 800
+
+
+def test_drop_reasons_in_any_case_and_white_space(spark):
+    said = [("HTTP://x.y", "link"), ("see WWW.A.B", "link"), ("55\n12\t34 56\u00a078 9", "phone"), ("1914-1918 was", None), ("ñandú@casa.mx", "email"), ("a @ b.c", None), ("\u2003\t", "empty"), (None, "empty"), ("w " * 401, "too_long"), ("w " * 400, None), ("(55) 1234-5678 9", "phone"), ("x" * 50_000, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i int, t string")
+    got = {r.i: tuple(r)[1:] for r in df.select("i", T.drop_reason(400, F.col("t")).alias("a"), T.drop_reason(400, F.lit("fine"), F.col("t")).alias("b"), T.drop_reason(400, F.col("t"), F.lit("me@x.mx")).alias("c")).collect()}
+    for i, (_, want) in enumerate(said):
+        assert got[i] == (want, want, want or "email"), said[i]
