@@ -21,11 +21,12 @@ ROW = "call long, turns long, outcome string, validated long, unvalidated long,
 
 
 def begin() -> dict:
-    return {"turns": 0, "field": 0, "reading": False, "failed": 0, "failures": 0, "clarified": 0, "written": [0, 0], "outcome": None}
+    return {"turns": 0, "field": 0, "reading": False, "failed": 0, "failures": 0, "clarified": 0, "written": [0, 0], "outcome": None, "candidate": None, "action": None}
 
 
 def step(s: dict, intent: str | None, confidence: float, value: str | None) -> dict:
-    """The state after one turn; an ended call stays as it is."""
+    """The state after one turn, with the ``action`` it leads to: (tool, field, value), or none. An ended call stays as it is."""
+    s["action"] = None
     if s["outcome"]:
         return s
     s["turns"] += 1
@@ -40,13 +41,14 @@ def step(s: dict, intent: str | None, confidence: float, value: str | None) -> d
     fails = not confirmed and (s["reading"] or not usable)
     if confirmed or (fails and s["failed"] >= REPROMPTS):
         s["written"][0 if confirmed else 1] += 1
+        s["action"] = ("update_contact" if confirmed else "mark_unvalidated", FIELDS[s["field"]], s["candidate"] if confirmed else None)
         s["field"], s["failed"], s["reading"] = s["field"] + 1, 0, False
         if s["field"] == len(FIELDS):
             s["outcome"] = "completed"
         return s
     s["failed"] += fails
     s["failures"] += fails
-    s["reading"] = usable
+    s["reading"], s["candidate"] = usable, value if usable else None
     return s
 
 
@@ -83,10 +85,33 @@ def fold_calls(turns: DataFrame) -> DataFrame:
     return keyed.repartition("call").sortWithinPartitions("call", "seq", "intent", "confidence", "value").mapInPandas(walk, ROW)
 
 
+def call_actions(turns: DataFrame) -> DataFrame:
+    """``(call, at, tool, field, value)``: the writes that calls' turns lead to; ``turns`` has ``ts`` too.
+
+    update_contact writes the value that the caller confirmed, mark_unvalidated leaves a field for review. Calls are walked
+    as in ``fold_calls``.
+    """
+    names = ["call", "at", "tool", "field", "value"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, state = None, begin()
+        for pdf in batches:
+            done = []
+            for (c, *turn), at in zip(_turns(pdf), pdf.ts, strict=True):
+                if c != call:
+                    call, state = c, begin()
+                state = step(state, *turn)
+                done += [(c, at, *state["action"])] if state["action"] else []
+            yield pd.DataFrame(done, columns=names)
+
+    keyed = turns.where("call is not null").select("call", "seq", "intent", "confidence", "value", "ts")
+    return keyed.repartition("call").sortWithinPartitions("call", "seq", "intent", "confidence", "value").mapInPandas(walk, "call long, at timestamp, tool string, field string, value string")
+
+
 def stream_calls(turns: DataFrame, idle: str | None = None) -> DataFrame:
     """The same state kept across micro-batches; a row per call and batch in which it moved.
 
-    Turns of a call must arrive in order of ``seq`` from batch to batch. With ``idle`` (``30 minutes``) a call that is
+    Turns of a call must arrive in order of ``seq`` from batch to batch (``streaming.ordered`` takes any order). With ``idle`` (``30 minutes``) a call that is
     silent for so long ends as ``partial`` and its state goes; such a stream never runs dry, so it can't use ``availableNow``.
     """
     limit = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None

@@ -409,7 +409,7 @@ def table_digest(spark, d):
     return C.table_digest(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "lang")
 
 
-@query("""WITH RECURSIVE t AS (SELECT user_id AS call, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_type = 'signup' THEN 'confirmed' WHEN event_type = 'error' THEN 'out_of_scope' WHEN event_type = 'purchase' AND value > 60 THEN 'call_rejected' ELSE 'gives_value' END AS intent,
+CALL_STATE = """WITH RECURSIVE t AS (SELECT user_id AS call, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_type = 'signup' THEN 'confirmed' WHEN event_type = 'error' THEN 'out_of_scope' WHEN event_type = 'purchase' AND value > 60 THEN 'call_rejected' ELSE 'gives_value' END AS intent,
 least(1.0, 0.5::DOUBLE + CAST(json_extract_string(props, '$.k') AS BIGINT) / 100) >= 0.75 AS sure, event_type IN ('view', 'click') AND json_extract_string(props, '$.k') IS NOT NULL AS said FROM events),
 s AS (SELECT DISTINCT call, 0::BIGINT AS n, 0::BIGINT AS turns, 0 AS field, false AS reading, 0 AS failed, 0::BIGINT AS failures, 0::BIGINT AS clarified, 0::BIGINT AS w0, 0::BIGINT AS w1, NULL::VARCHAR AS outcome FROM t
 UNION ALL SELECT call, n + 1, CASE WHEN outcome IS NULL THEN turns + 1 ELSE turns END, CASE WHEN kind IN ('write', 'mark') THEN field + 1 ELSE field END, CASE WHEN kind IN ('write', 'mark') THEN false WHEN kind = 'talk' THEN usable ELSE reading END,
@@ -417,16 +417,23 @@ CASE WHEN kind IN ('write', 'mark') THEN 0 WHEN kind = 'talk' AND fails THEN fai
 CASE WHEN kind = 'write' THEN w0 + 1 ELSE w0 END, CASE WHEN kind = 'mark' THEN w1 + 1 ELSE w1 END, CASE WHEN kind = 'reject' THEN 'rejected' WHEN kind IN ('write', 'mark') AND field = 2 THEN 'completed' ELSE outcome END
 FROM (SELECT *, CASE WHEN outcome IS NOT NULL THEN 'none' WHEN intent = 'call_rejected' THEN 'reject' WHEN intent = 'out_of_scope' AND clarified < 2 THEN 'clarify' WHEN confirmed THEN 'write' WHEN fails AND failed >= 2 THEN 'mark' ELSE 'talk' END AS kind
 FROM (SELECT *, NOT confirmed AND (reading OR NOT usable) AS fails FROM (SELECT s.*, t.intent, s.reading AND t.intent = 'confirmed' AND t.sure AS confirmed, t.said AND t.sure AS usable FROM s JOIN t ON t.call = s.call AND t.n = s.n + 1))))
-SELECT call, turns, coalesce(outcome, 'open') AS outcome, w0 AS validated, w1 AS unvalidated, clarified AS clarifications, failures FROM s QUALIFY row_number() OVER (PARTITION BY call ORDER BY n DESC) = 1""")
+SELECT call, turns, coalesce(outcome, 'open') AS outcome, w0 AS validated, w1 AS unvalidated, clarified AS clarifications, failures FROM s QUALIFY row_number() OVER (PARTITION BY call ORDER BY n DESC) = 1"""
+
+
+@query(CALL_STATE)
 def call_state_fold(spark, d):
+    return calls.fold_calls(call_turns(spark, d))
+
+
+def call_turns(spark, d):
+    """Turns of calls, told from events."""
     # What each type of event stands for.
     intent = F.when(F.col("event_type") == "signup", "confirmed").when(F.col("event_type") == "error", "out_of_scope").when((F.col("event_type") == "purchase") & (F.col("value") > 60), "call_rejected").otherwise("gives_value")
     k = F.get_json_object("props", "$.k").cast("long")
-    turns = table(spark, d, "events").select(
+    return table(spark, d, "events").select(
         F.col("user_id").alias("call"), F.struct("ts", "event_id").alias("seq"), intent.alias("intent"), F.least(F.lit(1.0), F.lit(0.5) + k / 100).alias("confidence"),
-        F.when(F.col("event_type").isin("view", "click"), k.cast("string")).alias("value"),
+        F.when(F.col("event_type").isin("view", "click"), k.cast("string")).alias("value"), "ts",
     )
-    return calls.fold_calls(turns)
 
 
 @query("""WITH p AS (SELECT CASE event_type WHEN 'click' THEN 'barge_in' WHEN 'signup' THEN 'signup' ELSE 'latency' END AS kind, * FROM events)
