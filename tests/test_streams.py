@@ -236,6 +236,7 @@ def test_manifests_and_digests(spark, tmp_path):
     assert sinks.content_digest(df.limit(49))["content"] != told["content"] != sinks.content_digest(df.withColumn("b", F.lit("x")))["content"]
     assert sinks.read_published(spark, path).count() == 50
     files = [p for p in __import__("pathlib").Path(folder).iterdir() if p.name.endswith(".parquet")]
+    (files[0].parent / f".{files[0].name}.crc").unlink()
     files[0].write_bytes(b"other"), files[1].unlink()
     (files[0].parent / "more.parquet").write_bytes(b"x")
     assert dict(map(tuple, sinks.changed_files(spark, path).collect())) == {files[0].name: "changed", files[1].name: "gone", "more.parquet": "unlisted"}
