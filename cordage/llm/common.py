@@ -56,6 +56,16 @@ def forget(*tables: DataFrame) -> None:
         system.delete(target, True)
 
 
+def releasing(run):
+    """``run`` for ``mapInArrow``; when it ends, what Arrow's pool keeps goes back to the machine, as Python workers live on."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidy
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null ids: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
@@ -124,7 +134,7 @@ def bit_table(keys: DataFrame, expected: int) -> BitTable:
         out[rows.column("at").to_numpy() % len(out)] = rows.column("bits").to_numpy().astype(np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    filled = keys.mapInArrow(fill, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    filled = keys.mapInArrow(releasing(fill), "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     parts = filled.withColumn("slice", F.floor(F.col("at") / (size // slices)).cast("long")).groupBy("slice").applyInArrow(join, "slice long, bits binary").collect()
     for r in parts:  # MAX_BITS / 8 bytes at most
         made.table[r["slice"] * (size // slices) : (r["slice"] + 1) * (size // slices)] = np.frombuffer(r["bits"], np.uint8)

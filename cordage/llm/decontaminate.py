@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, cut
+from .common import bit_table, cut, releasing
 
 MIN_MATCH, COVERAGE = 5, 0.8
 WORD = re.compile(r"\w+")
@@ -154,7 +154,7 @@ def _rare_seeds(items: DataFrame, min_match: int, coverage: float) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["item_key", "seed", "width", "n", "enough"])
 
-    found = cut(items.mapInArrow(seeds, "item_key string, seed long, width int, n long, enough long"))
+    found = cut(items.mapInArrow(releasing(seeds), "item_key string, seed long, width int, n long, enough long"))
     shared = found.groupBy("seed").agg(F.count("*").alias("shared"))
     order = Window.partitionBy("item_key").orderBy("shared", "seed").rowsBetween(Window.unboundedPreceding, 0)
     ranked = found.join(shared, "seed").withColumn("before", F.sum("n").over(order) - F.col("n"))
@@ -183,7 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
             kept = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text", "seeds"])
 
-    found = cut(texts.mapInArrow(probe, f"doc_id {dict(texts.dtypes)['doc_id']}, text string, seeds array<long>").withColumn("text_key", F.sha2("text", 256)))
+    found = cut(texts.mapInArrow(releasing(probe), f"doc_id {dict(texts.dtypes)['doc_id']}, text string, seeds array<long>").withColumn("text_key", F.sha2("text", 256)))
     pairs = found.select("text_key", F.explode("seeds").alias("seed")).distinct().join(item_seeds.select("item_key", "seed"), "seed").select("text_key", "item_key").distinct()
     one = found.groupBy("text_key").agg(F.first("text").alias("text"))  # equal keys hold equal texts
     work = pairs.join(one, "text_key").join(items, "item_key").select("text_key", "item_key", "text", "item_text")
@@ -198,6 +198,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["text_key", "item_key", "coverage", "n_tiles", "longest"])
 
-    tiled = work.mapInArrow(tile, "text_key string, item_key string, coverage double, n_tiles int, longest int")
+    tiled = work.mapInArrow(releasing(tile), "text_key string, item_key string, coverage double, n_tiles int, longest int")
     leaked = tiled.where(F.col("coverage") >= coverage).join(named.select("item_key", "item_id"), "item_key")
     return found.select("doc_id", "text_key").distinct().join(leaked, "text_key").select("doc_id", "text_key", "item_id", "coverage", "n_tiles", "longest")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bit_table, connected_components, cut, forget
+from .common import bit_table, connected_components, cut, forget, releasing
 from .decontaminate import BASE, INVERSE, window_hashes
 
 WIDTH, STAR, BLOCK, SLICE = 5, 4, 1024, 512
@@ -104,7 +104,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).sample(min(1.0, SAMPLE / max(1, docs.count())), 42)
-    often = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    often = texts.mapInArrow(releasing(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     return np.sort(often.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column(0).to_numpy().view(np.uint64))
 
 
@@ -127,7 +127,7 @@ def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>" + "".join(f", {c} long" for c in PARITIES))
+    return rows.mapInArrow(releasing(run), "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>" + "".join(f", {c} long" for c in PARITIES))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return rows.mapInArrow(releasing(run), "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _under(nodes: DataFrame) -> DataFrame:
             of = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([pa.array(h[hit]), b.column(0).take(of), b.column(1).take(of), pa.array(at[hit].astype(np.int32))], ["h", "node", "n", "at"])
 
-    rows = nodes.select("node", "n", "prefix").mapInArrow(run, "h long, node long, n int, at int")
+    rows = nodes.select("node", "n", "prefix").mapInArrow(releasing(run), "h long, node long, n int, at int")
     joined = cut(rows.join(shared, "h"))
     centres = joined.where("node = centre").select("h", F.col("n").alias("n_c"), F.col("at").alias("at_c"))
     under = cut(joined.join(centres, "h"))

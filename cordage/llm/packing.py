@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, releasing
 
 BUCKETS, BUDGET, SHARD_ROWS, PAD = 8, 8192, 20_000, -1
 EXACT, STEP = 64, 0.02
@@ -40,23 +40,28 @@ LONG = re.compile(r"\S{1000}|\s{1000}")  # may be one piece, which tiktoken merg
 
 
 @functools.lru_cache(2)
-def _encoders(path: str):
+def _encoder(path: str):
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(f"{path}.tiktoken", "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    slow = Tokenizer.from_file(f"{path}.json")
-    slow.encode_special_tokens = True
-    return tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), slow
+    return tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.lru_cache(2)
+def _for_long_pieces(path: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(f"{path}.json")
+    made.encode_special_tokens = True
+    return made
 
 
 def encode(text: str | None, path: str = VOCABULARY) -> list[int]:
     if not text:
         return []
-    fast, slow = _encoders(path)
     text = text.encode("utf-8", "replace").decode()
-    return slow.encode(text, add_special_tokens=False).ids if LONG.search(text) else fast.encode_ordinary(text)
+    return _for_long_pieces(path).encode(text, add_special_tokens=False).ids if LONG.search(text) else _encoder(path).encode_ordinary(text)
 
 
 def tokenized(docs: DataFrame, path: str = VOCABULARY, keep_tokens: bool = False) -> DataFrame:
@@ -71,7 +76,7 @@ def tokenized(docs: DataFrame, path: str = VOCABULARY, keep_tokens: bool = False
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(["tokens"] if keep_tokens else [])])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long" + (", tokens array<int>" if keep_tokens else ""))
+    return rows.mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long" + (", tokens array<int>" if keep_tokens else ""))
 
 
 def cell(n: Column) -> Column:

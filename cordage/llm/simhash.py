@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, deal_blocks
+from .common import connected_components, cut, deal_blocks, releasing
 
 BITS = 64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, fp long")
 
 
 # --- partitions and thresholds ------------------------------------------------------------------
@@ -92,7 +92,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int32)), pa.array(np.append(j, -1).astype(np.int32)), pa.array(np.append(total.ravel(), n))], ["i", "j", "n"])
 
     out, n = np.zeros((BITS, BITS)), 0
-    for r in fps.select("fp").mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # 4,097 rows at most
+    for r in fps.select("fp").mapInArrow(releasing(run), "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # 4,097 rows at most
         if r["i"] < 0:
             n = int(r["n"])
         else:
@@ -198,7 +198,7 @@ def _signatures(fps: DataFrame, parts: list[list[int]], ts: list[int]) -> DataFr
                     cols = [np.full(len(sig), k, np.int32), sig, np.repeat(own, len(masks)), np.repeat(rep[at : at + step], len(masks))]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "sig", "fp", "rep"])
 
-    return fps.select("fp", "rep").mapInArrow(run, "part int, sig long, fp long, rep long")
+    return fps.select("fp", "rep").mapInArrow(releasing(run), "part int, sig long, fp long, rep long")
 
 
 def _forest(fp: np.ndarray, rep: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .adam import Adam
+from .common import releasing
 
 MAX_POSITIVE, MAX_NEGATIVE = 4000, 8000
 SPACE, TERMS, FACTORS = 1 << 18, 2048, 4
@@ -165,7 +166,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[li
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(sample), "doc_id")  # at most MAX_POSITIVE + MAX_NEGATIVE ids
     chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "doc_id", "toxic")
-    got = chosen.mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
+    got = chosen.mapInArrow(releasing(run), "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
     terms = got.column("terms").combine_chunks()
     flat, ends = terms.values.to_numpy(), terms.offsets.to_numpy()
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], (got.column("toxic").to_numpy() == 1).astype(np.float32)
@@ -198,7 +199,7 @@ def with_scores(docs: DataFrame, model: FactorizationMachine, text_col: str = "t
                 scores[at : at + len(x)] = model.scores(x)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
