@@ -1,9 +1,10 @@
 """Packing into length buckets that a dynamic program chooses over the whole histogram.
 
 Texts are tokenised by a public byte-level BPE vocabulary (a path), and padded to their bucket's boundary.
-The histogram of all token counts (cells of one token up to ``EXACT``, then steps of about one part in
-fifty) goes to the driver, at most a thousand rows whatever the input; the program finds the boundaries
-with the least padding. Inside a bucket, documents are dealt to shards of a bounded number of rows by a
+The exact histogram of all token counts goes to the driver, a row for each count that occurs: their number is at most
+the square root of twice all tokens, and no more than the longest text has. The program finds the boundaries with the
+least padding of all; a bucket's padding is a straight line in its end, so each of its rounds takes the lower hull of such lines
+and is linear in the number of counts. Inside a bucket, documents are dealt to shards of a bounded number of rows by a
 hash of id and count, and each shard forms batches whose padded tokens keep to the budget; a shard leaves
 at most one short batch. Rows that repeat one id and count more often than a shard holds are dealt one by
 one.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import cut, releasing
 
 BUCKETS, BUDGET, SHARD_ROWS, PAD = 8, 8192, 20_000, -1
-EXACT, STEP = 64, 0.02
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k"  # .tiktoken and .json, one vocabulary in two forms
 # Fixed value: how byte-level BPE cuts texts into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,47 +80,47 @@ def tokenized(docs: DataFrame, path: str = VOCABULARY, keep_tokens: bool = False
     return rows.mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long" + (", tokens array<int>" if keep_tokens else ""))
 
 
-def cell(n: Column) -> Column:
-    """The number of a count's cell; the largest count of cell c is ``cell_top(c)``."""
-    far = F.lit(EXACT) + F.ceil(F.log(F.greatest(n, F.lit(EXACT)) / EXACT) / math.log(1 + STEP) - 1e-9)
-    return F.when(n <= EXACT, n).otherwise(far).cast("long")
+def best_boundaries(top: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
+    """Ends (positions in ``top``, the counts in order) of at most ``buckets`` buckets with the least padding.
 
-
-def best_boundaries(top: np.ndarray, rows: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
-    """Ends (positions in ``top``) of at most ``buckets`` buckets with the least padding."""
-    n = len(top)
+    A bucket from position i to j pads every text to ``top[j]``: top[j] * (r[j + 1] - r[i]) tokens less those it has, with r
+    the running number of rows. For each j the best start is the lowest of the lines cost[i - 1] - r[i] * x at x = top[j]; their
+    slopes fall as i grows and x grows with j, so one pass keeps the lines that can still be lowest. Whole numbers, no rounding.
+    """
+    n, top = len(top), [int(x) for x in top]
     if not n:
         return []
-    r = np.concatenate([[0.0], np.cumsum(rows, dtype=np.float64)])
-    t = np.concatenate([[0.0], np.cumsum(tokens, dtype=np.float64)])
-    # pad[i, j]: cells i..j-1 padded to the largest count seen in cell j-1
-    pad = top[None, :] * (r[None, 1:] - r[:-1, None]) - (t[None, 1:] - t[:-1, None])
-    pad = np.where(np.arange(n)[:, None] <= np.arange(n)[None, :], pad, np.inf)
-    best, back = pad[0].copy(), []
+    r = [0, *itertools.accumulate(int(x) for x in rows)]
+    cost, back = [top[j] * r[j + 1] for j in range(n)], []  # padded tokens, of which the tokens themselves are the same for all
     for _ in range(1, min(buckets, n)):
-        option = np.concatenate([[np.inf], best[:-1]])[:, None] + pad  # the last bucket starts at cell i
-        option[0] = pad[0]
-        start = option.argmin(0)
+        lines, at, best, start = [], 0, [cost[0]], [0]
+        for j in range(1, n):
+            slope, height = -r[j], cost[j - 1]
+            while len(lines) > 1 and (height - lines[-2][1]) * (lines[-2][0] - lines[-1][0]) <= (lines[-1][1] - lines[-2][1]) * (lines[-2][0] - slope):
+                lines.pop()  # lies nowhere below both its neighbours
+            lines.append((slope, height, j))
+            at = min(at, len(lines) - 1)
+            while at + 1 < len(lines) and lines[at + 1][0] * top[j] + lines[at + 1][1] <= lines[at][0] * top[j] + lines[at][1]:
+                at += 1
+            best.append(lines[at][0] * top[j] + lines[at][1] + top[j] * r[j + 1])
+            start.append(lines[at][2])
+        cost = best
         back.append(start)
-        best = option[start, np.arange(n)]
     ends, j = [], n - 1
     for start in reversed(back):
         ends.append(j)
         if start[j] == 0:
             return ends[::-1]
-        j = int(start[j]) - 1
+        j = start[j] - 1
     return [*reversed([*ends, j])]
 
 
 def pack(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS, path: str = VOCABULARY, keep_tokens: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, bucket, padded_to, batch_id, place, batch_rows)`` per row of ``docs``, and the padded ``tokens`` if kept."""
     counted = cut(tokenized(docs, path, keep_tokens) if tokens is None else docs.select("doc_id", tokens.cast("long").alias("n_tokens")))
-    cells = counted.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
-    histogram = sorted(map(tuple, cells.collect()))
-    if not histogram:
-        histogram = [(0, 0, 0, 0)]
-    top, rows, total = (np.array([h[i] for h in histogram], np.int64) for i in (1, 2, 3))
-    ends = best_boundaries(top, rows, total, buckets)
+    histogram = counted.groupBy("n_tokens").agg(F.count("*").alias("rows")).toArrow().sort_by("n_tokens")
+    top, rows = (histogram.column(c).to_numpy() if len(histogram) else np.zeros(1, np.int64) for c in ("n_tokens", "rows"))
+    ends = best_boundaries(top, rows, buckets)
     starts = [0, *(e + 1 for e in ends[:-1])]
     n_tokens = F.col("n_tokens")
     bucket, upper, shards = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")

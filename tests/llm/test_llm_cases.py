@@ -95,7 +95,7 @@ def test_toxicity_of_repeated_ids_and_empty_tables(spark):
 def test_tokens_round_trip_and_padding(spark):
     rng = random.Random(23)
     texts = [(i, say(rng, rng.randrange(1, 120))) for i in range(60)] + [(70, "<|endoftext|> é😀"), (71, None), (72, ""), (73, "ab" * 3000), (74, " " * 3000)] + [(75, "same")] * 50
-    fast, slow = packing._encoders(packing.VOCABULARY)
+    fast, slow = packing._encoder(packing.VOCABULARY), packing._for_long_pieces(packing.VOCABULARY)
     assert all(fast.decode(packing.encode(t)) == t and packing.encode(t) == slow.encode(t, add_special_tokens=False).ids for _, t in texts if t)
     rows = packing.pack(docs(spark, texts), budget=600, shard_rows=20, keep_tokens=True).collect()
     of = {r.doc_id: r for r in rows}

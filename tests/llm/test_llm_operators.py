@@ -154,10 +154,24 @@ def test_boundaries_equal_brute_force():
         rows = rng.integers(1, 9, 8)
         cost = lambda ends: sum(rows[s : e + 1] @ (top[e] - top[s : e + 1]) for s, e in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True))  # noqa: B023, E731
         best = min(cost([*c, 7]) for k in range(3) for c in itertools.combinations(range(7), k))
-        ends = packing.best_boundaries(top, rows, rows * top, 3)
+        ends = packing.best_boundaries(top, rows, 3)
         assert len(ends) <= 3 and ends[-1] == 7 and cost(ends) == best
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 5, 40])
+def test_boundaries_pad_least_over_exact_counts(buckets):
+    rng = np.random.default_rng(buckets)
+    top = np.sort(rng.choice(100_000, 300, replace=False))
+    rows = rng.integers(1, 10**6, 300) ** 2
+    cost = lambda s, e: int(sum(int(x) * int(top[e] - t) for x, t in zip(rows[s : e + 1], top[s : e + 1], strict=True)))
+    pad = [[cost(s, e) if s <= e else None for e in range(300)] for s in range(300)]
+    best = pad[0][:]
+    for _ in range(1, buckets):
+        best = [min([pad[0][e], *(best[s - 1] + pad[s][e] for s in range(1, e + 1))]) for e in range(300)]
+    ends = packing.best_boundaries(top, rows, buckets)
+    assert len(ends) <= buckets and sum(pad[s][e] for s, e in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)) == best[-1]
+
+
 def test_packing(spark):
     rng = random.Random(9)
     texts = [(i, say(rng, rng.randrange(1, 300))) for i in range(300)] + [(400, None), (401, ""), (402, say(rng, 20_000)), (5, "again"), (None, "x y")]
