@@ -14,12 +14,22 @@ from cordage.llm import toxicity as tox
 from cordage.llm.common import bit_table, cut, fold, forget, free_name, may_hold, table
 
 
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python ``ROWS`` at a time, not ten thousand, unless the session says otherwise: either side holds a batch."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores at ``REJECT`` or more go.
 
     Null and empty texts get the score of a text without terms. Repeated rows are scored each; without
     labels of both kinds every text has the labels' share. An empty table gives no rows.
     """
+    _small_batches(spark)
     model = tox.fit(*tox.training_rows(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1))
     score = free_name(docs, "score")
     return tox.with_scores(docs, model, score_col=score).where(F.col(score) < tox.REJECT).drop(score)
@@ -34,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     different texts under one id stay if nothing links them. Rows with a null id all stay. An empty table
     gives no rows. Only rows that a bit table takes for ones to drop are shuffled.
     """
+    _small_batches(spark)
     found = jaccard.near_duplicates(docs)
     keys = cut(found.where("doc_id is not null").groupBy("doc_id", "text_hash", "component", "component_id").agg(F.count("*").alias("n")))
     first = keys.where("doc_id = component_id")
@@ -56,6 +67,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and wordless texts stay. Repeated rows stay or go together. An empty table gives no rows; with
     an empty benchmark all stay. Only rows that a bit table takes for leaks are shuffled.
     """
+    _small_batches(spark)
     leaked = cut(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("text_key").distinct())
     hits = bit_table(leaked.select(F.xxhash64("text_key")), leaked.count())
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(F.col("text").cast("string"), 256).alias("text_key"))
@@ -78,6 +90,7 @@ def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Repeated rows are packed each; a text over the budget is a batch of its own. An empty table gives no rows.
     """
+    _small_batches(spark)
     return packing.pack(docs)
 
 
