@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import dates, decisions, structured
 from ..functions import probability as P
@@ -16,7 +19,9 @@ from ..operators import curation as U
 from ..operators import evaluation as V
 from ..operators import examples as X
 from ..operators import gold as G
-from ..sources.tables import table
+from ..operators import review
+from ..sources import lines, sinks
+from ..sources.tables import shared_folder, table
 from .queries import FOLD, SCORED
 from .registry import query
 
@@ -268,3 +273,36 @@ def variant_rows(spark, d):
     clean = (F.col("wer_target") > 0) | ((F.col("outcome") == "kept") & (F.col("wer") == 0))
     told = made.select(F.substring_index("id", "-v", -1).cast("long").alias("k"), "wer_target", "id", (sound & clean).alias("ok"), F.col("asr_confidence").between(0.3, 0.99).alias("sure"))
     return told.groupBy("k", "wer_target").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.every("ok").alias("spans"), F.every("sure").alias("confident"))
+
+
+_DECIDED = """d AS (SELECT user_id % (SELECT count(*) FROM part) + 1 AS id, ts, event_id, CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'reject' WHEN 'purchase' THEN 'edit' ELSE 'skip' END AS decision, CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'una frase nueva' ELSE 'frase 5' END END AS text FROM events),
+l AS (SELECT * FROM d WHERE decision IN ('approve', 'reject') OR text = 'una frase nueva' QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, 'r' || event_id DESC) = 1)"""
+
+
+@query(f"""WITH {_DECIDED} SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN decision = 'edit' THEN l.text ELSE p_name END AS text, CASE decision WHEN 'reject' THEN 'rejected' WHEN 'approve' THEN 'approved' WHEN 'edit' THEN 'approved' ELSE 'pending' END AS status,
+CASE WHEN decision = 'edit' THEN p_name END AS original_text, 'r' || event_id AS reviewed_by FROM part LEFT JOIN l ON l.id = p_partkey""")
+def bank_review(spark, d):
+    """A bank of names of parts after the decisions that events stand for."""
+    parts = table(spark, d, "part")
+    bank = parts.select(F.col("p_partkey").cast("string").alias("id"), F.lit("classify_intent").alias("task"), F.lit("confirmed").alias("label"), F.col("p_name").alias("text"), F.lit("pending").alias("status"))
+    kind = F.when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "view", "reject").when(F.col("event_type") == "purchase", "edit").otherwise("skip")
+    text = F.when(kind == "edit", F.when(F.col("event_id") % 2 == 0, "una frase nueva").otherwise("frase 5"))
+    id_ = (F.col("user_id") % parts.count() + 1).cast("string")
+    said = table(spark, d, "events").select(id_.alias("id"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("r"), "event_id").alias("reviewer"), kind.alias("decision"), text.alias("text"))
+    return review.reviewed(bank, said).select("id", "text", "status", "original_text", "reviewed_by")
+
+
+@query("""WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, text FROM conversations), f AS (SELECT conv_id % 3 AS part, conv_id, n FROM c WHERE n <= 2)
+SELECT 'p' || part || '.jsonl:' || row_number() OVER (PARTITION BY part ORDER BY conv_id, n) AS place, conv_id, n AS turn FROM f""")
+def lines_with_place(spark, d):
+    """Rows written as JSON lines, three files of them, and read with their file and line."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = table(spark, d, "conversations").select("conv_id", place.cast("long").alias("turn"), (F.col("conv_id") % 3).alias("part")).where("turn <= 2")
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    for part in range(3):  # a file each, as a dataset's splits are
+        rows.where(F.col("part") == part).coalesce(1).sortWithinPartitions("conv_id", "turn").select(F.to_json(F.struct("conv_id", "turn"))).write.text(f"{folder}/{part}")
+        fs, at = sinks._fs(spark, f"{folder}/{part}")
+        for status in fs.listStatus(at):
+            if status.getPath().getName().startswith("part-"):
+                fs.rename(status.getPath(), sinks._fs(spark, f"{folder}/p{part}.jsonl")[1])
+    return lines.read_where(spark, f"{folder}/p*.jsonl", StructType.fromDDL("conv_id long, turn long")).select(F.col("_where").alias("place"), "conv_id", "turn")
