@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probability as P
 from ..functions import text as T
-from ..sources.tables import settle
+from ..sources.tables import drop, settle
 from . import calibration
 
 
@@ -68,7 +68,8 @@ def greedy_two_key(rows: DataFrame) -> DataFrame:
             first = first.join(left.groupBy(key).agg(F.min("place").alias(f"first_{key}")), key)
         won = settle(first.where("place = first_id AND place = first_content").select("place", "id", "content"))
         kept = won if kept is None else kept.unionByName(won)
-        left = settle(left.join(won.select("id"), "id", "left_anti").join(won.select("content"), "content", "left_anti"))
+        old, left = left, settle(left.join(won.select("id"), "id", "left_anti").join(won.select("content"), "content", "left_anti"))
+        drop(old)
     return (left if kept is None else kept).select("place")
 
 

@@ -87,12 +87,18 @@ def held_out_texts(reference: DataFrame, *columns: str) -> DataFrame:
     return out.distinct()
 
 
-def _check(name: str, frame: DataFrame, passed: Column, detail: Column) -> DataFrame:
-    return frame.select(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("string").alias("detail"))
+def _rows(one: DataFrame, *checks_: tuple[str, Column, Column]) -> DataFrame:
+    """``(name, passed, detail)``: the one row of ``one`` as a row a check; a test that is null has not passed."""
+    each = [F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("string").alias("detail")) for name, passed, detail in checks_]
+    return one.select(F.explode(F.array(*each)).alias("c")).select("c.*")
 
 
-def structural_checks(gold: DataFrame, size: int, replay_ratio: float, template_ratio: float, held_out: DataFrame) -> DataFrame:
-    """``(name, passed, detail)`` of nine checks; detail is the number that decides."""
+def structural_checks(gold: DataFrame, size: int, replay_ratio: float, template_ratio: float, held_out: DataFrame, manifest: dict | None = None) -> DataFrame:
+    """``(name, passed, detail)`` of nine checks, and of ``manifest_present`` if a manifest is given; detail is the number that decides.
+
+    ``gold`` is read four times (its columns, its groups, its tasks and its texts), so it should be a table, not a plan: see
+    ``tables.settle``. ``manifest`` is what ``sinks.published_manifest`` gave (an empty one: there is none).
+    """
     is_replay, count = F.col("task").eqNullSafe(REPLAY), F.count("*")
     problem = checks.row_problem(F.col("task"), F.col("source"), F.col("id"), F.col("group"), F.col("input"), F.col("output"))
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -104,18 +110,17 @@ def structural_checks(gold: DataFrame, size: int, replay_ratio: float, template_
     missing = gold.where(~is_replay).groupBy("task").agg(F.countDistinct("split").alias("splits")).agg(F.count_if((F.col("splits") < len(SPLITS)) | ~F.col("task").isin(*TASKS)).alias("missing"))
     seen = gold.select("id", F.explode(texts_of(F.col("input"))).alias("text")).join(held_out.select("text"), "text", "left_semi").agg(F.countDistinct("id").alias("overlap"))
     near = lambda c, ratio: F.abs(F.col(c) - ratio) <= TOLERANCE
-    each = [
-        _check("splits_present", one, F.col("splits") == len(SPLITS), F.col("splits")),
-        _check("row_count", one, F.col("n") == size, F.col("n")),
-        _check("rows_valid", one, F.col("invalid") == 0, F.col("invalid")),
-        _check("ids_unique", one, F.col("repeated") == 0, F.col("repeated")),
-        _check("no_group_leakage", leaks, F.col("leaks") == 0, F.col("leaks")),
-        _check("replay_share", one, near("replay", replay_ratio) & F.col("replay").between(*REPLAY_BOUNDS), F.format_number("replay", 4)),
-        _check("template_share", one, near("template", template_ratio), F.format_number("template", 4)),
-        _check("tasks_in_every_split", missing, F.col("missing") == 0, F.col("missing")),
-        _check("no_held_out_overlap", seen, F.col("overlap") == 0, F.col("overlap")),
-    ]
-    return _union(each)
+    zero = lambda name, c: (name, F.col(c) == 0, F.col(c))
+    found = _rows(
+        one.join(leaks).join(missing).join(seen),  # one row each
+        ("splits_present", F.col("splits") == len(SPLITS), F.col("splits")), ("row_count", F.col("n") == size, F.col("n")), zero("rows_valid", "invalid"), zero("ids_unique", "repeated"), zero("no_group_leakage", "leaks"),
+        ("replay_share", near("replay", replay_ratio) & F.col("replay").between(*REPLAY_BOUNDS), F.format_number("replay", 4)), ("template_share", near("template", template_ratio), F.format_number("template", 4)),
+        zero("tasks_in_every_split", "missing"), zero("no_held_out_overlap", "overlap"),
+    )
+    if manifest is None:
+        return found
+    told = gold.agg(F.count("*").alias("n"))
+    return found.unionByName(_rows(told, ("manifest_present", F.lit(manifest.get("rows")).cast("long") == F.col("n"), F.coalesce(F.lit(manifest.get("rows")).cast("string"), F.lit("none")))))
 
 
 def expectations(gold: DataFrame, size: int) -> DataFrame:
@@ -125,14 +130,7 @@ def expectations(gold: DataFrame, size: int) -> DataFrame:
         F.abs(F.count("*") - size).alias("table_row_count"), (F.count("id") - F.countDistinct("id")).alias("id_unique"), F.count_if(F.col("group").isNull()).alias("group_not_null"),
         outside("task", (*TASKS, REPLAY)).alias("task_in_set"), outside("source", SOURCES).alias("source_in_set"), outside("split", SPLITS).alias("split_in_set"),
     )
-    return _union([_check(f"expect:{c}", one, F.col(c) == 0, F.col(c)) for c in one.columns])
-
-
-def _union(each: list[DataFrame]) -> DataFrame:
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
-    return out
+    return _rows(one, *((f"expect:{c}", F.col(c) == 0, F.col(c)) for c in one.columns))
 
 
 def gate(found: DataFrame, report: str) -> None:

@@ -81,15 +81,17 @@ l AS (SELECT count(*) FILTER (s > 1) AS leaks FROM (SELECT count(DISTINCT split)
     + f" o AS (SELECT count(DISTINCT id) AS overlap FROM (SELECT id, {FOLD} AS t FROM g WHERE trim(text) <> '') WHERE t IN (SELECT t FROM h))"
     + """ SELECT 'splits_present' AS name, splits = 3 AS passed, CAST(splits AS VARCHAR) AS detail FROM n UNION ALL SELECT 'row_count', n = 60, CAST(n AS VARCHAR) FROM n UNION ALL SELECT 'rows_valid', invalid = 0, CAST(invalid AS VARCHAR) FROM n
 UNION ALL SELECT 'ids_unique', repeated = 0, CAST(repeated AS VARCHAR) FROM n UNION ALL SELECT 'no_group_leakage', leaks = 0, CAST(leaks AS VARCHAR) FROM l UNION ALL SELECT 'replay_share', abs(replay - 0.15) <= 0.005, printf('%.4f', replay) FROM n
-UNION ALL SELECT 'template_share', abs(template - 0.7) <= 0.005, printf('%.4f', template) FROM n UNION ALL SELECT 'tasks_in_every_split', missing = 0, CAST(missing AS VARCHAR) FROM m UNION ALL SELECT 'no_held_out_overlap', overlap = 0, CAST(overlap AS VARCHAR) FROM o
+UNION ALL SELECT 'manifest_present', true, CAST(n AS VARCHAR) FROM n UNION ALL SELECT 'template_share', abs(template - 0.7) <= 0.005, printf('%.4f', template) FROM n UNION ALL SELECT 'tasks_in_every_split', missing = 0, CAST(missing AS VARCHAR) FROM m UNION ALL SELECT 'no_held_out_overlap', overlap = 0, CAST(overlap AS VARCHAR) FROM o
 UNION ALL SELECT 'expect:table_row_count', n = 60, CAST(abs(n - 60) AS VARCHAR) FROM n UNION ALL SELECT 'expect:id_unique', repeated = 0, CAST(repeated AS VARCHAR) FROM n
 UNION ALL SELECT unnest(['expect:group_not_null', 'expect:task_in_set', 'expect:source_in_set', 'expect:split_in_set']), true, '0'"""
 )
 def gold_gate(spark, d):
-    gold = _gold(spark, d)
+    path = f"{shared_folder(spark)}/gold-{uuid.uuid4().hex}"
+    sinks.publish(_gold(spark, d), path, manifest={"params": {"size": SIZE, "template_ratio": TEMPLATE, "replay_ratio": REPLAY}})
+    gold, manifest = sinks.read_published(spark, path), sinks.published_manifest(spark, path)
     docs = table(spark, d, "documents").where("doc_id % 5 = 0").select("text")
     reference = table(spark, d, "benchmark").select("text").unionByName(docs).select(F.to_json(F.struct(F.col("text").alias("transcript"))).alias("input"))
-    return G.structural_checks(gold, SIZE, REPLAY, TEMPLATE, G.held_out_texts(reference, "input")).unionByName(G.expectations(gold, SIZE))
+    return G.structural_checks(gold, SIZE, REPLAY, TEMPLATE, G.held_out_texts(reference, "input"), manifest).unionByName(G.expectations(gold, SIZE))
 
 
 @query("""WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events),

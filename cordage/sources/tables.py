@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,32 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the cluster's shared folder."""
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the cluster's shared folder, by the values of a column if one is named, and read it again.
+
+    What is made of it reads the columns and rows that it needs; a lost executor costs a reread. The files go with
+    ``drop``, or when the application ends.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    (df.hint("rebalance", by).write.partitionBy(by) if by else df.write).parquet(path)
+    target, system = _target(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
+    out._settled = path
+    return out
+
+
+def drop(*settled: DataFrame) -> None:
+    """Delete the files behind tables that ``settle`` gave, when nothing is to be read of them any more."""
+    for df in settled:
+        target, system = _target(df.sparkSession, df._settled)
+        system.delete(target, True)
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_folder(spark: SparkSession) -> str:
