@@ -7,27 +7,62 @@ whole operator is array functions; only reading a noised number back is a Python
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spoken
 
-# Words that sound the same, words that are taken for others, and spellings of one sound.
-HOMOPHONES = {
-    "cero": ["sero"], "seis": ["ceis"], "cien": ["sien"], "uno": ["un"], "siete": ["siente"], "nueve": ["llueve"], "cuatro": ["cuarto"], "zeta": ["seta"],
-    "ce": ["se"], "erre": ["ere"], "arroba": ["a roba"], "punto": ["puntos"], "gmail": ["g mail", "jimeil"], "hotmail": ["jotmeil"], "outlook": ["autluk"],
-}
-MISHEARINGS = {
-    "sesenta": ["setenta"], "setenta": ["sesenta"], "tres": ["trece"], "trece": ["tres"], "dos": ["doce"], "doce": ["dos"], "eme": ["ene"], "ene": ["eme"],
-    "be": ["ve", "de"], "ve": ["be"], "de": ["te"], "te": ["de"], "pe": ["te", "be"], "ese": ["ce"], "ele": ["el"], "jota": ["hota"],
-}
-SPELLINGS = [("v", "b"), ("b", "v"), ("z", "s"), ("ce", "se"), ("ci", "si"), ("ll", "y"), ("x", "j"), ("ge", "je"), ("gi", "ji"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u")]
-# Words that may be lost, words never touched, hesitations, and the shares of the three edits.
-DELETABLE = "de el la los las a y que pues este eh es mi".split()
-PROTECTED = "no sí si nunca ya tampoco nada puedo voy cancelar ahorita después correcto perdón".split()
-FILLERS = ["eh", "este", "mmm", "o sea", "pues", "ah"]
-SUBSTITUTE, DELETE, VALUE_WEIGHT = 0.6, 0.2, 3.0
+#: Spellings of one sound, by which a word is written as another would hear it.
+SPELLINGS = [("v", "b"), ("b", "v"), ("z", "s"), ("ce", "se"), ("ci", "si"), ("ll", "y"), ("qu", "k"), ("ge", "je"), ("gi", "ji"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u")]
+VALUE_WEIGHT = 3.0
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i, *(0 for _ in b)]
+        for j, y in enumerate(b, 1):
+            row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+    return row[-1]
+
+
+def _said_words() -> list[str]:
+    """Words that values are said with: numbers, tens, names of letters and signs."""
+    return sorted({w for w in (*spoken.SMALL, *spoken.TENS.values(), *spoken.LETTERS, *spoken.WORD_LETTERS, *spoken.SIGNS) if w.isalpha() and len(w) > 1})
+
+
+def homophones() -> dict[str, list[str]]:
+    """For each word that values are said with, how it can be spelt with the same sound."""
+    found = {w: [w.replace(a, b, 1) for a, b in SPELLINGS if a in w] for w in _said_words()}
+    return {w: v for w, v in found.items() if v}
+
+
+def mishearings() -> dict[str, list[str]]:
+    """For each word that values are said with, others that one letter tells apart, or two if the words are longer and begin or end alike."""
+    words = _said_words()
+    short = lambda a, b: min(len(a), len(b)) < 4 and _distance(a, b) == 1
+    long = lambda a, b: min(len(a), len(b)) >= 4 and 1 <= _distance(a, b) <= 2 and (a[:2] == b[:2] or a[-2:] == b[-2:])
+    near = lambda a, b: short(a, b) or long(a, b)
+    found = {a: [b for b in words if near(a, b)] for a in words}
+    return {a: v for a, v in found.items() if v}
+
+
+@dataclass(frozen=True)
+class Confusions:
+    """What noise may do: words of one sound, words taken for others, spellings, words that may be lost, words never touched, hesitations, shares."""
+
+    homophones: dict[str, list[str]] = field(default_factory=homophones)
+    mishearings: dict[str, list[str]] = field(default_factory=mishearings)
+    spellings: list[tuple[str, str]] = field(default_factory=lambda: SPELLINGS)
+    deletable: tuple[str, ...] = ("a", "de", "del", "el", "en", "es", "la", "las", "le", "lo", "los", "mi", "que", "su", "un", "una", "y")
+    protected: tuple[str, ...] = ("no", "sí", "si", "ni", "nunca", "tampoco", "cancelar", "correcto", "perdón", "ya")
+    fillers: tuple[str, ...] = ("eh", "em", "este", "mmm", "bueno", "o sea")
+    substitute: float = 0.6
+    delete: float = 0.2
+
+
 # Edits after which a value can still be read, by field.
 RECOVERABLE = {"phone": ["homophone", "respelled", "filler", "deleted"], "email": ["homophone", "filler"], "name": ["filler"]}
 # Ways of saying a value that can't be read back by rule.
@@ -52,13 +87,17 @@ def _count_words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, " "), lambda x: x != ""))
 
 
-def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str | None = None, end: str | None = None) -> DataFrame:
+def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str | None = None, end: str | None = None, confusions: Confusions | None = None) -> DataFrame:
     """Adds ``tokens`` (text, original, kind, in_value), ``noised`` (the text) and ``measured`` (edits over words).
 
     ``start`` and ``end`` name the columns with the value's span; its words are edited three times as often. The
     number of edits is ``wer`` times the words, rounded up or down by a draw; which words, by weighted draws without
     replacement. Null texts give null; empty ones no edits.
+
+    An edit is one of substitution, deletion and filler, by the shares of ``confusions``. What a word does not allow is not
+    replaced by what it does: the word is drawn as much less often, as if it were put back and drawn again.
     """
+    by = confusions or Confusions()
     inside = (lambda i: F.lit(False)) if start is None else (lambda i: (i >= F.col("_from")) & (i < F.col("_to")))
     words = F.filter(F.split(text, " "), lambda x: x != "")
     df = rows.withColumn("_words", words).withColumn("_key", key).withColumn("_wer", wer)
@@ -67,21 +106,29 @@ def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str |
         df = df.withColumn("_from", _count_words(before)).withColumn("_to", _count_words(upto))
     u = lambda what, i: draw(F.lit(what), F.col("_key"), i)
     core = lambda w: F.lower(F.regexp_replace(w, MARKS, ""))
-    token = lambda w, i: F.struct(w.alias("w"), core(w).alias("core"), i.alias("i"), inside(i).alias("in_value"))
+    rules = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in by.spellings))
+    df = df.withColumn("_homophones", _table(by.homophones)).withColumn("_mishearings", _table(by.mishearings)).withColumn("_rules", rules)
+
+    def token(w: Column, i: Column) -> Column:
+        c = core(w)
+        free = (c != "") & ~c.isin(*by.protected)
+        known = F.map_contains_key("_homophones", c) | F.map_contains_key("_mishearings", c) | F.exists("_rules", lambda r: F.instr(c, r["a"]) > 0)
+        share = lambda may, of: F.when(may, of).otherwise(0.0)
+        return F.struct(w.alias("w"), c.alias("core"), i.alias("i"), inside(i).alias("in_value"), free.alias("free"), share(free & known, by.substitute).alias("sub"), share(free & c.isin(*by.deletable), by.delete).alias("del"))
+
     df = df.withColumn("_tokens", F.transform("_words", token))
-    weight = lambda t: F.when(t["in_value"], VALUE_WEIGHT).otherwise(1.0)
-    order = lambda t: F.when((t["core"] == "") | t["core"].isin(*PROTECTED), F.lit(None)).otherwise(-F.log(u("order", t["i"]) + 1e-18) / weight(t))
+    filler_share = 1.0 - by.substitute - by.delete
+    weight = lambda t: F.when(t["in_value"], VALUE_WEIGHT).otherwise(1.0) * (t["sub"] + t["del"] + filler_share)
+    order = lambda t: F.when(t["free"], -F.log(u("order", t["i"]) + 1e-18) / weight(t))
     df = df.withColumn("_order", F.transform("_tokens", order))
     wanted = F.floor(F.col("_wer") * F.size("_words") + draw(F.lit("round"), F.col("_key"))).cast("int")
     sorted_order = F.array_sort(F.filter("_order", lambda x: x.isNotNull()))
     able = F.least(wanted, F.size(sorted_order))
     df = df.withColumn("_cut", F.when(able > 0, F.element_at(sorted_order, F.greatest(able, F.lit(1)))).otherwise(-1.0))
 
-    rules = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SPELLINGS))
-    df = df.withColumn("_homophones", _table(HOMOPHONES)).withColumn("_mishearings", _table(MISHEARINGS)).withColumn("_rules", rules)
-
     def edit(t: Column, o: Column) -> Column:
-        c, w, op, pick, which = t["core"], t["w"], u("op", t["i"]), u("pick", t["i"]), u("table", t["i"])
+        c, w, pick, which = t["core"], t["w"], u("pick", t["i"]), u("table", t["i"])
+        op = u("op", t["i"]) * (t["sub"] + t["del"] + filler_share)
         same, other = F.element_at("_homophones", c), F.element_at("_mishearings", c)
         fits = F.filter("_rules", lambda r: F.instr(c, r["a"]) > 0)
         rule = _pick(fits, pick)
@@ -89,14 +136,13 @@ def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str |
         respelled = F.concat(F.substring(c, F.lit(1), at - 1), rule["b"], F.substring(c, at + F.length(rule["a"]), F.length(c)))
         put = lambda new: F.replace(F.lower(w), c, new)
         made = lambda new, kind: F.struct(new.alias("text"), w.alias("original"), F.lit(kind).alias("kind"), t["in_value"].alias("in_value"))
-        known, loses = same.isNotNull() | other.isNotNull() | (F.size(fits) > 0), c.isin(*DELETABLE)
-        filler = F.concat(w, F.lit(" "), _pick(F.array(*map(F.lit, FILLERS)), pick))
+        filler = F.concat(w, F.lit(" "), _pick(F.array(*map(F.lit, by.fillers)), pick))
         return (
             F.when(o.isNull() | (o > F.col("_cut")), made(w, None))
-            .when((op < SUBSTITUTE) & same.isNotNull() & (other.isNull() | (which < 0.5)), made(put(_pick(same, pick)), "homophone"))
-            .when((op < SUBSTITUTE) & other.isNotNull(), made(put(_pick(other, pick)), "mishearing"))
-            .when((op < SUBSTITUTE) & known, made(put(respelled), "respelled"))
-            .when((op < SUBSTITUTE + DELETE) & loses, made(w, "deleted"))
+            .when((op < t["sub"]) & same.isNotNull() & (other.isNull() | (which < 0.5)), made(put(_pick(same, pick)), "homophone"))
+            .when((op < t["sub"]) & other.isNotNull(), made(put(_pick(other, pick)), "mishearing"))
+            .when(op < t["sub"], made(put(respelled), "respelled"))
+            .when(op < t["sub"] + t["del"], made(w, "deleted"))
             .otherwise(made(filler, "filler"))
         )
 

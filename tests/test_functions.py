@@ -193,3 +193,26 @@ def test_drop_reasons_in_any_case_and_white_space(spark):
     got = {r.i: tuple(r)[1:] for r in df.select("i", T.drop_reason(400, F.col("t")).alias("a"), T.drop_reason(400, F.lit("fine"), F.col("t")).alias("b"), T.drop_reason(400, F.col("t"), F.lit("me@x.mx")).alias("c")).collect()}
     for i, (_, want) in enumerate(said):
         assert got[i] == (want, want, want or "email"), said[i]
+
+
+def test_noise_keeps_the_shares_of_its_edits(spark):
+    """On texts whose every word allows every edit the shares are those set; elsewhere no edit stands in for another."""
+    from collections import Counter
+
+    df = spark.createDataFrame([(i, " ".join(["de"] * 40), " ".join(["nueve"] * 40), " ".join(["hotel"] * 40)) for i in range(400)], "id int, all string, sub string, none string")
+    told = {c: Counter(t.kind for r in A.add_noise(df, c, F.lit(0.25), F.col("id")).collect() for t in r.tokens if t.kind) for c in ("all", "sub", "none")}
+    share = {c: {k: n / sum(v.values()) for k, n in v.items()} for c, v in told.items()}
+    assert sum(told["all"].values()) == 4000
+    assert abs(share["all"]["deleted"] - 0.2) < 0.02 and abs(share["all"]["filler"] - 0.2) < 0.02
+    assert abs(share["sub"]["filler"] - 0.25) < 0.02 and "deleted" not in share["sub"] and share["none"] == {"filler": 1.0}
+    own = A.Confusions(homophones={"hotel": ["otel"]}, mishearings={}, spellings=[("zz", "s")], deletable=("hotel",), fillers=("em",), substitute=0.5, delete=0.3)
+    kinds = Counter(t.kind for r in A.add_noise(df, "none", F.lit(0.25), F.col("id"), confusions=own).collect() for t in r.tokens if t.kind)
+    assert abs(kinds["homophone"] / 4000 - 0.5) < 0.03 and abs(kinds["deleted"] / 4000 - 0.3) < 0.03 and kinds.keys() == {"homophone", "deleted", "filler"}
+    mixed = " ".join("mi número es cincuenta y cinco doce treinta y cuatro de la casa".split() * 3)
+    more = Counter(t.kind for r in A.add_noise(df.select("id", F.lit(mixed).alias("t")), "t", F.lit(0.25), F.col("id")).collect() for t in r.tokens if t.kind)
+    assert more["filler"] / sum(more.values()) < 0.3
+
+
+def test_confusions_are_of_the_words_that_values_are_said_with():
+    assert "setenta" in A.mishearings()["sesenta"] and "ene" in A.mishearings()["eme"] and "sero" in A.homophones()["cero"]
+    assert A._distance("kitten", "sitting") == 3 and A._distance("", "ab") == 2 and A._distance("x", "x") == 0
