@@ -210,7 +210,10 @@ def test_noise_keeps_the_shares_of_its_edits(spark):
     assert abs(kinds["homophone"] / 4000 - 0.5) < 0.03 and abs(kinds["deleted"] / 4000 - 0.3) < 0.03 and kinds.keys() == {"homophone", "deleted", "filler"}
     mixed = " ".join("mi número es cincuenta y cinco doce treinta y cuatro de la casa".split() * 3)
     more = Counter(t.kind for r in A.add_noise(df.select("id", F.lit(mixed).alias("t")), "t", F.lit(0.25), F.col("id")).collect() for t in r.tokens if t.kind)
-    assert more["filler"] / sum(more.values()) < 0.3
+    by = A.Confusions()
+    allowed = [(0.6 * (w in by.homophones or w in by.mishearings or any(a in w for a, _ in by.spellings)), 0.2 * (w in by.deletable)) for w in mixed.split()]
+    drawn = sum(s + d + 0.2 for s, d in allowed)  # as if each draw of a word and an edit that does not fit were put back
+    assert abs(more["filler"] / sum(more.values()) - 0.2 * len(allowed) / drawn) < 0.05 and abs(more["deleted"] / sum(more.values()) - sum(d for _, d in allowed) / drawn) < 0.05
 
 
 def test_confusions_are_of_the_words_that_values_are_said_with():
