@@ -12,7 +12,7 @@ from ..operators import calls
 from ..operators import warehouse as W
 from ..sources import sinks
 from ..sources.tables import shared_folder, table
-from ..streaming import actions, delivery, ordered, sessions
+from ..streaming import actions, delivery, ordered, sessions, topic_log
 from ..streaming import events as S
 from .call_queries import SILVER_SQL, STAR_SQL, _silver, call_lines
 from .queries import CALL_STATE, _span, call_turns
@@ -149,3 +149,24 @@ def published_manifest(spark, d):
     a, b = (sinks.published_manifest(spark, f"{folder}/{x}") for x in "ab")
     changed = sinks.changed_files(spark, f"{folder}/a").unionByName(sinks.changed_files(spark, f"{folder}/b"))
     return changed.agg(F.lit(a["rows"]).cast("long").alias("rows"), F.count("*").alias("changed"), F.lit(a["content"] == b["content"]).alias("same"))
+
+
+@query("""SELECT CASE WHEN event_type = 'view' THEN 'calls.transcripts' WHEN event_type = 'click' THEN 'model.inferences' ELSE 'calls.events' END AS topic, count(*) AS rows, count(DISTINCT event_id) AS events, count(DISTINCT user_id) AS keys, true AS gapless, true AS ordered FROM events GROUP BY 1""")
+def topic_log_bronze(spark, d):
+    """Events appended to a log of topics, a third at a time, and brought to bronze by a stream that starts again after each."""
+    folder = _folder(spark)
+    spark.dataSource.register(topic_log.TopicLog)
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    sent = S.kafka_rows(rows.select("event_id", "user_id", "event_type", "ts")).withColumn("at", F.get_json_object("value", "$.ts").cast("timestamp"))
+    third = F.pmod(F.xxhash64("value"), F.lit(3))
+    for k in range(3):
+        topic_log.append(sent.where(third == k), f"{folder}/log")
+        stream = spark.readStream.format("topic_log").load(f"{folder}/log").withColumnRenamed("at", "ts")
+        S.to_bronze(stream, f"{folder}/bronze", f"{folder}/checkpoint").awaitTermination()
+    bronze = spark.read.parquet(f"{folder}/bronze").withColumn("event_id", F.get_json_object("value", "$.event_id")).withColumn("third", third)
+    place = Window.partitionBy("topic", "partition", "key", "third").orderBy("offset")
+    behind = bronze.withColumn("behind", F.lag("ts").over(place) > F.col("ts"))
+    parts = behind.groupBy("topic", "partition").agg((F.max("offset") - F.min("offset") + 1 == F.count("*")).alias("whole"), F.min("offset").alias("low"), F.max("behind").alias("behind"))
+    told = parts.groupBy("topic").agg(F.min(F.col("whole") & (F.col("low") == 0)).alias("gapless"), F.min(~F.coalesce("behind", F.lit(False))).alias("ordered"))
+    counts = bronze.groupBy("topic").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("events"), F.countDistinct("key").alias("keys"))
+    return counts.join(told, "topic").select("topic", "rows", "events", "keys", "gapless", "ordered")
