@@ -3,13 +3,16 @@
 A page is read once from left to right into blocks, the text between two borders of block elements,
 with the open elements above it (tags, classes, ids). A bidirectional LSTM, written and trained in
 numpy, reads for each block the sum of hashed path vectors, the mean of hashed word vectors and a few
-numbers, so a block's label draws on the whole page before and after it.
+numbers, so a block's label draws on the whole page before and after it. The numbers, four marks among
+them (an element above is known not to be main text; one is known to be; the page has such a one; it has
+none and the block is a link alone), also enter the block's logit directly, so that blocks around it do
+not outweigh what stands above it.
 
 Training takes at most ``MAX_PAGES`` pages, chosen by a hash of the id, of ``MAX_TRAIN_CHARS`` or
 less each. Their blocks get weak labels from the elements above them; each page is also varied:
 containers renamed, and menus, notices, forms, adverts, side columns and reader comments of its own
-words put in, so the labeller knows forms that the sample lacks. Whole pages are cut into runs of
-``RUN`` blocks, of which ``MAX_RUNS`` at most, drawn evenly from all of them, are learned from.
+words put in, and lists, tables, quotations and links into the articles, so the labeller knows forms
+that the sample lacks. Whole pages are cut into runs of ``RUN`` blocks, of which ``MAX_RUNS`` at most, drawn evenly from all of them, are learned from.
 Extraction reads every whole page, in batches of a bounded number of padded cells.
 
 Text: character references decoded, white space inside a block made one space, trimmed; blocks of
@@ -38,38 +41,49 @@ from pyspark.sql import functions as F
 from .adam import Adam
 
 MAX_PAGES, MAX_TRAIN_CHARS, MAX_RUNS, RUN = 240, 200_000, 800, 120
+MARK = 4  # what a mark weighs among the numbers
 CELLS = 1 << 14  # blocks, with padding, that are scored at once (a longer page alone)
-PATH_SPACE, PATH_DIM, WORD_SPACE, WORD_DIM, NUMBERS, HIDDEN = 1 << 10, 12, 1 << 11, 6, 5, 12
+PATH_SPACE, PATH_DIM, WORD_SPACE, WORD_DIM, NUMBERS, HIDDEN = 1 << 10, 12, 1 << 11, 6, 9, 12
 
+# Quotes bound an attribute's value only where it begins; in other places they are signs like any other.
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b{INSIDE}(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PART = re.compile(r"[a-z0-9]+")
-# Elements without an end, elements inside a line, and the names of what is not main text.
+# Elements without an end, elements inside a line, the names of what is not main text, and words in a name after which others tell what a page has, not what an element is.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr picture q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 OTHER_TAGS = set("head title nav header footer aside form button select option menu dialog".split())
-OTHER_NAMES = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted reactions related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+OTHER_NAMES = set("ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies disclaimer disqus feedback footer form gdpr header login masthead menu modal nav navbar navi navigation newsletter notice notices notification notifications outbrain overlay pager pagination paywall popup promo promoted rail reactions recommendations recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar trending widget widgets".split())
+HAS = set("has have no not with without".split())
 MAIN = {"article", "main"}
 MAIN_NAMES = set("article content entry main post story".split())
 
 
 class Block:
-    __slots__ = ("link", "path", "size", "text")
+    __slots__ = ("last", "link", "marks", "path", "size", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], link: int):
-        self.text, self.path, self.link, self.size = text, path, link, len(text)
+    def __init__(self, text: str, path: tuple[str, ...], last: str, link: int):
+        self.text, self.path, self.last, self.size = text, path, last, len(text)
+        self.link, self.marks = link / sum(map(len, text.split())), (0, 0, 0, 0)
 
 
 def _names(attributes: str) -> list[str]:
-    return [f"#{p}" for m in NAMES.finditer(attributes) for p in PART.findall((m[2] or m[3] or m[4] or "").lower())]
+    out = []
+    for m in NAMES.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = PART.findall(HUMP.sub(" ", name).lower())
+            out += [f"#{p}" for p in parts[: next((k for k, p in enumerate(parts) if p in HAS), None)]]
+    return out
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's blocks in order, each with the names (tags, ``#`` classes, ids and roles) above it."""
+    """The page's blocks in order, each with the different names (tags, ``#`` classes, ids and roles) above it, outermost first."""
     page, stack, out, run = page or "", [], [], []
     at = link = links = 0
 
@@ -78,15 +92,15 @@ def blocks(page: str | None) -> list[Block]:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                out.append(Block(text, tuple(n for _, names in stack for n in names), link))
+                out.append(Block(text, *(stack[-1][1:] if stack else ((), "")), link))
             run.clear()
         link = 0
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
-            run.append(entities.unescape(piece) if "&" in piece else piece)
-            link += links and len(piece)
+            run.append(piece := entities.unescape(piece) if "&" in piece else piece)
+            link += links and sum(map(len, piece.split()))
         at = m.end()
         tag = m[3] and m[3].lower()
         if not tag:
@@ -108,24 +122,37 @@ def blocks(page: str | None) -> list[Block]:
                 stack.pop()  # a paragraph ends where the next block begins
             if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "option"):
                 stack.pop()
-            stack.append((tag, [tag, *_names(m[4])]))
+            names, above = [tag] if tag in ("html", "body") else [tag, *_names(m[4])], stack[-1][1] if stack else ()
+            new = tuple(dict.fromkeys(n for n in names if n not in above))
+            stack.append((tag, above + new if new else above, names[-1]))  # elements in elements of the same names share one path
     if at < len(page):
         run.append(entities.unescape(page[at:]))
     close()
+    _mark(out)
     return out
 
 
+def _mark(found: list[Block]) -> None:
+    """Whether an element above each block is not main text, whether one is, whether the page has such a one, and whether it has none and the block is a link alone."""
+    kinds: dict[tuple[str, ...], tuple[bool, bool]] = {}
+    for b in found:
+        if b.path not in kinds:
+            other = any(n in OTHER_TAGS or n[0] == "#" and n[1:] in OTHER_NAMES for n in _own(b.path))
+            kinds[b.path] = other, any(n in MAIN or n[0] == "#" and n[1:] in MAIN_NAMES for n in b.path)
+    known = any(inside and not other for other, inside in kinds.values())
+    for b in found:
+        o, i = kinds[b.path]
+        b.marks = (int(o), int(i), int(known), int(not known and b.link >= 1))
+
+
 def weak_labels(found: list[Block]) -> np.ndarray:
-    """1 for blocks of the main text as the elements above them tell it."""
-    other = [any(n in OTHER_TAGS or n[0] == "#" and n[1:] in OTHER_NAMES for n in _own(b.path)) for b in found]
-    inside = [any(n in MAIN or n[0] == "#" and n[1:] in MAIN_NAMES for n in b.path) for b in found]
-    known = any(i and not o for i, o in zip(inside, other, strict=True))
-    return np.array([not o and (i or not known) for i, o in zip(inside, other, strict=True)], np.float32)
+    """1 for blocks of the main text as the elements above them tell it; a link alone is none where no element tells of main text."""
+    return np.array([not other and (inside or not known and not alone) for b in found for other, inside, known, alone in [b.marks]], np.float32)
 
 
 def _own(path: tuple[str, ...]) -> tuple[str, ...]:
     """A header inside an article belongs to it."""
-    return tuple(n for k, n in enumerate(path) if n != "header" or not MAIN & set(path[:k]))
+    return tuple(n for k, n in enumerate(path) if n not in ("header", "#header") or not MAIN & set(path[:k]))
 
 
 def vary(page: str, rng: random.Random) -> str:
@@ -134,6 +161,15 @@ def vary(page: str, rng: random.Random) -> str:
     say = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
     name = lambda *xs: rng.choice(xs)
     comments = "".join(f'<{(t := name("div", "li", "article"))} class="comment"><p>{say(3, 60)}</p></{t}>' for _ in range(rng.randint(1, 5)))
+    told = [
+        f'<{(u := name("ul", "ol"))}>{"".join(f"<li>{say(1, 12)}</li>" for _ in range(rng.randint(1, 6)))}</{u}>',
+        f'<table><tr><th>{say(1, 3)}</th><th>{say(1, 3)}</th></tr><tr><td>{say(1, 6)}</td><td>{say(1, 6)}</td></tr></table>',
+        f'<blockquote><p>{say(3, 30)}</p></blockquote>', f'<h2>{say(1, 6)}</h2>', f'<p><a href="/x">{say(1, 6)}</a></p>', f'<div>{say(2, 40)}</div>',
+    ]
+    for piece in rng.sample(told, rng.randint(0, 3)):
+        places = [m.end() for m in re.finditer(r"</p>(?=.*</article>)", page, re.S)]
+        at = rng.choice(places) if places else len(page)
+        page = page[:at] + piece + page[at:]
     extra = [
         f'<header class="{name("site-header", "top", "masthead")}"><div>{say(1, 6)}</div><p>{say(2, 12)}</p></header>',
         f'<div class="{name("cookie-notice", "notice", "gdpr consent", "banner")}"><p>{say(4, 30)}</p></div>',
@@ -143,12 +179,14 @@ def vary(page: str, rng: random.Random) -> str:
         f'<{(s := name("section", "div"))} {name("class", "id")}="comments"><h2>{say(1, 3)}</h2>{comments}</{s}>',
         f'<nav><a href="/">{say(1, 3)}</a> <a href="/a">{say(1, 3)}</a></nav>',
         f'<footer><p>{say(3, 30)}</p></footer>',
+        f'<div class="{name("newsletter", "widget-area sidebar-right", "related", "share social", "disqus")}"><p>{say(2, 30)}</p></div>',
+        f'<div><a href="/n">{say(1, 4)}</a></div>',
     ]
     for piece in rng.sample(extra, rng.randint(2, 6)):
-        places = [m.end() for m in re.finditer(r"</(?:p|h1|h2|nav|div|ul|article)>|<body[^>]*>|<article[^>]*>", page)]
+        places = [m.end() for m in re.finditer(r"</(?:p|h1|h2|nav|ul|article)>|<body[^>]*>|<article[^>]*>", page)]
         at = rng.choice(places) if places else len(page)
         page = page[:at] + piece + page[at:]
-    swap = rng.choice([("article", ""), ("main", ""), ("main", ' id="content"'), ("div", ' class="article-body"'), ("div", ' id="content"'), ("section", ' class="post"')])
+    swap = rng.choice([("article", ""), ("main", ""), ("main", ' id="content"'), ("div", ' class="article-body"'), ("div", ' id="content"'), ("div", ""), ("section", ' class="post"')])
     return re.sub(r"</article>", f"</{swap[0]}>", re.sub(r"<article>", f"<{swap[0]}{swap[1]}>", page))
 
 
@@ -160,7 +198,7 @@ class Features:
     """Hashed names and words of blocks as flat arrays with ends."""
 
     def __init__(self) -> None:
-        self.path: dict[tuple[str, ...], np.ndarray] = {}
+        self.path: dict[tuple[tuple[str, ...], str], np.ndarray] = {}
         self.word: dict[str, int] = {}
 
     def of(self, found: list[Block], at: int = 0, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,16 +207,15 @@ class Features:
             self.path.clear(), self.word.clear()
         path_ids, path_n, word_ids, word_n, numbers = [], [], [], [], []
         for k, b in enumerate(found):
-            if b.path not in self.path:
-                ids = sorted({_hash(n, PATH_SPACE) for n in b.path} | {_hash("last " + (b.path[-1] if b.path else ""), PATH_SPACE)})
-                self.path[b.path] = np.array(ids, np.int64)
+            if (above := (b.path, b.last)) not in self.path:
+                self.path[above] = np.array(sorted({_hash(n, PATH_SPACE) for n in b.path} | {_hash("last " + b.last, PATH_SPACE)}), np.int64)
             words = b.text.split()
             for w in words:
                 if w not in self.word:
                     self.word[w] = _hash(w.lower(), WORD_SPACE)
-            path_ids.append(ids := self.path[b.path]), path_n.append(len(ids))
+            path_ids.append(ids := self.path[above]), path_n.append(len(ids))
             word_ids.extend(map(self.word.__getitem__, words)), word_n.append(len(words))
-            numbers.append((np.log1p(b.size) / 8, min(1, b.link / max(1, b.size)), (at + k) / max(1, (size or len(found)) - 1), b.text[-1] in ".!?…", len(b.path) / 16))
+            numbers.append((np.log1p(b.size) / 8, min(1, b.link), (at + k) / max(1, (size or len(found)) - 1), b.text[-1] in ".!?…", len(b.path) / 16, *(MARK * m for m in b.marks)))
         return np.concatenate(path_ids), np.array(path_n), np.array(word_ids, np.int64), np.array(word_n), np.array(numbers, np.float32)
 
 
@@ -193,10 +230,10 @@ class Labeller:
         self.path, self.word = f(PATH_SPACE, PATH_DIM), f(WORD_SPACE, WORD_DIM) * np.float32(0.1)
         self.w = [f(size + HIDDEN, 4 * HIDDEN) for _ in range(2)]
         self.b = [np.concatenate([np.ones(HIDDEN), np.zeros(3 * HIDDEN)]).astype(np.float32) for _ in range(2)]
-        self.out, self.out_b = f(2 * HIDDEN), np.zeros(1, np.float32)
+        self.out, self.out_b, self.own = f(2 * HIDDEN), np.zeros(1, np.float32), f(NUMBERS)
 
     def params(self) -> list[np.ndarray]:
-        return [self.path, self.word, *self.w, *self.b, self.out, self.out_b]
+        return [self.path, self.word, *self.w, *self.b, self.out, self.out_b, self.own]
 
     def inputs(self, feats: tuple) -> np.ndarray:
         path_ids, path_n, word_ids, word_n, numbers = feats
@@ -231,7 +268,7 @@ class Labeller:
         for k, x in enumerate(xs):
             pad[: size[k], k], back[: size[k], k] = x, x[::-1]
         a, b = self.run(pad, 0)[0], self.run(back, 1)[0]
-        return [_sig(np.concatenate([a[:s, k], b[:s, k][::-1]], 1) @ self.out + self.out_b) for k, s in enumerate(size)]
+        return [_sig(np.concatenate([a[:s, k], b[:s, k][::-1]], 1) @ self.out + xs[k][:, -NUMBERS:] @ self.own + self.out_b) for k, s in enumerate(size)]
 
     def grads(self, feats: tuple, y: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean loss over one page's blocks."""
@@ -240,7 +277,7 @@ class Labeller:
         seq = [x[:, None], x[::-1][:, None]]
         (a, ka), (b, kb) = (self.run(s, k, True) for k, s in enumerate(seq))
         h = np.concatenate([a[:, 0], b[::-1, 0]], 1)
-        d = ((_sig(h @ self.out + self.out_b) - y) / n).astype(np.float32)
+        d = ((_sig(h @ self.out + x[:, -NUMBERS:] @ self.own + self.out_b) - y) / n).astype(np.float32)
         dh, gx, gw, gb = d[:, None] * self.out, np.zeros_like(x), [], []
         for side, (kept, own) in enumerate(((ka, dh[:, :HIDDEN]), (kb, dh[::-1, HIDDEN:]))):
             w, s = self.w[side], seq[side]
@@ -258,11 +295,11 @@ class Labeller:
                 dx[t], next_h, next_c = back[0, : x.shape[1]], back[:, x.shape[1] :], dc * f
             gw.append(dw), gb.append(db)
             gx += dx if side == 0 else dx[::-1]
-        path_ids, path_n, word_ids, word_n, _ = feats
+        path_ids, path_n, word_ids, word_n, numbers = feats
         gp, gword = np.zeros_like(self.path), np.zeros_like(self.word)
         np.add.at(gp, path_ids, np.repeat(gx[:, :PATH_DIM], path_n, 0))
         np.add.at(gword, word_ids, np.repeat(gx[:, PATH_DIM : PATH_DIM + WORD_DIM] / word_n[:, None], word_n, 0))
-        return [gp, gword, *gw, *gb, h.T @ d, d.sum(keepdims=True)]
+        return [gp, gword, *gw, *gb, h.T @ d, d.sum(keepdims=True), numbers.T @ d]
 
 
 def fit(pages: list[str], epochs: int = 6, seed: int = 3) -> Labeller | None:
