@@ -38,7 +38,8 @@ from .common import bit_table, connected_components, cut, forget, releasing
 from .decontaminate import BASE, INVERSE, window_hashes
 
 WIDTH, STAR, BLOCK, SLICE = 5, 4, 1024, 512
-WORDS = 8  # of 64 bits each in a set's table of parities
+WORDS = 16  # of 64 bits each in a set's table of parities, a power of two
+BEFORE = 8  # shingles before its own that a row knows, so that a pair is made under the first that it shares
 PARITIES = [f"odd{k}" for k in range(WORDS)]
 SAMPLE, COMMON, OFTEN = 4_000, 50_000, 3  # texts to look for common shingles, how many of them to know, the least count
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
@@ -87,7 +88,7 @@ def _node(own: np.ndarray) -> int:
 
 def _parities(own: np.ndarray) -> np.ndarray:
     """Bit i tells whether an odd number of elements falls on it."""
-    odd = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+    odd = np.bincount((own >> np.uint64(65 - (64 * WORDS).bit_length())).astype(np.int64), minlength=64 * WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -172,19 +173,25 @@ def _class(n: Column) -> Column:
 
 
 def _apart(rows: DataFrame, parities: DataFrame, comp: DataFrame, block: int) -> DataFrame:
-    """``(a, b)`` under one shingle that no path joins yet and whose sizes and places allow the similarity."""
+    """``(a, b)`` under one shingle that no path joins yet and whose sizes and places allow the similarity.
+
+    A pair that also shares one of the ``BEFORE`` shingles before this one is left to that one: what allows it here allows it
+    at the earlier place too, so it is made there. Few pairs are made twice, and none is missed.
+    """
     rows = rows.join(comp.withColumnRenamed("component", "_c"), "node", "left").select("h", "node", "n", "at", F.coalesce("_c", "node").alias("c"))
     mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
     rows = rows.join(mixed, "h", "left_semi").withColumn("most", F.floor((9 * (F.col("n") - F.col("at")) - 4 * F.col("n")) / 4).cast("int"))
-    rows = cut(rows.join(parities, "node"))  # most: the size of the largest partner
-    short = rows.where("most >= n").select("h", _class(F.col("n")).alias("k"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"), *(F.col(c).alias(f"b_{c}") for c in PARITIES))
+    before = F.collect_list("h").over(Window.partitionBy("node").orderBy("at").rowsBetween(-BEFORE, -1))
+    rows = cut(rows.withColumn("before", before).join(parities, "node"))  # most: the size of the largest partner
+    short = rows.where("most >= n").select("h", _class(F.col("n")).alias("k"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"), F.col("before").alias("before_b"), *(F.col(c).alias(f"b_{c}") for c in PARITIES))
     tasks = short.groupBy("h", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("tasks"))
     short = short.join(tasks, ["h", "k"]).withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks")
     low, high = F.ceil(F.col("n") * 0.8 - 1e-6), F.least("n", "most")
-    long = rows.where(low <= high).select("h", F.explode(F.sequence(_class(low), _class(high))).alias("k"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), *(F.col(c).alias(f"a_{c}") for c in PARITIES))
+    long = rows.where(low <= high).select("h", F.explode(F.sequence(_class(low), _class(high))).alias("k"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), F.col("before").alias("before_a"), *(F.col(c).alias(f"a_{c}") for c in PARITIES))
     long = long.join(tasks, ["h", "k"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITIES)
     pairs = long.join(short, ["h", "k", "task"]).where(f"n_b <= n_a AND a <> b AND c_a <> c_b AND 9 * ({differ}) <= n_a + n_b").where(_can("n_a", "at_a", "n_b", "at_b"))
+    pairs = pairs.where(~F.arrays_overlap("before_a", "before_b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
