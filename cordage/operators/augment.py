@@ -197,10 +197,15 @@ def make_variants(examples: DataFrame, k: int, seed: str = "7", levels: tuple[fl
     Gives id (with the variant's number), group, transcript, wer_target, wer, start, stop, raw_span, asr_confidence, label,
     outcome. The span is the value's place in the noised text, null if nothing of it is left.
     """
+    return all_variants(examples, k, seed, levels).where("outcome <> 'dropped'")
+
+
+def all_variants(examples: DataFrame, k: int, seed: str = "7", levels: tuple[float, ...] = (0.05, 0.15, 0.25)) -> DataFrame:
+    """``make_variants`` with those that are dropped, so that ``outcomes`` can count them."""
     key = lambda: F.concat_ws(":", F.lit(seed), "id", F.col("k").cast("string"))
     rows = add_noise(variants(examples, k, levels), "transcript", F.col("wer"), key(), "start", "stop")
     seen = F.filter("tokens", lambda t: ~t["kind"].eqNullSafe("deleted"))
-    told = relabel(rows, "truth", F.col("field"), F.col("style")).where("outcome <> 'dropped'").withColumn("_seen", seen)
+    told = relabel(rows, "truth", F.col("field"), F.col("style")).withColumn("_seen", seen)
     first = F.array_position(F.transform("_seen", lambda t: t["in_value"]), True).cast("int")
     text = lambda ts: F.array_join(F.transform(ts, lambda t: t["text"]), " ")
     told = told.withColumn("_first", F.when((first > 0) & F.col("start").isNotNull(), first))
@@ -213,6 +218,23 @@ def make_variants(examples: DataFrame, k: int, seed: str = "7", levels: tuple[fl
     )
 
 
+def outcomes(made: DataFrame) -> DataFrame:
+    """``(kind, name, outcome, n, value)`` of ``made(task, outcome, wer_target, wer)`` as ``all_variants`` gives it.
+
+    ``labels``: how many variants of each task had each outcome, dropped ones too. ``wer_applied_mean``: the mean error rate of
+    what was kept at each target, to four digits. Sums are partial aggregates of one pass; an empty table gives no rows.
+    """
+    kept = F.col("outcome") != "dropped"
+    each = made.groupBy("task", "outcome", "wer_target").agg(F.count("*").alias("n"), F.sum(F.when(kept, F.col("wer"))).alias("s"), F.count(F.when(kept, F.col("wer"))).alias("m"))
+    sets = each.groupingSets([["task", "outcome"], ["wer_target"]], "task", "outcome", "wer_target")
+    rows = sets.agg(F.grouping("wer_target").alias("g"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("m").alias("m")).where("g = 1 OR m > 0")
+    label = F.col("g") == 1
+    return rows.select(
+        F.when(label, "labels").otherwise("wer_applied_mean").alias("kind"), F.when(label, F.col("task")).otherwise(F.col("wer_target").cast("string")).alias("name"), "outcome",
+        F.when(label, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(~label, F.round(F.try_divide("s", "m"), 4)).alias("value"),
+    )
+
+
 def variants(rows: DataFrame, k: int, levels: tuple[float, ...] = (0.05, 0.15, 0.25)) -> DataFrame:
     """Each row ``k`` times: the clean one (0), then the levels in turn."""
     n = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))

@@ -103,3 +103,12 @@ def call_switches(events: DataFrame, call: str, order: list[str]) -> DataFrame:
     over = Window.orderBy("_part")  # a row a partition
     between = ends.withColumn("_hit", (F.lag("last").over(over) != F.col("first")).cast("long")).agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("m"))
     return inside.join(between).select((F.col("n") + F.col("m")).alias("switches"))  # one row each
+
+
+def upper_median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """``(*keys, median, n)``: of n values in order the one at place n // 2, counted from 0; nulls don't count.
+
+    A group without values has a null median. Values are counted by value before they meet, so repeats cost nothing.
+    """
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
+    return rows.groupBy(*keys).agg(middle.alias("median"), F.count(value).alias("n"))

@@ -1,6 +1,6 @@
 """The registered queries; importing this package enters them all."""
 
-from . import call_queries, corpus_queries, queries, stream_queries
+from . import call_queries, corpus_queries, queries, rule_queries, stream_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "call_queries", "corpus_queries", "queries", "stream_queries"]
+__all__ = ["QUERIES", "SQL", "call_queries", "corpus_queries", "queries", "rule_queries", "stream_queries"]

@@ -33,6 +33,16 @@ def checked(specs: DataFrame) -> DataFrame:
     return specs.withColumn("pin", F.when(F.col("kind") == "url", F.col("sha256")).otherwise(F.col("revision")))
 
 
+def verified(specs: DataFrame) -> DataFrame:
+    """The checked sources whose licence a person has verified; only these are to be ingested (see ``unverified``)."""
+    return checked(specs).where("verified")
+
+
+def unverified(specs: DataFrame) -> DataFrame:
+    """``(name, license)`` of the checked sources that ``verified`` leaves out, to be reported."""
+    return checked(specs).where("not verified").select("name", "license")
+
+
 def contents(spark: SparkSession, folder: str) -> DataFrame:
     """``(file, bytes, sha256)`` of all files below a partition's folder ``files``, hashed by the executors (a file: up to 2 GB)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
