@@ -28,15 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+SPENT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # whether an execution's shuffle files go when it ends
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Later steps read columns of that table, not the plan behind it, and a lost executor costs
-    a reread. The files go with ``forget``, or when the application ends.
+    a reread. What was shuffled for it is no longer needed then, and goes at once, not when the driver next collects
+    garbage. The table's files go with ``forget``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(SPENT, "false")
+    spark.conf.set(SPENT, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SPENT, was)
     target, system = _target(spark, path)
     system.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
