@@ -38,8 +38,8 @@ from .common import bit_table, connected_components, cut, forget, releasing
 from .decontaminate import BASE, INVERSE, window_hashes
 
 WIDTH, STAR, BLOCK, SLICE = 5, 4, 1024, 512
-WORDS = 16  # of 64 bits each in a set's table of parities, a power of two
-BEFORE = 8  # shingles before its own that a row knows, so that a pair is made under the first that it shares
+WORDS = 8  # of 64 bits each in a set's table of parities, a power of two
+BEFORE = 4  # shingles before its own that a row knows, so that a pair is made under the first that it shares
 PARITIES = [f"odd{k}" for k in range(WORDS)]
 SAMPLE, COMMON, OFTEN = 4_000, 50_000, 3  # texts to look for common shingles, how many of them to know, the least count
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
