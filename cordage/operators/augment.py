@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spoken
+from ..functions.once import once
 
 #: Spellings of one sound, by which a word is written as another would hear it.
 SPELLINGS = [("v", "b"), ("b", "v"), ("z", "s"), ("ce", "se"), ("ci", "si"), ("ll", "y"), ("qu", "k"), ("ge", "je"), ("gi", "ji"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u")]
@@ -98,35 +99,37 @@ def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str |
     replaced by what it does: the word is drawn as much less often, as if it were put back and drawn again.
     """
     by = confusions or Confusions()
-    inside = (lambda i: F.lit(False)) if start is None else (lambda i: (i >= F.col("_from")) & (i < F.col("_to")))
     words = F.filter(F.split(text, " "), lambda x: x != "")
-    df = rows.withColumn("_words", words).withColumn("_key", key).withColumn("_wer", wer)
+    df = rows.withColumn("_words", words).withColumn("_key", key)
+    before = upto = F.lit(0)
     if start is not None:
-        before, upto = F.substring(text, F.lit(1), F.col(start)), F.substring(text, F.lit(1), F.col(end))
-        df = df.withColumn("_from", _count_words(before)).withColumn("_to", _count_words(upto))
+        before, upto = (_count_words(F.substring(text, F.lit(1), F.col(c))) for c in (start, end))
+    span = F.struct(before.alias("from"), upto.alias("to"))
     u = lambda what, i: draw(F.lit(what), F.col("_key"), i)
     core = lambda w: F.lower(F.regexp_replace(w, MARKS, ""))
     rules = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in by.spellings))
     df = df.withColumn("_homophones", _table(by.homophones)).withColumn("_mishearings", _table(by.mishearings)).withColumn("_rules", rules)
 
-    def token(w: Column, i: Column) -> Column:
-        c = core(w)
+    def token(x: Column, at: Column) -> Column:
+        w, c, i = x["w"], x["core"], x["i"]
+        inside = (i >= at["from"]) & (i < at["to"])
         free = (c != "") & ~c.isin(*by.protected)
         known = F.map_contains_key("_homophones", c) | F.map_contains_key("_mishearings", c) | F.exists("_rules", lambda r: F.instr(c, r["a"]) > 0)
         share = lambda may, of: F.when(may, of).otherwise(0.0)
-        return F.struct(w.alias("w"), c.alias("core"), i.alias("i"), inside(i).alias("in_value"), free.alias("free"), share(free & known, by.substitute).alias("sub"), share(free & c.isin(*by.deletable), by.delete).alias("del"))
+        return F.struct(w.alias("w"), c.alias("core"), i.alias("i"), inside.alias("in_value"), free.alias("free"), share(free & known, by.substitute).alias("sub"), share(free & c.isin(*by.deletable), by.delete).alias("del"))
 
-    df = df.withColumn("_tokens", F.transform("_words", token))
+    cores = F.transform("_words", lambda w, i: F.struct(w.alias("w"), core(w).alias("core"), i.alias("i")))
+    df = df.withColumn("_tokens", once(span, lambda at: F.transform(cores, lambda x: token(x, at))))
     filler_share = 1.0 - by.substitute - by.delete
     weight = lambda t: F.when(t["in_value"], VALUE_WEIGHT).otherwise(1.0) * (t["sub"] + t["del"] + filler_share)
     order = lambda t: F.when(t["free"], -F.log(u("order", t["i"]) + 1e-18) / weight(t))
-    df = df.withColumn("_order", F.transform("_tokens", order))
-    wanted = F.floor(F.col("_wer") * F.size("_words") + draw(F.lit("round"), F.col("_key"))).cast("int")
+    df = df.withColumn("_wanted", F.floor(wer * F.size("_words") + draw(F.lit("round"), F.col("_key"))).cast("int"))
+    df = df.withColumn("_order", F.when(F.col("_wanted") > 0, F.transform("_tokens", order)))  # rows without an edit need no draws of their words
     sorted_order = F.array_sort(F.filter("_order", lambda x: x.isNotNull()))
-    able = F.least(wanted, F.size(sorted_order))
-    df = df.withColumn("_cut", F.when(able > 0, F.element_at(sorted_order, F.greatest(able, F.lit(1)))).otherwise(-1.0))
+    able = F.least(F.col("_wanted"), F.size(sorted_order))
+    cut = F.when(able > 0, F.element_at(sorted_order, F.greatest(able, F.lit(1)))).otherwise(-1.0)
 
-    def edit(t: Column, o: Column) -> Column:
+    def edit(t: Column, o: Column, cut: Column) -> Column:
         c, w, pick, which = t["core"], t["w"], u("pick", t["i"]), u("table", t["i"])
         op = u("op", t["i"]) * (t["sub"] + t["del"] + filler_share)
         same, other = F.element_at("_homophones", c), F.element_at("_mishearings", c)
@@ -135,10 +138,10 @@ def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str |
         at = F.instr(c, rule["a"])
         respelled = F.concat(F.substring(c, F.lit(1), at - 1), rule["b"], F.substring(c, at + F.length(rule["a"]), F.length(c)))
         put = lambda new: F.replace(F.lower(w), c, new)
-        made = lambda new, kind: F.struct(new.alias("text"), w.alias("original"), F.lit(kind).alias("kind"), t["in_value"].alias("in_value"))
+        made = lambda new, kind: _edited(t, new, kind)
         filler = F.concat(w, F.lit(" "), _pick(F.array(*map(F.lit, by.fillers)), pick))
         return (
-            F.when(o.isNull() | (o > F.col("_cut")), made(w, None))
+            F.when(o.isNull() | (o > cut), made(w, None))
             .when((op < t["sub"]) & same.isNotNull() & (other.isNull() | (which < 0.5)), made(put(_pick(same, pick)), "homophone"))
             .when((op < t["sub"]) & other.isNotNull(), made(put(_pick(other, pick)), "mishearing"))
             .when(op < t["sub"], made(put(respelled), "respelled"))
@@ -146,10 +149,16 @@ def add_noise(rows: DataFrame, text: str, wer: Column, key: Column, start: str |
             .otherwise(made(filler, "filler"))
         )
 
-    df = df.withColumn("tokens", F.transform(F.arrays_zip("_tokens", "_order"), lambda z: edit(z["_tokens"], z["_order"])))
+    drawn = F.transform("_tokens", lambda t, i: F.struct(t.alias("t"), F.get("_order", i).alias("o")))
+    tokens = once(cut, lambda most: F.transform(drawn, lambda z: edit(z["t"], z["o"], most)))
+    df = df.withColumn("tokens", F.when(F.col("_wanted") > 0, tokens).otherwise(F.transform("_tokens", lambda t: _edited(t, t["w"], None))))
     edits = F.size(F.filter("tokens", lambda t: t["kind"].isNotNull()))
     df = df.withColumn("noised", shown(F.col("tokens"))).withColumn("measured", F.when(F.size("_words") > 0, edits / F.size("_words")).otherwise(0.0))
-    return df.drop("_words", "_key", "_wer", "_tokens", "_order", "_cut", "_homophones", "_mishearings", "_rules", "_from", "_to")
+    return df.drop("_words", "_key", "_tokens", "_wanted", "_order", "_homophones", "_mishearings", "_rules")
+
+
+def _edited(token: Column, new: Column, kind: str | None) -> Column:
+    return F.struct(new.alias("text"), token["w"].alias("original"), F.lit(kind).cast("string").alias("kind"), token["in_value"].alias("in_value"))
 
 
 def shown(tokens: Column) -> Column:
