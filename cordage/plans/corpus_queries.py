@@ -21,7 +21,7 @@ from ..operators import examples as X
 from ..operators import gold as G
 from ..operators import review
 from ..sources import lines, sinks
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, spread, table
 from .queries import FOLD, SCORED
 from .registry import query
 
@@ -269,7 +269,7 @@ def relabel_email(spark, d):
 def variant_rows(spark, d):
     digits = F.concat(F.lit("55"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
     said = spoken.say_phone(digits)
-    rows = table(spark, d, "customer").select(F.concat(F.lit("x"), "c_custkey").alias("id"), F.col("c_name").alias("group"), F.lit("phone").alias("field"), F.lit("pairs").alias("style"), F.concat(F.lit("mi número es "), said).alias("transcript"), F.lit(13).alias("start"), (F.length(said) + 13).alias("stop"), F.concat(F.lit("+52"), digits).alias("truth"))
+    rows = spread(table(spark, d, "customer"), "c_custkey").select(F.concat(F.lit("x"), "c_custkey").alias("id"), F.col("c_name").alias("group"), F.lit("phone").alias("field"), F.lit("pairs").alias("style"), F.concat(F.lit("mi número es "), said).alias("transcript"), F.lit(13).alias("start"), (F.length(said) + 13).alias("stop"), F.concat(F.lit("+52"), digits).alias("truth"))
     made = A.make_variants(rows, 4)
     sound = F.substring("transcript", F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("raw_span")
     clean = (F.col("wer_target") > 0) | ((F.col("outcome") == "kept") & (F.col("wer") == 0))
