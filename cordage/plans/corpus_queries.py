@@ -249,7 +249,7 @@ def spoken_styles_all(spark, d):
     for k, style in enumerate(("digits", "pairs", "triples", "mixed", "correction")):
         phone = F.when(i % 5 == k, spoken.say_phone(digits, style)).otherwise(phone)
     mail = F.when(i % 3 == 0, spoken.say_email(email)).when(i % 3 == 1, spoken.say_email(email, "spelled")).otherwise(spoken.say_email(email, "mixed"))
-    said = table(spark, d, "customer").select("c_custkey", phone.alias("p"), mail.alias("e"))
+    said = spread(table(spark, d, "customer"), "c_custkey").select("c_custkey", phone.alias("p"), mail.alias("e"))
     return said.select("c_custkey", spoken.read_phones("p").alias("phone"), spoken.read_emails("e").alias("email"))
 
 

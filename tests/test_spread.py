@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cordage.plans import queries
+from cordage.plans import QUERIES, queries
 from cordage.sources.tables import spread
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +19,7 @@ def test_spread_keeps_rows(spark):
 
 def test_noise_is_dealt_to_all_cores(spark):
     assert tasks(queries._noised(spark, SF)) >= 3 * 4
+
+
+def test_values_said_are_read_on_all_cores(spark):
+    assert tasks(QUERIES["spoken_styles_all"](spark, SF)) >= 3 * 4
