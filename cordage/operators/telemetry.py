@@ -51,7 +51,10 @@ def kpi_hourly(events: DataFrame) -> DataFrame:
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("started_hour")
     k = F.get_json_object("props", "$.k").cast("long")
     rate = F.round(F.avg((k >= 50).cast("double")), 6).alias("valid_rate")
-    return events.groupBy(hour).agg(F.countDistinct("user_id").alias("calls"), F.count("*").alias("turns"), F.percentile_approx("value", 0.5, ACCURACY).alias("value_p50"), F.percentile_approx("value", 0.95, ACCURACY).alias("value_p95"), rate)
+    rest = events.groupBy(hour).agg(F.count("*").alias("turns"), F.percentile_approx("value", 0.5, ACCURACY).alias("value_p50"), F.percentile_approx("value", 0.95, ACCURACY).alias("value_p95"), rate)
+    # calls are counted apart: beside a distinct count, Spark would keep and merge the percentiles' sketches for each call
+    calls = events.groupBy(hour.alias("_hour")).agg(F.countDistinct("user_id").alias("calls"))
+    return rest.join(calls, F.col("started_hour").eqNullSafe(F.col("_hour"))).select("started_hour", "calls", "turns", "value_p50", "value_p95", "valid_rate")
 
 
 def kpi_by(events: DataFrame, key: str) -> DataFrame:
@@ -61,7 +64,10 @@ def kpi_by(events: DataFrame, key: str) -> DataFrame:
 def summary(events: DataFrame) -> DataFrame:
     share = lambda t: F.round(F.try_divide(F.count_if(F.col("event_type") == t), F.count("*")), 6).alias(f"{t}_rate")
     ratio = F.round(F.try_divide(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), F.sum("value")), 6).alias("error_value_share")
-    return events.agg(F.count("*").alias("turns"), F.countDistinct("user_id").alias("calls"), share("purchase"), share("error"), share("signup"), F.percentile_approx("value", 0.5, ACCURACY).alias("value_p50"), F.percentile_approx("value", 0.95, ACCURACY).alias("value_p95"), ratio)
+    rest = events.agg(F.count("*").alias("turns"), share("purchase"), share("error"), share("signup"), F.percentile_approx("value", 0.5, ACCURACY).alias("value_p50"), F.percentile_approx("value", 0.95, ACCURACY).alias("value_p95"), ratio)
+    # calls are counted apart, as in ``kpi_hourly``
+    calls = events.agg(F.countDistinct("user_id").alias("calls"))
+    return rest.join(calls).select("turns", "calls", "purchase_rate", "error_rate", "signup_rate", "value_p50", "value_p95", "error_value_share")  # one row each
 
 
 def sequence_numbers(events: DataFrame) -> DataFrame:

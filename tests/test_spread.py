@@ -23,3 +23,10 @@ def test_noise_is_dealt_to_all_cores(spark):
 
 def test_values_said_are_read_on_all_cores(spark):
     assert tasks(QUERIES["spoken_styles_all"](spark, SF)) >= 3 * 4
+
+
+def test_percentiles_are_not_kept_for_each_call(spark):
+    for name in ("kpi_summary", "kpi_hourly", "kpi_hourly_full"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        keys = [line.split("functions=")[0] for line in plan.splitlines() if "percentile_approx" in line and "functions=" in line]
+        assert keys and not any("user_id" in k or "call_id" in k for k in keys)
