@@ -66,7 +66,8 @@ def candidates(replies: DataFrame) -> DataFrame:
     task = F.col("task")
     # cleaned and judged before they are rows: a filter on the reason would compute the text anew wherever its rules name it
     told = lambda c: once(clean(c), lambda x: F.struct(x.alias("text"), reject_reason(task, x).alias("reason")))
-    rows = replies.select("task", "label", "place", F.posexplode(F.transform(read_reply(F.col("reply")), told)).alias("at", "_p"))
+    # an inner explode would have Spark test the array for rows first, and so compute it again
+    rows = replies.select("task", "label", "place", F.posexplode_outer(F.transform(read_reply(F.col("reply")), told)).alias("at", "_p")).where("at is not null")
     return rows.select("task", "label", "place", "at", "_p.text", key(task, F.col("label"), F.col("_p.text")).alias("key"), "_p.reason")
 
 
