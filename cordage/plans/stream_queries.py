@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import calls
 from ..operators import warehouse as W
 from ..sources import sinks
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, spread, table
 from ..streaming import actions, delivery, ordered, sessions, topic_log
 from ..streaming import events as S
 from .call_queries import SILVER_SQL, STAR_SQL, _silver, call_lines
@@ -145,7 +145,7 @@ def silver_written(spark, d):
 def published_manifest(spark, d):
     """Documents published twice, in other files: the manifests' digests are equal, and no file differs from its hash."""
     folder, docs = _folder(spark), table(spark, d, "documents")
-    sinks.publish(docs, f"{folder}/a", manifest={"source": "documents"}), sinks.publish(docs.repartition(3), f"{folder}/b")
+    sinks.publish(docs, f"{folder}/a", manifest={"source": "documents"}), sinks.publish(spread(docs, "doc_id"), f"{folder}/b")
     a, b = (sinks.published_manifest(spark, f"{folder}/{x}") for x in "ab")
     changed = sinks.changed_files(spark, f"{folder}/a").unionByName(sinks.changed_files(spark, f"{folder}/b"))
     return changed.agg(F.lit(a["rows"]).cast("long").alias("rows"), F.count("*").alias("changed"), F.lit(a["content"] == b["content"]).alias("same"))
