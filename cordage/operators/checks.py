@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import structured
+from ..functions.once import once
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,16 @@ TASKS = ("extract_entity", "parse_datetime", "classify_intent", "is_real_interru
 
 def problems(payload: Column, kind: Column, rules: dict[str, Rule]) -> Column:
     """Names of what is wrong, in order: ``not_an_object``, ``unknown_type``, ``missing:x``, ``not_allowed:x``, ``out_of_bounds:x``."""
+    parts = F.struct(payload.alias("payload"), F.json_object_keys(payload).alias("keys"), kind.alias("kind"))
+    return once(parts, lambda x: _problems(x["payload"], x["keys"], x["kind"], rules))
+
+
+def _problems(payload: Column, keys: Column, kind: Column, rules: dict[str, Rule]) -> Column:
     get = lambda name: F.get_json_object(payload, f"$.{name}")
-    keys = F.json_object_keys(payload)
     found = [F.when(keys.isNull(), "not_an_object"), F.when(kind.isNull() | ~kind.isin(*rules), "unknown_type")]
     of = lambda what: {n: [t for t, r in rules.items() if n in getattr(r, what)] for r in rules.values() for n in getattr(r, what)}
     for name, types in of("required").items():
-        found.append(F.when(keys.isNotNull() & kind.isin(*types) & ~F.array_contains(keys, name), f"missing:{name}"))
+        found.append(F.when(kind.isin(*types) & keys.isNotNull() & ~F.array_contains(keys, name), f"missing:{name}"))
     for what, label in (("vocabulary", "not_allowed"), ("bounds", "out_of_bounds")):
         for name, types in of(what).items():
             value = get(name)
@@ -96,11 +100,6 @@ def _wrong_kind(v: Column, name: str, kind: str) -> Column:
     return ~F.coalesce(right, F.lit(kind == "number|null"))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with the value computed once a row, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _parsed(line: Column) -> Column:
     part = lambda name: F.get_json_object(line, f"$.{name}").alias(name)
     return F.struct(F.try_parse_json(line).alias("v"), F.json_object_keys(line).alias("keys"), part("payload"), part("input"), part("output"), part("meta"))
@@ -125,7 +124,7 @@ def event_problems(line: Column, rules: dict[str, Rule] | None = None) -> Column
     ``value:k``, then the payload's ``payload_type:k`` and ``problems``. Null and empty lines are ``not_json``. Numbers such as
     1.0 are whole, as JSON Schema has it.
     """
-    return _once(_parsed(line), lambda x: _event_problems(x, EVENTS if rules is None else rules))
+    return once(_parsed(line), lambda x: _event_problems(x, EVENTS if rules is None else rules))
 
 
 def _event_problems(x: Column, rules: dict[str, Rule]) -> Column:
@@ -136,7 +135,7 @@ def _event_problems(x: Column, rules: dict[str, Rule]) -> Column:
     kinds = {"event_id": "string", "call_id": "string", "seq": "integer", "ts": "string", "payload": "object"}
     bad = {
         "event_id": ~of("event_id").rlike(UUID), "call_id": of("call_id") == "", "seq": number("seq") < 0,
-        "ts": ~of("ts").rlike(TIME) | F.try_to_timestamp(F.upper(of("ts"))).isNull(),
+        "ts": ~of("ts").rlike(TIME) | F.try_to_timestamp(F.translate(of("ts"), "tz", "TZ")).isNull(),
     }
     found = [F.when(_others(keys, ENVELOPE), "extra_keys"), *(F.when(~there(k), f"missing:{k}") for k in ENVELOPE)]
     found.append(F.when(there("schema_version") & (_wrong_kind(v, "schema_version", "integer") | (number("schema_version") != VERSION)), "version"))
@@ -144,15 +143,21 @@ def _event_problems(x: Column, rules: dict[str, Rule]) -> Column:
         wrong = _wrong_kind(v, k, kind)
         found.append(F.when(there(k) & wrong, f"type:{k}").when(there(k) & bad.get(k, F.lit(False)), f"value:{k}"))
     kind = F.when(~_wrong_kind(v, "type", "string"), of("type"))
-    inner, inside = F.try_variant_get(v, "$.payload", "variant"), F.json_object_keys(payload)
+    parts = F.struct(kind.alias("kind"), F.try_variant_get(v, "$.payload", "variant").alias("inner"), F.json_object_keys(payload).alias("inside"))
+    told = once(parts, lambda p: _payload_problems(p, payload, keys, rules))
+    whole = F.concat(F.array_compact(F.array(*found)), told)
+    return F.when(v.isNull(), F.array(F.lit("not_json"))).when(keys.isNull(), F.array(F.lit("not_object"))).otherwise(whole)
+
+
+def _payload_problems(p: Column, payload: Column, keys: Column, rules: dict[str, Rule]) -> Column:
+    kind, inner, inside, found = p["kind"], p["inner"], p["inside"], []
     named = {(n, r.kind(n)) for r in rules.values() for n in (*r.required, *r.vocabulary, *r.bounds)}
     for name, k in sorted((n, k) for n, k in named if k != "any"):
         types = [t for t, r in rules.items() if name in (*r.required, *r.vocabulary, *r.bounds) and r.kind(name) == k]
         found.append(F.when(kind.isin(*types) & F.array_contains(inside, name) & _wrong_kind(inner, name, k), f"payload_type:{name}"))
     # a payload that is no object is told once, by its type; an event without a type by what is missing
-    within = F.when(inside.isNotNull() & there("type"), problems(payload, kind, rules)).otherwise(F.array().cast("array<string>"))
-    whole = F.concat(F.array_compact(F.array(*found)), within)
-    return F.when(v.isNull(), F.array(F.lit("not_json"))).when(keys.isNull(), F.array(F.lit("not_object"))).otherwise(whole)
+    within = F.when(inside.isNotNull() & F.array_contains(keys, "type"), _problems(payload, inside, kind, rules)).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_compact(F.array(*found)), within)
 
 
 def example_line_problem(line: Column) -> Column:
@@ -161,7 +166,7 @@ def example_line_problem(line: Column) -> Column:
     ``not_json``, ``not_object``, ``extra_keys``, ``missing:k``, ``version``, ``type:k``, ``meta`` (no object, or its ``wer``
     not a number from 0 to 1), then ``row_problem``. Null and empty lines are ``not_json``.
     """
-    return _once(_parsed(line), _example_problem)
+    return once(_parsed(line), _example_problem)
 
 
 def _example_problem(x: Column) -> Column:

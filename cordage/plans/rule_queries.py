@@ -8,7 +8,7 @@ from ..operators import augment as A
 from ..operators import checks, dialogue
 from ..operators import telemetry as E
 from ..sources import ingest
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 
@@ -35,7 +35,7 @@ def event_line_check(spark, d):
     ]
     line = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
     line = F.when(is_(29), F.lit('{"type": ')).when(is_(31), F.lit("[]")).otherwise(line)
-    rows = table(spark, d, "events").select(line.alias("line"))
+    rows = spread(table(spark, d, "events"), "event_id").select(line.alias("line"))
     return rows.select(F.explode(checks.event_problems(F.col("line"))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
