@@ -19,23 +19,34 @@ from .queries import CALL_STATE, _span, call_turns
 from .registry import query
 
 PARTS = 4  # batches of a stream
+FILE_ROWS = 50_000  # a batch of more rows has more files
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, folder: str) -> int:
+    fs, files = sinks._fs(spark, f"{folder}/*.parquet")
+    return len(fs.globStatus(files))
+
+
 def _dealt(rows: DataFrame, part, folder: str, *then: DataFrame) -> DataFrame:
-    """``rows`` as a stream of files, a batch each, in order of ``part``; ``then`` come after them."""
+    """``rows`` as a stream of files, a batch of files each, in order of ``part``; ``then`` come after them.
+
+    A batch has as many files as the input asks for, at most one a core, so that all cores write and read it.
+    """
     spark = rows.sparkSession
     rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(f"{folder}-dealt")
     dealt = spark.read.schema(f"{rows._jdf.schema().toDDL()}, _part int").parquet(f"{folder}-dealt")
-    for k in range(PARTS):  # one after the other: files are read in the order of their times
-        dealt.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    for more in then:
-        more.coalesce(1).write.mode("append").parquet(folder)
+    each = max(1, min(spark.sparkContext.defaultParallelism, dealt.count() // (PARTS * FILE_ROWS)))
+    parts = [dealt.where(F.col("_part") == k).drop("_part").coalesce(each) for k in range(PARTS)]
+    for k, batch in enumerate([*parts, *(more.coalesce(1) for more in then)]):  # one after the other: files are read in the order of their times
+        batch.write.mode("append").parquet(folder)
+        for _ in range((k + 1) * each - _files(spark, folder)):  # a batch of fewer files is filled with empty ones
+            batch.limit(0).write.mode("append").parquet(folder)
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(folder)
 
 
 def _shuffled_turns(spark: SparkSession, d: str, folder: str) -> tuple[DataFrame, str]:
@@ -86,10 +97,12 @@ def stream_contacts(spark, d):
     write = actions.writer(f"{folder}/contacts", F.col("call") % 20)
 
     def twice(moved: DataFrame, batch: int) -> None:
+        moved = moved.persist()  # calls are moved on once, however often that is written
         write(moved, batch), write(moved, batch)
         if batch == 1:
             actions.compact(spark, f"{folder}/contacts")
             write(moved, batch)
+        moved.unpersist()
 
     with ordered.keyed_state(spark):
         ordered.ordered_calls(turns, "1 hour", span).writeStream.outputMode("update").foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

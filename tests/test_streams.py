@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cordage.operators import calls
 from cordage.operators import warehouse as W
-from cordage.plans import call_queries
+from cordage.plans import call_queries, stream_queries
 from cordage.sources import sinks
 from cordage.streaming import actions, delivery, ordered, sessions
 
@@ -89,6 +89,123 @@ def test_a_gap_is_waited_for_then_skipped_and_late_turns_counted(spark, tmp_path
     assert {r["call"] for r in moved} == {1, 2, 9}
 
 
+class Kept:
+    """A state store in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers, self.asked = None, {}, set(), 0
+
+    def getValueState(self, name, *schema):  # noqa: N802
+        return self
+
+    getMapState = getValueState
+
+    def _ask(self, out=None):
+        self.asked += 1
+        return out
+
+    exists = lambda self: self._ask(self.value is not None)
+    get = lambda self: self._ask(self.value)
+    containsKey = lambda self, k: self._ask(k in self.entries)  # noqa: E731, N815
+    getValue = lambda self, k: self._ask(self.entries[k])  # noqa: E731, N815
+    removeKey = lambda self, k: self._ask(self.entries.pop(k))  # noqa: E731, N815
+    keys = lambda self: self._ask(list(self.entries))
+    values = lambda self: self._ask(list(self.entries.values()))
+    listTimers = lambda self: self._ask(list(self.timers))  # noqa: E731, N815
+    registerTimer = lambda self, t: self._ask(self.timers.add(t))  # noqa: E731, N815
+    deleteTimer = lambda self, t: self._ask(self.timers.remove(t))  # noqa: E731, N815
+
+    def update(self, value):
+        self.value = self._ask(value)
+
+    def updateValue(self, k, value):  # noqa: N802
+        self.entries[k] = self._ask(value)
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def moves(batches, patience=60_000, expired=()):
+    """What a call gives for each batch of ``(seq, ts, intent, confidence, value)``, and its store."""
+    from pyspark.sql import Row
+
+    store, of, out = Kept(), ordered.OrderedCalls(patience), []
+    of.init(store)
+    turn = Row("call", "seq", "ts", "intent", "confidence", "value")
+    for rows in batches:
+        out += of.handleInputRows((7,), iter([turn(7, *r) for r in rows]), At(0))
+    for t in expired:
+        out += of.handleExpiredTimer((7,), At(t), None)
+    return out, store
+
+
+def said(n, rng):
+    import datetime as dt
+
+    return [(k, dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=k), rng.choice(["gives", "confirmed", "out_of_scope"]), rng.choice([0.5, 0.9]), rng.choice(["v", "w", None])) for k in range(n)]
+
+
+def test_early_turns_cost_the_state_store_few_messages():
+    turns = said(600, random.Random(2))[::-1]
+    out, store = moves([turns[:-1], turns[-1:]])
+    assert [(r["next"], r["held"]) for r in out] == [(0, 599), (600, 0)] and not store.entries and not store.timers
+    assert store.asked < 30
+
+
+def test_held_turns_of_any_number_end_as_in_order(monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK", 4), monkeypatch.setattr(ordered, "CHUNK", 7), monkeypatch.setattr(ordered, "OPEN", 2)
+    for seed in range(40):
+        rng = random.Random(seed)
+        turns = said(rng.randrange(1, 90), rng)
+        parts = [[] for _ in range(4)]
+        for t in turns:
+            parts[rng.randrange(4)].append(t)
+        for p in parts:
+            rng.shuffle(p)
+        gap = seed % 2 and len(turns) > 1
+        parts = [[t for t in p if not gap or t[0]] for p in parts]  # the first turn never comes
+        parts[3] += parts[0]  # repeats
+        out, store = moves([p for p in parts if p])
+        taken = 0
+        for p, r in zip([p for p in parts if p], out, strict=True):
+            taken += len({t[0] for t in p}) if p is not parts[3] else len({t[0] for t in p} - {t[0] for t in parts[0]})
+            assert r["next"] + r["held"] == taken
+        if gap:
+            assert store.timers == {min(int(t[1].timestamp() * 1000) for t in turns[1:]) + 60_000} and out[-1]["next"] == 0
+            out, store = moves([p for p in parts if p], expired=sorted(store.timers))
+        state, wrote = calls.begin(), []
+        for t in turns[1 if gap else 0 :]:
+            state = calls.step(state, t[2], t[3], t[4])
+            wrote += [(t[1], *state["action"])] if state["action"] else []
+        last = out[-1]
+        assert (last["next"], last["held"], last["skipped"], last["late"]) == (len(turns), 0, int(gap), len(parts[0])) and not store.entries
+        assert tuple(last[:8]) == (7, len(turns), *calls._row(7, state)[1:]) and [tuple(a) for r in out for a in r["actions"]] == wrote
+
+
+def test_batches_of_many_files_hold_one_part_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 10)
+    rows, seen = spark.range(1000).repartition(8), []
+    few = spark.range(5000, 5001)  # a batch of one row comes alone too
+    stream = stream_queries._dealt(rows, F.when(F.col("id") < 3, 0).otherwise(1 + F.col("id") % 3), f"{tmp_path}/in", few, few)
+    stream.writeStream.foreachBatch(lambda b, k: seen.append(sorted(r.id for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [[0, 1, 2], *([i for i in range(3, 1000) if i % 3 == k] for k in range(3)), [5000], [5000]]
+    assert stream_queries._files(spark, f"{tmp_path}/in") == 6 * 4  # as many as there are cores
+
+
+def test_a_batch_that_is_written_again_is_not_computed_again(spark, monkeypatch):
+    kept, writer = [], actions.writer
+
+    def spy(path, contact):
+        write = writer(path, contact)
+        return lambda moved, batch: (kept.append(moved.storageLevel.useMemory), write(moved, batch))
+
+    monkeypatch.setattr(actions, "writer", spy)
+    stream_queries.stream_contacts(spark, "/root/testdata/sf0.001")
+    assert len(kept) > 8 and all(kept)
+
+
 EVENT = "event_id string, call_id string, event_ts timestamp_ntz, type string, interrupted boolean, tool string, outcome string, turns int, flow string, contact_id string, model_version string, prompt_hash string, synthetic boolean"
 
 
