@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import iso_millis
 from ..operators import warehouse as W
-from ..sources.tables import settle, table
+from ..sources.tables import settle, spread, table
 from .registry import query
 
 START_MS = 1_709_251_200_000  # 2024-03-01, midnight UTC
@@ -46,7 +46,7 @@ def call_lines(spark, d) -> DataFrame:
     partials = F.transform(F.sequence(F.lit(0).cast("long"), n % 3), lambda k: F.struct(F.lit("asr_partial").alias("type"), (k + 100).alias("offset"), k.alias("k"), F.to_json(F.struct(turn, F.col("text"))).alias("payload")))
     heard = [event("turn_started", 0, turn, F.lit("agent").alias("speaker")), event("tts_done", 500, turn, "text", ms(900, "duration_ms"))]
     each = F.when(F.col("person"), F.concat(F.array(*said), F.filter(partials, lambda x: x["k"] < n % 3))).otherwise(F.array(*heard))
-    told = rows.select("conv_id", "turn", "n", F.explode(each).alias("e")).where("e is not null").select("conv_id", "turn", "n", "e.*")
+    told = spread(rows, "conv_id", "turn").select("conv_id", "turn", "n", F.explode(each).alias("e")).where("e is not null").select("conv_id", "turn", "n", "e.*")
     whole = rows.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count("*").cast("int").alias("turns"), F.min("turn").alias("first"))
     c = F.col("conv_id")
     started = event("call_started", -1000, F.when(c % 2 == 0, "validate_contact").otherwise("confirm_appointment").alias("flow"), F.concat(F.lit("c"), c % 50).alias("contact_id"), F.concat(F.lit("m"), c % 3).alias("model_version"), F.substring(F.sha2(c.cast("string"), 256), 1, 12).alias("prompt_hash"), F.lit(True).alias("synthetic"))

@@ -21,6 +21,12 @@ def test_noise_is_dealt_to_all_cores(spark):
     assert tasks(queries._noised(spark, SF)) >= 3 * 4
 
 
+def test_call_events_are_told_on_all_cores(spark):
+    from cordage.plans import call_queries
+
+    assert tasks(call_queries.call_lines(spark, SF)) >= 3 * 4
+
+
 def test_values_said_are_read_on_all_cores(spark):
     assert tasks(QUERIES["spoken_styles_all"](spark, SF)) >= 3 * 4
 
