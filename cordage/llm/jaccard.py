@@ -9,15 +9,19 @@ of each other.
    is found is verified on the full sets. Fingerprints within three bits are not all that is 4/5 similar,
    so two further steps complete the search.
 2. In one order of all shingles, two sets within the similarity share a shingle among the first
-   n - ceil(4n/5) + 1 of each (n its size), whatever the order. Common shingles, known from a sample,
-   come last, which keeps groups small. Shingles under which one node stands are sifted out by a bit
-   table before rows are joined. The nodes under a shingle are compared with one of them: each node with
-   the ``STAR`` centres that it shares most shingles with.
-3. Nodes under one shingle that no path joins by then are compared all with all, by size, place and
-   parity: a set whose first shared shingle stands at some place can be similar only to sets of certain
-   sizes, so the nodes are joined by classes of size; and every element that two sets do not share
-   changes at most one bit of a table of parities, so tables that differ in more bits than similar sets
-   of these sizes may differ in elements rule a pair out. Large groups are dealt to several tasks.
+   n - ceil(4n/5) + 1 of each (n its size), whatever the order. Common shingles, known from a sample that
+   grows with the input, come last, which keeps groups small. Shingles under which one node stands are
+   sifted out by a bit table before rows are joined. The nodes under a shingle are compared with one of
+   them: each node with the ``STAR`` centres that it shares most shingles with.
+3. Nodes under one shingle that no path joins by then are compared all with all, by size and place: a set
+   whose first shared shingle stands at some place can be similar only to sets of certain sizes. Only ids,
+   sizes and places are shuffled for that. Large groups are dealt to several tasks. Of the pairs that are
+   left, those with the most alike parities are verified first, ``STAR`` for each node, and then those that
+   no path joins even so.
+
+Before full sets are read, a pair must pass by parities: every element that two sets do not share changes
+at most one bit of a table of parities, so tables that differ in more bits than similar sets of these
+sizes may differ in elements rule a pair out. A set's table has as many bits as the set has elements.
 
 So a large group of copies costs rows, not pairs; every candidate is verified on the full sets.
 """
@@ -38,10 +42,10 @@ from .common import bit_table, connected_components, cut, forget, releasing
 from .decontaminate import BASE, INVERSE, window_hashes
 
 WIDTH, STAR, BLOCK, SLICE = 5, 4, 1024, 512
-WORDS = 8  # of 64 bits each in a set's table of parities, a power of two
+LEAST_BITS = 512  # in a set's table of parities, a power of two
 BEFORE = 4  # shingles before its own that a row knows, so that a pair is made under the first that it shares
-PARITIES = [f"odd{k}" for k in range(WORDS)]
-SAMPLE, COMMON, OFTEN = 4_000, 50_000, 3  # texts to look for common shingles, how many of them to know, the least count
+SAMPLE, SHARE, COMMON, OFTEN = 4_000, 32, 200_000, 3  # texts to look for common shingles, or one in so many; how many of them to know, the least count
+CHUNK = 1 << 16  # rows under shingles that are compared at once, beside a group's rest
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
 
 
@@ -86,10 +90,26 @@ def _node(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(own.tobytes(), 42), np.uint64).view(np.int64))
 
 
-def _parities(own: np.ndarray) -> np.ndarray:
-    """Bit i tells whether an odd number of elements falls on it."""
-    odd = np.bincount((own >> np.uint64(65 - (64 * WORDS).bit_length())).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _parities(own: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of elements falls on it; there are as many bits as elements, rounded up to a power of two."""
+    bits = max(LEAST_BITS, 1 << (len(own) - 1).bit_length() if len(own) else 0)
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many bits two tables of parities differ, row by row; the longer one is folded to the length of the shorter."""
+    lengths = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in (x, y)]
+    out = np.zeros(len(x), np.int64)
+    for shape in set(zip(*(n.tolist() for n in lengths), strict=True)):
+        at, tables = np.flatnonzero((lengths[0] == shape[0]) & (lengths[1] == shape[1])), []
+        for c, width in zip((x, y), shape, strict=True):
+            t = np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), width)
+            while t.shape[1] > min(shape):
+                t = t[:, : t.shape[1] // 2] ^ t[:, t.shape[1] // 2 :]
+            tables.append(t)
+        out[at] = np.bitwise_count(tables[0] ^ tables[1]).sum(1)
+    return out
 
 
 def prefix_length(n: int) -> int:
@@ -97,21 +117,24 @@ def prefix_length(n: int) -> int:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many texts of a sample hold; it only sets the order."""
+    """Sorted hashes of shingles that many texts of a sample hold; it only sets the order.
+
+    As the sample grows with the input, what it misses is held by about as few texts, however many there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.zeros(0, np.uint64), *(shingle_set(t.as_py()) for t in b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    texts = docs.select(F.col("text").cast("string").alias("text")).sample(min(1.0, SAMPLE / max(1, docs.count())), 42)
+    texts = docs.select(F.col("text").cast("string").alias("text")).sample(min(1.0, max(SAMPLE / max(1, docs.count()), 1 / SHARE)), 42)
     often = texts.mapInArrow(releasing(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     return np.sort(often.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """``(doc_id, text_hash, node, n, fp, prefix)`` per row: the text's XXH64 as Spark has it, the set's name and size, the
-    text's fingerprint and the shingles that the set is found by."""
+    text's fingerprint, the shingles that the set is found by and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
@@ -122,13 +145,12 @@ def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
                 nodes.append(_node(own)), sizes.append(len(own)), fps.append(simhash.fingerprint_of(h)), odd.append(_parities(own))
                 first.append((np.concatenate([own[~known], own[known]])[: prefix_length(len(own))] & np.uint64(SHORT)).view(np.int64))
-            columns = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
-            columns += [pa.array(c) for c in np.stack(odd).T]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "prefix", *PARITIES])
+            columns = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "prefix", "odd"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(releasing(run), "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>" + "".join(f", {c} long" for c in PARITIES))
+    return rows.mapInArrow(releasing(run), "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>, odd binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -147,19 +169,29 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(run), "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are at least 4/5 similar."""
-    size = nodes.select("node", "n", "prefix")
-    near = pairs.join(size.toDF("a", "n_a", "p_a"), "a").join(size.toDF("b", "n_b", "p_b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    # beyond what both prefixes share, no more can be shared than what lies behind one of them
-    most = F.size(F.array_intersect("p_a", "p_b")) + F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
-    near = cut(near.where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, n_a, n_b, far)`` of those of ``pairs(a, b)`` that sizes and parities let be 4/5 similar; far: the share of bits that differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            differ, both = _differing(b.column(4), b.column(5)), b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            near = np.flatnonzero(9 * differ <= both)
+            far = pa.array((differ / np.maximum(both, 1))[near].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(near)) for i in range(4)), far], ["a", "b", "n_a", "n_b", "far"])
+
+    size = nodes.select("node", "n", "odd")
+    near = pairs.join(size.toDF("a", "n_a", "odd_a"), "a").join(size.toDF("b", "n_b", "odd_b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    return near.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(releasing(run), "a long, b long, n_a int, n_b int, far float")
+
+
+def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``near(a, b, n_a, n_b)`` whose sets are at least 4/5 similar; ``near`` is read twice."""
     own = cut(nodes.select("node", "doc_id").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     sets = cut(_sets(docs, own))
     full = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     links = cut(full.where(9 * both >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-    forget(near, own, sets)
+    forget(own, sets)
     return links
 
 
@@ -168,31 +200,64 @@ def _can(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
     return 9 * F.least(F.col(n_a) - F.col(at_a), F.col(n_b) - F.col(at_b)) >= 4 * (F.col(n_a) + F.col(n_b))
 
 
-def _class(n: Column) -> Column:
-    return F.floor(F.log(F.greatest(n, F.lit(1))) / np.log(1.08)).cast("int")
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b)``: the pairs of each group of ``(h, pair)`` that sizes and places allow, of different components.
 
+    Rows come sorted by group and size; a group that goes over a chunk's end is carried on (it is bounded).
+    """
 
-def _apart(rows: DataFrame, parities: DataFrame, comp: DataFrame, block: int) -> DataFrame:
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        h, pair, own, node, n, at, c = (t.column(k).to_numpy() for k in ("h", "pair", "own", "node", "n", "at", "c"))
+        before = np.stack([t.column(f"before{k}").to_numpy() for k in range(BEFORE)])
+        new = np.append(True, (h[1:] != h[:-1]) | (pair[1:] != pair[:-1]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(h)))
+        last, within = np.repeat(start + size, size), (pair >> 31) == (pair & ((1 << 31) - 1))
+        n, at, found, i, lag = n.astype(np.int64), at.astype(np.int64), ([], []), np.arange(len(h)), 0
+        while len(i):
+            lag += 1
+            i = i[i + lag < last[i]]
+            i = i[4 * n[i + lag] <= 5 * n[i]]  # the next are larger still
+            j = i + lag
+            can = (c[i] != c[j]) & (within[i] | (own[i] != own[j])) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
+            x, y = i[can], j[can]
+            known = ((before[:, None, x] == before[None, :, y]) & (before[:, None, x] >= 0)).any((0, 1))
+            found[0].append(node[x[~known]]), found[1].append(node[y[~known]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
+        once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in once], ["a", "b"])
+
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        rest.append(b)
+        if sum(r.num_rows for r in rest) < CHUNK:
+            continue
+        t = pa.Table.from_batches(rest).combine_chunks()
+        h, pair = t.column("h").to_numpy(), t.column("pair").to_numpy()
+        cutoff = int(np.flatnonzero((h == h[-1]) & (pair == pair[-1]))[0])
+        rest = t.slice(cutoff).to_batches()
+        if cutoff:
+            yield pairs(t.slice(0, cutoff))
+    if sum(r.num_rows for r in rest):
+        yield pairs(pa.Table.from_batches(rest).combine_chunks())
+
+
+def _apart(rows: DataFrame, comp: DataFrame, block: int) -> DataFrame:
     """``(a, b)`` under one shingle that no path joins yet and whose sizes and places allow the similarity.
 
     A pair that also shares one of the ``BEFORE`` shingles before this one is left to that one: what allows it here allows it
     at the earlier place too, so it is made there. Few pairs are made twice, and none is missed.
     """
     rows = rows.join(comp.withColumnRenamed("component", "_c"), "node", "left").select("h", "node", "n", "at", F.coalesce("_c", "node").alias("c"))
-    mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    rows = rows.join(mixed, "h", "left_semi").withColumn("most", F.floor((9 * (F.col("n") - F.col("at")) - 4 * F.col("n")) / 4).cast("int"))
-    before = F.collect_list("h").over(Window.partitionBy("node").orderBy("at").rowsBetween(-BEFORE, -1))
-    rows = cut(rows.withColumn("before", before).join(parities, "node"))  # most: the size of the largest partner
-    short = rows.where("most >= n").select("h", _class(F.col("n")).alias("k"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"), F.col("before").alias("before_b"), *(F.col(c).alias(f"b_{c}") for c in PARITIES))
-    tasks = short.groupBy("h", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("tasks"))
-    short = short.join(tasks, ["h", "k"]).withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks")
-    low, high = F.ceil(F.col("n") * 0.8 - 1e-6), F.least("n", "most")
-    long = rows.where(low <= high).select("h", F.explode(F.sequence(_class(low), _class(high))).alias("k"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), F.col("before").alias("before_a"), *(F.col(c).alias(f"a_{c}") for c in PARITIES))
-    long = long.join(tasks, ["h", "k"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITIES)
-    pairs = long.join(short, ["h", "k", "task"]).where(f"n_b <= n_a AND a <> b AND c_a <> c_b AND 9 * ({differ}) <= n_a + n_b").where(_can("n_a", "at_a", "n_b", "at_b"))
-    pairs = pairs.where(~F.arrays_overlap("before_a", "before_b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    groups = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high")
+    blocks = F.when(F.col("size") > block, F.ceil(F.col("size") * 2 / block)).otherwise(1).cast("int")
+    place = Window.partitionBy("node").orderBy("at")
+    rows = rows.join(groups.select("h", blocks.alias("blocks")), "h")
+    rows = rows.select("*", *(F.coalesce(F.lag("h", k + 1).over(place), F.lit(-1)).alias(f"before{k}") for k in range(BEFORE)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
+    rows = rows.select("h", pair.alias("pair"), "own", "node", "n", "at", "c", *(f"before{k}" for k in range(BEFORE)))
+    return rows.repartition("h", "pair").sortWithinPartitions("h", "pair", "n").mapInArrow(releasing(_crossed), "a long, b long").distinct()
 
 
 def _under(nodes: DataFrame) -> DataFrame:
@@ -227,23 +292,37 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     empty table gives none; other columns are ignored.
     """
     rows = cut(prints(docs, common_shingles(docs)))
-    nodes = cut(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix"), *(F.min(c).alias(c) for c in PARITIES)))
+    name = cut(rows.select("doc_id", "text_hash", "node"))
+    found = cut(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "prefix", "odd"))))
+    forget(rows)
+    under = _under(found)
+    nodes = cut(found.drop("prefix"))
+    forget(found)
     fps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     alike = nodes.join(fps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     probed = simhash.links(fps, block=block).unionByName(alike)
-    under = _under(nodes)
     star = under.where("centre <> node").where(_can("n", "at", "n_c", "at_c")).groupBy("node", "centre").agg(F.count("*").alias("shared"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "centre"))
     star = star.withColumn("place", best).where(F.col("place") <= STAR).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     first = cut(probed.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = _verified(first, nodes, docs)
-    more = cut(_apart(under.select("h", "node", "n", "at"), nodes.select("node", *PARITIES), connected_components(links), block).join(first, ["a", "b"], "left_anti"))
-    forget(under)
-    links = links.unionByName(_verified(more, nodes, docs))
+    near = cut(_alike(first, nodes))
+    links = _verified(near, nodes, docs)
+    pairs = cut(_apart(under.select("h", "node", "n", "at"), connected_components(links), block))
+    forget(under, near)
+    more = cut(_alike(pairs.join(first, ["a", "b"], "left_anti"), nodes))
+    forget(first, pairs)
+    ends = more.select("*", F.explode(F.array("a", "b")).alias("node"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy("far", "a", "b"))
+    nearest = cut(ends.withColumn("place", best).where(F.col("place") <= STAR).select("a", "b", "n_a", "n_b").distinct())
+    links = links.unionByName(_verified(nearest, nodes, docs))
+    of = connected_components(links).withColumnRenamed("component", "c")
+    rest = more.join(nearest, ["a", "b"], "left_anti").join(of.toDF("a", "c_a"), "a", "left").join(of.toDF("b", "c_b"), "b", "left")
+    rest = cut(rest.where(~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))).select("a", "b", "n_a", "n_b"))
+    links = links.unionByName(_verified(rest, nodes, docs))
     of = nodes.select("node", "doc_id").join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = cut(of.join(least, "component").select("node", "component", "component_id"))
     known = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
-    out = cut(rows.select("doc_id", "text_hash", "node").join(named, "node", "left").select("doc_id", "text_hash", known("component"), known("component_id")))
-    forget(rows, nodes, fps, first, more, named)
+    out = cut(name.join(named, "node", "left").select("doc_id", "text_hash", known("component"), known("component_id")))
+    forget(name, nodes, fps, more, nearest, rest, named)
     return out
