@@ -15,7 +15,7 @@ of each other.
    them: each node with the ``STAR`` centres that it shares most shingles with.
 3. Nodes under one shingle that no path joins by then are compared all with all, by size and place: a set
    whose first shared shingle stands at some place can be similar only to sets of certain sizes. Only ids,
-   sizes and places are shuffled for that. Large groups are dealt to several tasks. Of the pairs that are
+   sizes, places and short parities of small sets are shuffled for that. Large groups are dealt to several tasks. Of the pairs that are
    left, those with the most alike parities are verified first, ``STAR`` for each node, and then those that
    no path joins even so.
 
@@ -45,6 +45,8 @@ WIDTH, STAR, BLOCK, SLICE = 5, 4, 1024, 512
 LEAST_BITS = 512  # in a set's table of parities, a power of two
 BEFORE = 4  # shingles before its own that a row knows, so that a pair is made under the first that it shares
 SAMPLE, SHARE, COMMON, OFTEN = 4_000, 32, 200_000, 3  # texts to look for common shingles, or one in so many; how many of them to know, the least count
+SMALL, SMALL_BITS = 512, 256  # sets up to this size have a short table of parities beside, which their rows under shingles carry
+SHORT_ODD = [f"odd{k}" for k in range(SMALL_BITS // 64)]
 CHUNK = 1 << 16  # rows under shingles that are compared at once, beside a group's rest
 SHORT = (1 << 40) - 1  # the part of a hash that is shuffled; more meet under it, none is missed
 
@@ -90,9 +92,9 @@ def _node(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(own.tobytes(), 42), np.uint64).view(np.int64))
 
 
-def _parities(own: np.ndarray) -> bytes:
+def _parities(own: np.ndarray, bits: int = 0) -> bytes:
     """Bit i tells whether an odd number of elements falls on it; there are as many bits as elements, rounded up to a power of two."""
-    bits = max(LEAST_BITS, 1 << (len(own) - 1).bit_length() if len(own) else 0)
+    bits = bits or max(LEAST_BITS, 1 << (len(own) - 1).bit_length() if len(own) else 0)
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -138,19 +140,21 @@ def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            nodes, sizes, fps, first, odd = [], [], [], [], []
+            nodes, sizes, fps, first, odd, short = [], [], [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py())
                 own = np.unique(h)
                 known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
                 nodes.append(_node(own)), sizes.append(len(own)), fps.append(simhash.fingerprint_of(h)), odd.append(_parities(own))
+                short.append(np.frombuffer(_parities(own, SMALL_BITS), np.int64) if len(own) <= SMALL else np.zeros(len(SHORT_ODD), np.int64))
                 first.append((np.concatenate([own[~known], own[known]])[: prefix_length(len(own))] & np.uint64(SHORT)).view(np.int64))
             columns = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "prefix", "odd"])
+            columns += [pa.array(c) for c in np.stack(short).T]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "prefix", "odd", *SHORT_ODD])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(releasing(run), "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>, odd binary")
+    return rows.mapInArrow(releasing(run), "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>, odd binary" + "".join(f", {c} long" for c in SHORT_ODD))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,14 +205,14 @@ def _can(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(a, b)``: the pairs of each group of ``(h, pair)`` that sizes and places allow, of different components.
+    """``(a, b)``: the pairs of each group of ``(h, pair)`` that sizes, places and short parities allow, of different components.
 
     Rows come sorted by group and size; a group that goes over a chunk's end is carried on (it is bounded).
     """
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         h, pair, own, node, n, at, c = (t.column(k).to_numpy() for k in ("h", "pair", "own", "node", "n", "at", "c"))
-        before = np.stack([t.column(f"before{k}").to_numpy() for k in range(BEFORE)])
+        before, odd = (np.stack([t.column(k).to_numpy() for k in names]) for names in ([f"before{k}" for k in range(BEFORE)], SHORT_ODD))
         new = np.append(True, (h[1:] != h[:-1]) | (pair[1:] != pair[:-1]))
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(h)))
@@ -221,6 +225,8 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = i + lag
             can = (c[i] != c[j]) & (within[i] | (own[i] != own[j])) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
             x, y = i[can], j[can]
+            near = (np.maximum(n[x], n[y]) > SMALL) | (9 * np.bitwise_count((odd[:, x] ^ odd[:, y]).view(np.uint64)).sum(0, dtype=np.int64) <= n[x] + n[y])
+            x, y = x[near], y[near]
             known = ((before[:, None, x] == before[None, :, y]) & (before[:, None, x] >= 0)).any((0, 1))
             found[0].append(node[x[~known]]), found[1].append(node[y[~known]])
         a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
@@ -242,7 +248,7 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(pa.Table.from_batches(rest).combine_chunks())
 
 
-def _apart(rows: DataFrame, comp: DataFrame, block: int) -> DataFrame:
+def _apart(rows: DataFrame, odd: DataFrame, comp: DataFrame, block: int) -> DataFrame:
     """``(a, b)`` under one shingle that no path joins yet and whose sizes and places allow the similarity.
 
     A pair that also shares one of the ``BEFORE`` shingles before this one is left to that one: what allows it here allows it
@@ -253,10 +259,10 @@ def _apart(rows: DataFrame, comp: DataFrame, block: int) -> DataFrame:
     blocks = F.when(F.col("size") > block, F.ceil(F.col("size") * 2 / block)).otherwise(1).cast("int")
     place = Window.partitionBy("node").orderBy("at")
     rows = rows.join(groups.select("h", blocks.alias("blocks")), "h")
-    rows = rows.select("*", *(F.coalesce(F.lag("h", k + 1).over(place), F.lit(-1)).alias(f"before{k}") for k in range(BEFORE)))
+    rows = rows.select("*", *(F.coalesce(F.lag("h", k + 1).over(place), F.lit(-1)).alias(f"before{k}") for k in range(BEFORE))).join(odd, "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
-    rows = rows.select("h", pair.alias("pair"), "own", "node", "n", "at", "c", *(f"before{k}" for k in range(BEFORE)))
+    rows = rows.select("h", pair.alias("pair"), "own", "node", "n", "at", "c", *(f"before{k}" for k in range(BEFORE)), *SHORT_ODD)
     return rows.repartition("h", "pair").sortWithinPartitions("h", "pair", "n").mapInArrow(releasing(_crossed), "a long, b long").distinct()
 
 
@@ -293,7 +299,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     rows = cut(prints(docs, common_shingles(docs)))
     name = cut(rows.select("doc_id", "text_hash", "node"))
-    found = cut(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "prefix", "odd"))))
+    found = cut(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "prefix", "odd", *SHORT_ODD))))
     forget(rows)
     under = _under(found)
     nodes = cut(found.drop("prefix"))
@@ -307,7 +313,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     first = cut(probed.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = cut(_alike(first, nodes))
     links = _verified(near, nodes, docs)
-    pairs = cut(_apart(under.select("h", "node", "n", "at"), connected_components(links), block))
+    pairs = cut(_apart(under.select("h", "node", "n", "at"), nodes.select("node", *SHORT_ODD), connected_components(links), block))
     forget(under, near)
     more = cut(_alike(pairs.join(first, ["a", "b"], "left_anti"), nodes))
     forget(first, pairs)

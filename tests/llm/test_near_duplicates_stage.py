@@ -90,8 +90,11 @@ def test_only_as_many_pairs_are_verified_as_there_are_texts(spark, monkeypatch):
 
 def test_blocks_of_a_large_group_meet_each_other():
     """Rows of one shingle in two blocks: pairs across them are made once, pairs inside one are left to its own group."""
-    row = lambda node, own, c, pair=1, n=10, at=0, before=-1: {"h": 5, "pair": pair, "own": own, "node": node, "n": n, "at": at, "c": c, **{f"before{k}": before for k in range(jaccard.BEFORE)}}
+    row = lambda node, own, c, pair=1, n=10, at=0, before=-1, bits=0: {"h": 5, "pair": pair, "own": own, "node": node, "n": n, "at": at, "c": c, **{f"before{k}": before for k in range(jaccard.BEFORE)}, **{k: bits for k in jaccard.SHORT_ODD}}
     pairs = lambda rows: sorted(tuple(r.values()) for b in jaccard._crossed(pa.Table.from_pylist(rows).to_batches(max_chunksize=2)) for r in b.to_pylist())
     assert pairs([row(1, 0, 1), row(2, 0, 2), row(3, 1, 3), row(4, 1, 1)]) == [(1, 3), (2, 3), (2, 4)]
     assert pairs([row(1, 0, 1, 0), row(2, 0, 2, 0), row(3, 0, 3, 0, n=13)]) == [(1, 2)]
     assert pairs([row(1, 0, 1, 0, before=7), row(2, 0, 2, 0, before=7), row(3, 0, 3, 0, before=8)]) == [(1, 3), (2, 3)]
+    assert pairs([row(1, 0, 1, 0), row(2, 0, 2, 0, bits=1), row(3, 0, 3, 0, bits=0)]) == [(1, 3)]
+    assert pairs([row(1, 0, 1, 0, n=600), row(2, 0, 2, 0, n=500, bits=-1)]) == pairs([row(1, 0, 1, 0, n=600), row(2, 0, 2, 0, n=600)]) == [(1, 2)]
+    assert pairs([row(1, 0, 1, 0, n=100), row(2, 0, 2, 0, n=100, bits=1 - (1 << 63))]) == [(1, 2)]  # two bits of each word
